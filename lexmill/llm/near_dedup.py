@@ -8,13 +8,15 @@ Plan
    samples, hence the similarity, most precisely where similarity is high.
 2. Equal word sequences collapse to a class with its smallest doc_id as the node;
    thousands of copies cost one row afterwards.
-3. Band buckets give candidates in stars, never all pairs: each node meets its
-   bucket's smallest node; sketches discard the hopeless pairs; the best hub of
-   each node is confirmed on full shingle sets; then the other hubs, only where
-   the two nodes aren't yet in one component.
-4. Where a bucket still holds several components, the nodes outside its largest
-   component's hub are compared by sketch with the bucket's nodes, in salted
-   parts of bounded size, and the survivors are confirmed on full sets.
+3. Band buckets give candidates in stars, never all pairs: each node meets one
+   hub of its bucket; sketches discard the hopeless pairs; each node's best hub is
+   confirmed on full shingle sets, then its other hubs and further stars around
+   other hubs, always only where the two nodes aren't yet in one component.
+   Stars that pass the sketch filter, confirmed or not, make the clusters.
+4. Where a cluster still holds several components, its nodes outside the largest
+   one meet all its nodes, chunk by block, in tasks of bounded size, on full sets;
+   only links that join two components come out. Nodes of one bucket but of
+   different clusters are compared by sketch, and survivors confirmed on full sets.
    So no link between two components inside any bucket is left untested.
 5. Components come from alternating star rounds on the confirmed links.
 
@@ -41,7 +43,9 @@ BANDS, ROWS = 24, 5
 SKETCH_BITS = 512
 #: Sketch estimates below (threshold - MARGIN) are discarded; the standard error at 0.85 is 0.034.
 MARGIN = 0.17
-SALT_ROWS = 1024  #: nodes of a bucket that one part of step 4 holds
+HUBS = 3  #: stars of each bucket, each around another of its nodes
+SALT_ROWS = 1024  #: nodes of a bucket that one salted part holds
+PART_ROWS = 512  #: nodes of a cluster in a chunk or block
 #: Node ids up to this number are broadcast (8 bytes each) to pick the candidates' texts; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -107,24 +111,25 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, permille: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if len(short) * 1000 < permille * len(long):
+        return False
+    at = np.searchsorted(long, short)
+    at[at == len(long)] = 0
+    both = int(np.count_nonzero(long[at] == short))
+    return 1000 * both >= permille * (len(x) + len(y) - both)
+
+
 def _linked(permille: int):
-    """Keeps the pairs whose full sets reach the similarity; the hub's set stands once in each run of its pairs."""
+    """Keeps the pairs whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, a, b = (batch.column(k) for k in ("u", "v", "a", "b"))
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64)
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                if len(short) * 1000 < permille * len(long):
-                    continue
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                both = int(np.count_nonzero(long[at] == short))
-                if 1000 * both >= permille * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([u.take(pa.array(keep, pa.int64())), v.take(pa.array(keep, pa.int64()))], names=["u", "v"])
+            a, b = batch.column("a"), batch.column("b")
+            keep = [k for k in range(batch.num_rows) if _similar(np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64), permille)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("u", "v")], names=["u", "v"])
 
     return run
 
@@ -136,16 +141,89 @@ def _estimate(a: str, b: str):
     return F.when(odd * 2 < SKETCH_BITS, 1 + F.log(1 - 2 * odd / F.lit(float(SKETCH_BITS))) * (SKETCH_BITS / 2) / (2 * K)).otherwise(0.0)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, permille: int) -> DataFrame:
-    """The pairs (u, v) that are links on full sets. Only texts of nodes in pairs are read into sets."""
-    ids = scratch.save(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct())
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, shingles): full shingle sets of the documents in ``ids`` (a saved table)."""
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = scratch.save(texts.mapInArrow(_set_rows, "node long, shingles binary"))
+    return texts.mapInArrow(_set_rows, "node long, shingles binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, permille: int) -> DataFrame:
+    """The pairs (u, v) that are links on full sets."""
     with_sets = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    out = scratch.save(with_sets.select("u", "v", "a", "b").mapInArrow(_linked(permille), "u long, v long"))
-    scratch.drop(ids, sets)
-    return out
+    return scratch.save(with_sets.select("u", "v", "a", "b").mapInArrow(_linked(permille), "u long, v long"))
+
+
+def _labelled(df: DataFrame, parts: DataFrame, node: str, label: str) -> DataFrame:
+    """``df`` with the component of its column ``node``; a node without one is its own."""
+    return df.join(parts.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def _within(clusters: DataFrame, parts: DataFrame, sig: DataFrame, sets: DataFrame, permille: int, low: float) -> DataFrame:
+    """Links between the components of each cluster: block by block on full sets.
+
+    A cluster's nodes outside its largest component, in chunks, meet all its nodes, in
+    blocks; a part is one chunk and one block, so no task holds more than two of them.
+    Pairs stay inside the task; only links that join two components come out.
+    """
+    named = _labelled(clusters, parts, "node", "label")
+    usual = named.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("usual"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("rest"), F.count("*").alias("labels")).where("labels > 1")
+    sketches = sig.where("n_shingles > 0").select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
+    rows = named.join(usual, "component").join(sketches, "node").join(sets, "node")
+    n_chunks, n_blocks = F.ceil(F.col("rest") / PART_ROWS).cast("int"), F.ceil(F.col("size") / PART_ROWS).cast("int")
+    own_chunk, own_block = F.pmod(F.xxhash64("node", F.lit(1)), n_chunks).cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), n_blocks).cast("int")
+    probe = rows.where("label <> usual").withColumn("chunk", own_chunk).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("probe", F.lit(True))
+    held = rows.withColumn("block", own_block).withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).withColumn("probe", F.lit(False))
+    cols = ["component", "chunk", "block", "probe", "node", "label", "sketch", "shingles"]
+    parted = probe.select(cols).unionByName(held.select(cols)).repartition("component", "chunk", "block").sortWithinPartitions("component", "chunk", "block")
+    return parted.mapInArrow(_part_links(permille, low), "u long, v long")
+
+
+def _part_links(permille: int, low: float):
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        probes, held = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        if not probes or not held:
+            return []
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
+        sketches = np.array([r[6] for r in held], np.int64)
+        nodes, out = np.array([r[4] for r in held]), []
+        for p in probes:
+            odd = np.bitwise_count((sketches ^ np.array(p[6], np.int64)).view(np.uint64)).sum(1, dtype=np.float64)
+            near = np.where(odd * 2 < SKETCH_BITS, 1 + np.log(np.maximum(1e-9, 1 - 2 * odd / SKETCH_BITS)) * (SKETCH_BITS / 2) / (2 * K), 0.0)
+            at = np.flatnonzero((near >= low) & (nodes != p[4]))
+            for k in at[np.argsort(-near[at], kind="stable")]:
+                a, b = root(p[5]), root(held[k][5])
+                if a != b and _similar(p[7], held[k][7], permille):
+                    above[max(a, b)] = min(a, b)
+                    out.append((min(p[4], held[k][4]), max(p[4], held[k][4])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            found = links(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            sets = batch.column(7)
+            for i, r in enumerate(zip(*cols)):
+                if r[:3] != key:
+                    if rows:
+                        yield flush()
+                    key, rows = r[:3], []
+                rows.append((*r, np.frombuffer(sets[i].as_py(), np.uint64)))
+        if rows:
+            yield flush()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -171,41 +249,53 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("node"))
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id"), F.col("name").alias("own")), "doc_id").where("name = own")
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "sketch")
-    shared = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("about")).where("hub < far")
-    members = scratch.save(rows.join(shared.select("key", "hub", "about"), "key").dropDuplicates(["key", "node"]))
-    hubs = members.where("node = hub").select("key", F.col("sketch").alias("hub_sketch"))
-
-    stars = scratch.save(
-        members.where("node <> hub").join(hubs, "key").select(F.col("hub").alias("u"), F.col("node").alias("v"), _estimate("sketch", "hub_sketch").alias("near")).where(F.col("near") >= low).groupBy("u", "v").agg(F.max("near").alias("near"))
-    )
-    best = scratch.save(stars.groupBy("v").agg(F.max_by("u", F.struct("near", -F.col("u"))).alias("u")).select("u", "v"))
-    links = _confirmed(best, docs, scratch, permille)
-    parts = scratch.save(connected_components(links, scratch))
-
-    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-        return df.join(parts.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
-
-    more = scratch.save(labelled(labelled(stars.join(best, ["u", "v"], "left_anti").select("u", "v"), "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v"))
-    if more.limit(1).count():
-        links = links.unionByName(_confirmed(more, docs, scratch, permille))
+    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("held")).where("first < last")
+    members = scratch.save(rows.join(shared.select("key", "held"), "key").dropDuplicates(["key", "node"]))
+    hubs = scratch.save(members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("node", "key", F.lit(r)).alias("rank"), "node", "sketch")).alias(f"hub{r}") for r in range(HUBS))))
+
+    def stars(r: int) -> DataFrame:
+        hub = hubs.select("key", F.col(f"hub{r}.node").alias("hub"), F.col(f"hub{r}.sketch").alias("hub_sketch"))
+        near = members.join(hub, "key").where("node <> hub")
+        return near.select("node", "hub", _estimate("sketch", "hub_sketch").alias("near")).where(F.col("near") >= low).groupBy("node", "hub").agg(F.max("near").alias("near"))
+
+    near = [scratch.save(stars(r)) for r in range(HUBS)]
+    coarse = near[0].select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    for t in near[1:]:
+        coarse = coarse.unionByName(t.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    clusters = scratch.save(connected_components(coarse, scratch))
+    sets = scratch.save(_sets(docs, clusters.select(F.col("node").alias("doc_id"))))
+    used = [sig, members, hubs, clusters, sets, *near]
+
+    links = parts = None
+    for t in near:  # each node's best hub, as long as the two are apart
+        apart = t if parts is None else _labelled(_labelled(t, parts, "node", "cn"), parts, "hub", "ch").where("cn <> ch")
+        best = scratch.save(apart.groupBy("node").agg(F.max_by("hub", F.struct("near", -F.col("hub"))).alias("hub")).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct())
+        found = _confirmed(best, sets, scratch, permille)
+        links = found if links is None else scratch.save(links.unionByName(found))
         parts = scratch.save(connected_components(links, scratch))
-
-    named = labelled(labelled(members, "node", "label"), "hub", "hub_label")
-    outside = named.where("label <> hub_label")
-    salts = F.ceil(F.col("about") / SALT_ROWS).cast("int")
-    probes = outside.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sketch").alias("sx"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    held = named.join(outside.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
-    across = probes.join(held, ["key", "salt"]).where("lx <> ly").where(_estimate("sx", "sy") >= low).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    tested = stars.select("u", "v")
-    across = scratch.save(across.join(tested, ["u", "v"], "left_anti"))
+        used.append(best)
+
+    links = scratch.save(links.unionByName(_within(clusters, parts, sig, sets, permille, low)))
+
+    named = _labelled(members, clusters, "node", "label")
+    usual = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("usual"), F.count("*").alias("labels")).where("labels > 1").select("key", "usual")
+    mixed = named.join(usual, "key")
+    salts = F.ceil(F.col("held") / SALT_ROWS).cast("int")
+    probes = mixed.where("label <> usual").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sketch").alias("sx"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    against = mixed.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+    across = probes.join(against, (probes["key"] == against["key"]) & (probes["salt"] == against["salt"]) & (F.col("lx") != F.col("ly")) & (_estimate("sx", "sy") >= low))
+    across = scratch.save(across.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+    used.append(across)
     if across.limit(1).count():
-        links = links.unionByName(_confirmed(across, docs, scratch, permille))
-        parts = scratch.save(connected_components(links, scratch))
+        ends = across.select(F.col("u").alias("doc_id")).unionByName(across.select(F.col("v").alias("doc_id"))).distinct()
+        others = scratch.save(_sets(docs, scratch.save(ends)))
+        links = links.unionByName(_confirmed(across, others, scratch, permille))
+    parts = scratch.save(connected_components(links, scratch))
 
     whole = classes.join(parts.withColumnRenamed("component", "of_node"), "node", "left").select("name", F.coalesce("of_node", "node").alias("of_class"))
     out = sig.select("doc_id", "n_shingles", "name").join(whole, "name", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("of_class"))).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     out = scratch.save(out)
-    scratch.drop(sig, members, stars, best, more, across)
+    scratch.drop(*used)
     return out

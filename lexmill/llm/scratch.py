@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch: with rows of some kB, a Python worker then holds some MB of a batch.
+BATCH_ROWS = 1000
 LOCAL_DEFAULT = "/tmp/checkpoints/lexmill"
 
 
@@ -20,6 +22,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, owner: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/lexmill-{owner}-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
