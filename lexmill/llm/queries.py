@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .licenses import license_scan
 from .lm_score import lm_scores
 from .near_dedup import near_duplicates
+from .pii import replace_pii
 from .quality import quality_scores
 from .sharding import shards
 from .url_filter import url_verdicts
@@ -23,6 +25,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.85)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_table(spark, sf_dir, "documents"), key="public test key")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_lm_score, op4_exact_dedup, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
