@@ -30,6 +30,10 @@ from .words import blocks, word_hashes, word_spans
 PASSAGE = 16  #: words
 RANK, OVERSAMPLE, POWER = 192, 16, 2
 COSINE = 0.75
+#: The part of a passage's latent length that a window must reach in its direction.
+MASS = 0.4
+#: Words in more than this share of all documents are stop words: weight 0. They count in step 4.
+MAX_DF = 0.1
 COVER, ANSWER_SHARE, ANSWER_COVER = 0.6, 0.25, 0.5
 #: The benchmark's texts together: more is refused, for they are broadcast.
 MAX_BENCHMARK_BYTES = 64 << 20
@@ -120,11 +124,26 @@ def covered(item: list[int], around: list[int], cover: float) -> float:
     return got if got >= cover and lcs(answer, around) >= ANSWER_COVER * len(answer) else 0.0
 
 
+def _folded(weighted: np.ndarray, at: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Sum of the word vectors of each cell: the words that have one, slot by slot."""
+    out = np.zeros((len(cell), weighted.shape[1]), np.float32)
+    place = np.flatnonzero(at >= 0)
+    row = np.searchsorted(cell, place, "right") - 1
+    slot = np.arange(len(place)) - np.searchsorted(row, row)
+    for k in range(int(slot.max(initial=-1)) + 1):
+        some = slot == k
+        out[row[some]] += weighted[at[place[some]]]
+    return out
+
+
 def _search(model, cover: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         known, idf, latent, queries, owner, items, ids = (m[k] for k in ("known", "idf", "latent", "queries", "owner", "items", "ids"))
-        weighted = np.vstack([idf[:, None] * latent, np.zeros((1, latent.shape[1]))]).astype(np.float32)
+        weighted = (idf[:, None] * latent).astype(np.float32)
+        mass, known = m["mass"], m["known"]
+        least = MASS * mass[mass > 0].min(initial=np.inf)
+        heavy = np.r_[idf > 0, False]
         inside = [set(x) for x in items]
         for batch in batches:
             docs, who, share = [], [], []
@@ -134,19 +153,23 @@ def _search(model, cover: float):
                 if not len(words):
                     continue
                 at = _lookup(known, words)
+                at[~heavy[at]] = -1
                 # cells of PASSAGE words that never cross a document's end
                 cells = [np.arange(a, b, PASSAGE) for a, b in zip(first[:-1], first[1:])]
                 cell_doc = np.repeat(np.arange(j - i), [len(c) for c in cells])
                 cell = np.concatenate(cells)
-                folded = np.add.reduceat(weighted[at], cell, axis=0)
+                folded = _folded(weighted, at, cell)
                 same = np.r_[cell_doc[1:] == cell_doc[:-1], False]
-                pair = np.r_[folded[1:], folded[:1]] * same[:, None]
-                folded += pair
-                unit = folded / np.maximum(np.linalg.norm(folded, axis=1), 1e-9)[:, None]
+                folded[:-1] += folded[1:] * same[:-1, None]
+                length = np.linalg.norm(folded, axis=1)
+                worth = np.flatnonzero(length >= least)
                 hits: dict[tuple[int, int], list[int]] = {}
-                for s in range(0, len(cell), WINDOWS):
-                    w, q = np.nonzero(unit[s : s + WINDOWS] @ queries.T >= COSINE)
-                    for x, y in zip((w + s).tolist(), owner[q].tolist()):
+                for s in range(0, len(worth), WINDOWS):
+                    some = worth[s : s + WINDOWS]
+                    dots = folded[some] @ queries
+                    w, q = np.nonzero(dots >= COSINE * length[some][:, None])
+                    near = dots[w, q] >= MASS * mass[q]
+                    for x, y in zip(some[w[near]].tolist(), owner[q[near]].tolist()):
                         hits.setdefault((int(cell_doc[x]), y), []).append(int(cell[x]))
                 best: dict[tuple[int, int], float] = {}
                 for (d, y), places in hits.items():
@@ -179,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     stretch of one and a half times the item's length.
 
     Edge cases: null and empty texts match nothing, on either side. Items under five
-    words match nothing: chance alone repeats them. Repeated rows are searched each on
+    words, or of stop words only, match nothing: chance alone repeats them. Repeated rows are searched each on
     their own and give a row each. Equal items each give a row. An empty benchmark or
     an empty table gives an empty result. Extra columns are ignored.
     """
@@ -200,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
             n = count
         else:
             df[word] = count
-    idf = np.log((n + 1) / (df + 0.5)).clip(0.05)
+    idf = np.where(df <= MAX_DF * n, np.log((n + 1) / (df + 0.5)), 0.0)
 
     rank = min(RANK + OVERSAMPLE, len(known))
     x = np.linalg.qr(np.random.default_rng(11).standard_normal((len(known), rank)))[0]
@@ -210,15 +233,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
         x = np.linalg.qr(total)[0]
     latent = x[:, :RANK]
 
-    queries, owner = [], []
+    queries, owner, mass = [], [], []
     for k, (_, words) in enumerate(rows):
         for p in passages(words):
             weight = idf[_lookup(known, p)]
             v = (weight[:, None] * latent[_lookup(known, p)]).sum(0)
-            queries.append(v / max(1e-9, np.linalg.norm(v)))
+            mass.append(np.linalg.norm(v))
+            queries.append(v / max(1e-9, mass[-1]))
             owner.append(k)
     model = spark.sparkContext.broadcast({
-        "known": known, "idf": idf, "latent": latent, "queries": np.array(queries, np.float32), "owner": np.array(owner),
+        "known": known, "idf": idf, "latent": latent, "queries": np.ascontiguousarray(np.array(queries, np.float32).T), "mass": np.array(mass, np.float32), "owner": np.array(owner),
         "items": [w.tolist() for _, w in rows], "ids": [i for i, _ in rows],
     })
     return scratch.save(docs.select("doc_id", "text").mapInArrow(_search(model, cover), "doc_id long, item_id long, coverage double"))
