@@ -2,5 +2,456 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import cleaning as C
+from ..operators import fuzzy as Z
+from ..operators import records as R
+from ..operators import sampling as S
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Boilerplate of the test tables, as templates.
+LINES = ("The and attion to thanedble the, anea. Eriner thanea.", "Nicht aulich für sch erüver enau sch der.", "En laleenéelle la des et. Enmentai. Réleou eauoué.", "All rights reserved.")
+CONFIG = C.CleaningConfig(C.Templates(prefixes=("The ",), suffixes=("thanea.",), lines=LINES[3:], blocks=(("Released under", "License."),)), short_text_threshold=12)
+FUZZY = Z.FuzzyConfig((Z.Template("en-head", LINES[0], ("prefix", "line")), Z.Template("de-head", LINES[1], ("prefix", "suffix")), Z.Template("reserved", LINES[3], ("suffix", "line"), r"^All rights reserved\.$")), protected=("In ",), normalise=False)
+STRATIFIED = {m: S.SamplePlan(f"plan-{m}", 200, 7, ("dataset_id", "metadata.lang"), m, 2 if m.startswith("min") else 0) for m in S.METHODS[1:]}
+SIMPLE = S.SamplePlan("plan-simple", 100, 7)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return R.records_from_documents(_table(spark, d, "documents"))
+
+
+REC = "(select cast(doc_id as varchar) as record_id, source as dataset_id, 'documents.parquet' as source_file, doc_id as source_offset, 'article' as record_type, null as event_date, text as raw_text, lang, n_chars from documents)"
+TAG = r"(?s:<!--.*?-->)|</?[A-Za-z][A-Za-z0-9]*\b[^>]*>|[^<]+|<"
+BLOCKS = "'" + "','".join(T.BLOCK_TAGS) + "'"
+SCRIPT = r"regexp_replace({0}, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g')"
+TAGS = rf"""regexp_replace(regexp_replace(array_to_string(list_transform(regexp_extract_all({{0}}, '{TAG}'),
+    lambda t: case when t[1:1] = '<' and length(t) > 1 then case when lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) in ({BLOCKS}) then chr(57344) else '' end else t end), ''),
+    '(\A|\n)' || chr(57344) || '+', '\1', 'g'), chr(57344) || '+', chr(10), 'g')"""
+ENT = r"""array_to_string(list_transform(regexp_extract_all({0}, '&(?:#(?:x[0-9A-Fa-f]+|[0-9]+)|[A-Za-z]+);|[^&]+|&'),
+    lambda t: case t when '&amp;' then '&' when '&lt;' then '<' when '&gt;' then '>' when '&quot;' then '"' when '&apos;' then '''' when '&nbsp;' then ' ' when '&copy;' then chr(169) when '&ndash;' then chr(8211) when '&mdash;' then chr(8212) else t end), '')"""
+SPACE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t\r\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\A[ \n]+|[ \n]+\z', '', 'g')"""
+RANK = "sha256(concat('hash-rank-v1', chr(31), '7', chr(31), record_id))"
+
+
+# --- records, profile, filters ----------------------------------------------------
+
+
+@query(f"select record_id, dataset_id, source_offset, record_type, sha256(raw_text) as text_sha from {REC}")
+def records_from_documents(spark, d):
+    return _docs(spark, d).select("record_id", "dataset_id", "source_offset", "record_type", F.sha2("raw_text", 256).alias("text_sha"))
+
+
+@query("select conv_id || '-' || turn as record_id, role as dataset_id, case when turn = 0 then 'comment' else 'reply' end as record_type from conversations")
+def records_from_conversations(spark, d):
+    return R.records_from_conversations(_table(spark, d, "conversations")).select("record_id", "dataset_id", "record_type")
+
+
+@query(f"select count(*) as total_records, count(*) as missing_title, count(*) filter (where trim(raw_text, ' ' || chr(10)) = '') as empty_body, count(distinct record_id) as unique_ids, count(*) - count(distinct record_id) as duplicate_ids from {REC}")
+def profile_totals(spark, d):
+    return R.profile_totals(_docs(spark, d))
+
+
+def _profile(kind: str, sql: str):
+    def f(spark, d):
+        return R.profile(_docs(spark, d)).where(F.col("kind") == kind).select("value", "n")
+
+    f.__name__ = f"profile_by_{ {'dataset_id': 'dataset', 'record_type': 'type', 'event_date': 'date'}[kind] }"
+    query(f"select {sql} as value, count(*) as n from {REC} group by 1")(f)
+
+
+_profile("dataset_id", "dataset_id")
+_profile("record_type", "record_type")
+_profile("event_date", "coalesce(event_date, '<null>')")
+
+
+@query(f"select 'dataset_id' as kind, dataset_id as value, count(*) as n from {REC} group by 2 union all select 'record_type', record_type, count(*) from {REC} group by 2 union all select 'event_date', '<null>', count(*) from {REC} union all select 'schema_version', 'record-v1', count(*) from {REC}")
+def profile_grouping_sets(spark, d):
+    return R.profile(_docs(spark, d))
+
+
+@query(f"select count(*) as missing_title, count(*) filter (where trim(raw_text, ' ' || chr(10)) = '') as empty_body from {REC}")
+def profile_missing_counts(spark, d):
+    return R.profile_totals(_docs(spark, d)).select("missing_title", "empty_body")
+
+
+@query(f"select count(distinct record_id) as unique_ids, count(*) - count(distinct record_id) as duplicate_ids from {REC}")
+def profile_id_uniqueness(spark, d):
+    return R.profile_totals(_docs(spark, d)).select("unique_ids", "duplicate_ids")
+
+
+@query("""select cast(doc_id as varchar) as record_id,
+    case when doc_id % 7 = 0 then 'invalid_value' when doc_id % 7 = 1 then 'type_error' when doc_id % 7 = 2 then 'invalid_value' when doc_id % 7 = 3 then 'invalid_value' end as error_type,
+    case doc_id % 7 when 0 then 'record_type' when 1 then 'raw_text' when 2 then 'source_offset' when 3 then 'event_date' end as error_field from documents""")
+def validate_records(spark, d):
+    k = F.col("source_offset") % 7
+    broken = _docs(spark, d).withColumn("k", k).withColumn("record_type", F.when(F.col("k") == 0, "page").otherwise("article")).withColumn("raw_text", F.when(F.col("k") != 1, F.col("raw_text")))
+    return R.validate_records(broken.withColumn("source_offset", F.when(F.col("k") == 2, -1).otherwise(F.col("source_offset"))).withColumn("event_date", F.when(F.col("k") == 3, "2026-1-1\n").otherwise("2026-99-99")))
+
+
+@query(f"select record_id from {REC} where dataset_id = 'src0' and lang = 'en'")
+def filter_eq(spark, d):
+    return _docs(spark, d).where(R.matches_filters({"dataset_id": "src0", "metadata.lang": "en"})).select("record_id")
+
+
+@query(f"select record_id from {REC} where dataset_id in ('src1', 'src2')")
+def filter_in(spark, d):
+    return _docs(spark, d).where(R.matches_filters({"dataset_id": ["src1", "src2"], "event_date": None})).select("record_id")
+
+
+@query("select to_json([event_type, coalesce(json_extract_string(props, '$.k'), '__MISSING__'), '__MISSING__']) as stratum, count(*) as population from events group by 1")
+def sample_strata_sentinels(spark, d):
+    plan = S.SamplePlan("p", 1, 0, ("dataset_id", "metadata.k", "metadata.absent"))
+    return S.strata_capacity(R.records_from_events(_table(spark, d, "events")), plan)
+
+
+# --- sampling ---------------------------------------------------------------------
+
+STRATA = f"(select to_json([dataset_id, lang]) as stratum, count(*) as population from {REC} group by 1)"
+
+
+@query(f"select stratum, population from {STRATA}")
+def sample_strata_capacity(spark, d):
+    return S.strata_capacity(_docs(spark, d), STRATIFIED["proportional"])
+
+
+def _prop_sql(target: str, cap: str, src: str) -> str:
+    return f"""select stratum, population, q + case when row_number() over (order by rem desc, stratum) <= {target} - sum(q) over () then 1 else 0 end as more, base from
+        (select *, {target} * {cap} // sum({cap}) over () as q, {target} * {cap} % sum({cap}) over () as rem from {src})"""
+
+
+QUOTA = {
+    "proportional": f"select stratum, population, cast(more as bigint) as quota from ({_prop_sql('200', 'population', f'(select *, 0 as base from {STRATA})')})",
+    "minimum_then_proportional": f"""with m as (select stratum, population, least(population, 2) as base, population - least(population, 2) as spare from {STRATA}), t as (select 200 - sum(base) as target from m)
+        select stratum, population, cast(base + more as bigint) as quota from ({_prop_sql('target', 'spare', '(select m.*, t.target from m, t)')})""",
+    "equal": f"""with s as {STRATA}, lv as (select max(l) as l from range(0, 201) r(l) where (select sum(least(population, l)) from s) <= 200)
+        select stratum, population, cast(least(population, l) + case when population > l and row_number() over (order by population <= l, stratum) <= 200 - sum(least(population, l)) over () then 1 else 0 end as bigint) as quota from s, lv""",
+}
+for _name, _method in (("quota_proportional", "proportional"), ("quota_equal", "equal"), ("quota_minimum", "minimum_then_proportional")):
+
+    def _quota(spark, d, _m=_method):
+        return S.allocate(S.strata_capacity(_docs(spark, d), STRATIFIED[_m]), STRATIFIED[_m]).select("stratum", "population", "quota")
+
+    _quota.__name__ = _name
+    query(QUOTA[_method])(_quota)
+
+SELECTED = {m: f"select record_id, r.stratum from (select record_id, to_json([dataset_id, lang]) as stratum, row_number() over (partition by to_json([dataset_id, lang]) order by {RANK}, record_id) as n from {REC}) r join ({q}) q on r.stratum = q.stratum where n <= quota" for m, q in QUOTA.items()}
+for _name, _method in (("sample_stratified_proportional", "proportional"), ("sample_stratified_equal", "equal"), ("sample_stratified_minimum", "minimum_then_proportional")):
+
+    def _stratified(spark, d, _m=_method):
+        return S.sample(_docs(spark, d), STRATIFIED[_m]).select("record_id", "stratum")
+
+    _stratified.__name__ = _name
+    query(SELECTED[_method])(_stratified)
+
+
+@query(f"select record_id, {RANK} as rank_hex from {REC}")
+def hash_rank(spark, d):
+    return _docs(spark, d).select("record_id", T.hash_rank(F.col("record_id"), 7, "hash-rank-v1").alias("rank_hex"))
+
+
+@query(f"select record_id, {RANK} as rank_hex from {REC} order by 2, 1 limit 100")
+def sample_simple(spark, d):
+    return S.sample(_docs(spark, d), SIMPLE).select("record_id", "rank_hex")
+
+
+@query(f"select q.stratum, population, quota, count(record_id) as selected from ({QUOTA['proportional']}) q left join ({SELECTED['proportional']}) s on q.stratum = s.stratum group by all")
+def sample_report_strata(spark, d):
+    return S.report_strata(_docs(spark, d), STRATIFIED["proportional"])
+
+
+@query(f"""select record_id, array_to_string(reasons, ',') as risk_reasons from (select record_id, list_sort(list_filter([case when trim(raw_text, ' ' || chr(10)) = '' then 'empty_body' end, 'missing_title', 'missing_date',
+    case when length(trim(raw_text, ' ' || chr(10))) between 1 and 11 then 'short_text' end, case when raw_text like '%The %' or raw_text like '%thanea.%' or raw_text like '%All rights reserved.%' or raw_text like '%Released under%' then 'known_template' end], lambda x: x is not null)) as reasons from {REC})
+    order by len(reasons) desc, sha256(concat('risk-v1', chr(31), '0', chr(31), record_id)), record_id limit 50""")
+def risk_sample(spark, d):
+    return S.risk_sample(_docs(spark, d), 50, CONFIG.templates.markers()).withColumn("risk_reasons", F.array_join("risk_reasons", ","))
+
+
+# --- fingerprints -----------------------------------------------------------------
+
+
+@query("select doc_id, 'sha256:' || sha256(text) as text_hash from documents")
+def text_hash(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.sha256_text(F.col("text")).alias("text_hash"))
+
+
+ROWJSON = "to_json({'dataset_id': source, 'n_chars': n_chars, 'record_id': cast(doc_id as varchar)})"
+
+
+@query(f"select doc_id, sha256({ROWJSON}) as fingerprint from documents")
+def record_fingerprint(spark, d):
+    j = F.to_json(F.struct(F.col("source").alias("dataset_id"), "n_chars", F.col("doc_id").cast("string").alias("record_id")))
+    return _table(spark, d, "documents").select("doc_id", F.sha2(j, 256).alias("fingerprint"))
+
+
+@query(f"select 'sha256:' || sha256(string_agg({ROWJSON} || chr(10), '' order by cast(doc_id as varchar))) as fingerprint from documents")
+def fingerprint_population(spark, d):
+    df = _table(spark, d, "documents").select("source", "n_chars", F.col("doc_id").cast("string").alias("record_id"))
+    return R.fingerprint(df, F.to_json(F.struct(F.col("source").alias("dataset_id"), "n_chars", "record_id")), ["record_id"])
+
+
+@query(f"""select 'sha256:' || sha256(string_agg('"' || record_id || '"' || chr(10), '' order by record_id)) as fingerprint from (select record_id from {REC} order by {RANK}, record_id limit 100)""")
+def fingerprint_selected_ids(spark, d):
+    return R.fingerprint(S.sample(_docs(spark, d), SIMPLE).select("record_id"), F.concat(F.lit('"'), "record_id", F.lit('"')), ["record_id"])
+
+
+# --- cleaning ---------------------------------------------------------------------
+
+
+def _page_query(name: str, spark_fn, sql: str) -> None:
+    def f(spark, d):
+        new = spark_fn(F.col("html"))
+        return _table(spark, d, "pages").select("page_id", new.alias("c")).select("page_id", F.length("c").cast("bigint").alias("n_chars"), F.sha2("c", 256).alias("clean_sha"))
+
+    f.__name__ = name
+    query(f"select page_id, length(c) as n_chars, sha256(c) as clean_sha from (select page_id, {sql} as c from pages)")(f)
+
+
+_page_query("clean_script_style", T.remove_script_style, SCRIPT.format("html"))
+_page_query("clean_tags", lambda c: T.remove_tags(T.remove_script_style(c)), TAGS.format(SCRIPT.format("html")))
+_page_query("clean_entities", T.decode_entities, ENT.format("html"))
+_page_query("clean_html", lambda c: T.normalize_whitespace(T.normalize_html(T.remove_script_style(c))), SPACE.format(ENT.format(TAGS.format(SCRIPT.format("html")))))
+
+
+def _text_query(name: str, spark_fn, sql: str) -> None:
+    def f(spark, d):
+        return _table(spark, d, "documents").select("doc_id", spark_fn(F.col("text")).alias("c")).select("doc_id", F.length("c").cast("bigint").alias("n_chars"), F.sha2("c", 256).alias("clean_sha"))
+
+    f.__name__ = name
+    query(f"select doc_id, length(c) as n_chars, sha256(c) as clean_sha from (select doc_id, {sql} as c from documents)")(f)
+
+
+WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_text_query("clean_zero_width", lambda c: T.remove_zero_width(F.replace(c, F.lit("the"), F.lit("th​e"))), "text")
+_text_query("clean_nfkc", lambda c: T.nfkc(F.translate(c, PLAIN, WIDE)), "text")
+_text_query("clean_whitespace", lambda c: T.normalize_whitespace(F.replace(c, F.lit(". "), F.lit(". \t \n\n\n"))), SPACE.format("replace(text, '. ', '. ' || chr(9) || ' ' || chr(10) || chr(10) || chr(10))"))
+
+
+def _templates(df: DataFrame, t: C.Templates) -> DataFrame:
+    out = C.remove_templates(df.select("doc_id", F.col("text").alias("c")), "c", t)
+    return out.select("doc_id", F.sha2("c", 256).alias("clean_sha"), F.size("_spans").cast("bigint").alias("n_spans"))
+
+
+_STRIP = "trim({0}, ' ' || chr(10))"
+_LIST = "(" + ",".join("'" + x + "'" for x in LINES) + ")"
+
+
+@query(f"select doc_id, sha256({_STRIP.format(f'array_to_string(list_filter(p, lambda x: x not in {_LIST}), chr(10))')}) as clean_sha, len(list_filter(p, lambda x: x in {_LIST})) as n_spans from (select doc_id, string_split(text, chr(10)) as p from documents)")
+def clean_exact_lines(spark, d):
+    return _templates(_table(spark, d, "documents"), C.Templates(lines=LINES))
+
+
+@query(f"""with a as (select doc_id, starts_with(text, 'The ') as p, case when starts_with(text, 'The ') then substr(text, 5) else text end as t from documents), b as (select *, ends_with(t, 'thanea.') as s from a)
+    select doc_id, sha256({_STRIP.format("case when s then left(t, length(t) - 7) else t end")}) as clean_sha, cast(p as bigint) + cast(s as bigint) as n_spans from b""")
+def clean_prefix_suffix(spark, d):
+    return _templates(_table(spark, d, "documents"), C.Templates(prefixes=("The ",), suffixes=("thanea.",)))
+
+
+@query(f"""with a as (select doc_id, text, instr(text, 'Released under') as i from documents), b as (select *, case when i > 0 then instr(substr(text, i + 14), 'License.') else 0 end as j from a)
+    select doc_id, sha256({_STRIP.format("case when j > 0 then left(text, i - 1) || substr(text, i + 14 + j + 7) else text end")}) as clean_sha, cast(j > 0 as bigint) as n_spans from b""")
+def clean_block(spark, d):
+    return _templates(_table(spark, d, "documents"), C.Templates(blocks=(("Released under", "License."),)))
+
+
+@query(f"""select doc_id, trim(text, ' ' || chr(10)) = '' as empty, trim(text, ' ' || chr(10)) <> '' and not regexp_matches(text, '[\\p{{L}}\\p{{N}}]') as pure_symbol, trim(text, ' ' || chr(10)) <> '' and length(trim(text, ' ' || chr(10))) < 12 as short from documents""")
+def clean_flags(spark, d):
+    done = C.clean(_docs(spark, d), C.CleaningConfig(short_text_threshold=12))
+    flag = lambda r: F.exists("events", lambda e: e["rule_id"] == r)
+    return done.select(F.col("source_offset").alias("doc_id"), flag("flag_empty").alias("empty"), flag("flag_pure_symbol").alias("pure_symbol"), flag("flag_short").alias("short"))
+
+
+LINES_ONLY = C.CleaningConfig(C.Templates(lines=LINES), short_text_threshold=12)
+CLEANED = SPACE.format(ENT.format(TAGS.format(SCRIPT.format("text"))))
+CLEANED = _STRIP.format(f"array_to_string(list_filter(string_split({CLEANED}, chr(10)), lambda x: x not in {_LIST}), chr(10))")
+
+
+@query(f"select doc_id, sha256({CLEANED}) as clean_sha from documents")
+def clean_documents(spark, d):
+    return C.clean(_docs(spark, d), LINES_ONLY).select(F.col("source_offset").alias("doc_id"), F.sha2("clean_text", 256).alias("clean_sha"))
+
+
+@query()
+def cleaning_events_by_rule(spark, d):
+    return C.cleaning_events(C.clean(_docs(spark, d), CONFIG)).groupBy("rule_id", "decision").agg(F.count("*").alias("n"), F.sum("removed_chars").alias("removed"))
+
+
+@query(f"select record_id, sha256(c) as after_sha, raw_text <> c as changed from (select record_id, raw_text, {CLEANED.replace('(text,', '(raw_text,')} as c from (select * from {REC} order by {RANK}, record_id limit 100))")
+def sampled_pairs(spark, d):
+    return C.sampled_pairs(S.sample(_docs(spark, d), SIMPLE), LINES_ONLY).select("record_id", F.sha2("after", 256).alias("after_sha"), "changed")
+
+
+@query("""select doc_id, cast(len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i:i] <> b[i:i])) + abs(length(a) - length(b)) as bigint) as changed_characters from (select doc_id, text as a, replace(text, 'th', 'ht') || 'x' as b from documents)""")
+def changed_characters(spark, d):
+    a = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", T.changed_characters(a, F.concat(F.replace(a, F.lit("th"), F.lit("ht")), F.lit("x"))).cast("bigint").alias("changed_characters"))
+
+
+# --- fuzzy ------------------------------------------------------------------------
+
+_MAP = "translate({0}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26))"
+VIEW = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n]+', ' ', 'g'), ' '), ' *([:|]) *', '\\1', 'g')"
+FIRST = f"(select doc_id, {VIEW.format('left(string_split(text, chr(10))[1], 64)')} as a, '{LINES[0].lower()}' as b from documents)"
+
+
+def _first_lines(spark, d) -> DataFrame:
+    line = F.substring(F.split("text", "\n")[0], 1, 64)
+    return _table(spark, d, "documents").select("doc_id", T.matching_view(line, False).alias("a"), F.lit(LINES[0].lower()).alias("b"))
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    m = f"greatest(length({a}), length({b}))"
+    return f"(case when {m} = 0 then 10000 else (({m} - levenshtein({_MAP.format(a)}, {_MAP.format(b)})) * 10000 + {m} // 2) // {m} end)"
+
+
+TOK = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]'), lambda x: lower(x))"
+GRAMS = "(case when length({0}) = 0 then [] when length({0}) < 3 then [{0}] else list_distinct(list_transform(range(1, length({0}) - 1), lambda i: {0}[i:i+2])) end)"
+
+
+def _pair_query(name: str, spark_fn, sql: str, cast: str = "bigint") -> None:
+    def f(spark, d):
+        return _first_lines(spark, d).select("doc_id", spark_fn(F.col("a"), F.col("b")).cast(cast).alias("value"))
+
+    f.__name__ = name
+    query(f"select doc_id, cast({sql} as {'varchar' if cast == 'string' else 'bigint'}) as value from {FIRST}")(f)
+
+
+_SORTED = "array_to_string(list_sort({0}), ' ')"
+_pair_query("fuzzy_matching_view", lambda a, b: a, "a", "string")
+_pair_query("fuzzy_levenshtein", F.levenshtein, f"levenshtein({_MAP.format('a')}, {_MAP.format('b')})")
+_pair_query("fuzzy_ratio", T.ratio, _ratio_sql("a", "b"))
+_pair_query("fuzzy_tokens", lambda a, b: F.array_join(T.tokens(a), "|"), f"array_to_string({TOK.format('a')}, '|')", "string")
+_pair_query("fuzzy_token_sort", T.token_sort_ratio, _ratio_sql(_SORTED.format(TOK.format("a")), _SORTED.format(TOK.format("b"))))
+_pair_query(
+    "fuzzy_char_jaccard",
+    T.char_jaccard,
+    f"(len(list_intersect({GRAMS.format('a')}, {GRAMS.format('b')})) * 10000 + len(list_distinct(list_concat({GRAMS.format('a')}, {GRAMS.format('b')}))) // 2) // len(list_distinct(list_concat({GRAMS.format('a')}, {GRAMS.format('b')})))",
+)
+_SHORT = "(case when length(a) <= length(b) then a else b end)"
+_LONG = "(case when length(a) <= length(b) then b else a end)"
+_pair_query("fuzzy_partial_ratio", T.partial_ratio, f"case when length({_SHORT}) = 0 then 0 else list_max(list_transform(range(0, length({_LONG}) - length({_SHORT}) + 1), lambda i: {_ratio_sql(_SHORT, f'substr({_LONG}, i + 1, length({_SHORT}))')})) end")
+
+
+@query()
+def fuzzy_token_set(spark, d):
+    return _first_lines(spark, d).select("doc_id", T.token_set_ratio(F.col("a"), F.col("b")).cast("bigint").alias("value"))
+
+
+@query(r"""with l as (select doc_id, unnest(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x, i: {'i': i, 'v': x})) as x from documents),
+    n as (select doc_id, max(x.i) as n from l group by 1)
+    select case when x.i = 1 then 'prefix' when x.i = n then 'suffix' else 'line' end as position, count(*) as n from l join n using (doc_id) group by 1""")
+def line_positions(spark, d):
+    rows = _docs(spark, d).select(T.lines_with_offsets(F.col("raw_text")).alias("l")).select(F.size("l").alias("n"), F.posexplode("l").alias("i", "x"))
+    return rows.groupBy(F.when(F.col("i") == 0, "prefix").when(F.col("i") == F.col("n") - 1, "suffix").otherwise("line").alias("position")).agg(F.count("*").alias("n"))
+
+
+def _boundary(spark, d) -> DataFrame:
+    """Documents of the shorter kind keep all their lines; the queries below take all of them."""
+    return _docs(spark, d)
+
+
+@query()
+def line_regions(spark, d):
+    return Z.regions(_boundary(spark, d), FUZZY).select("record_id", "start", "end", "position", F.sha2("region", 256).alias("region_sha"))
+
+
+@query()
+def fuzzy_best_template(spark, d):
+    return Z.best_templates(Z.regions(_boundary(spark, d), FUZZY), FUZZY).select("region", "template_id", "combined", "margin")
+
+
+@query()
+def fuzzy_margin(spark, d):
+    return Z.best_templates(Z.regions(_boundary(spark, d), FUZZY), FUZZY).groupBy((F.col("margin") >= FUZZY.margin).alias("clear")).agg(F.count("*").alias("n"))
+
+
+@query()
+def fuzzy_combined(spark, d):
+    return Z.scored(Z.regions(_boundary(spark, d), FUZZY), FUZZY).select("region", "template_id", *T.SCORES, "combined")
+
+
+@query()
+def fuzzy_decisions(spark, d):
+    return Z.decisions(_boundary(spark, d), FUZZY).select("record_id", "start", "end", "position", "template_id", "combined", "margin", "decision", F.array_join("reason_codes", ",").alias("reasons"))
+
+
+@query()
+def fuzzy_decision_counts(spark, d):
+    return Z.decisions(_boundary(spark, d), FUZZY).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query()
+def fuzzy_review_queue(spark, d):
+    return Z.decisions(_boundary(spark, d), FUZZY).where("decision = 'review'").select("record_id", "start", "end", "template_id", "combined")
+
+
+@query()
+def fuzzy_overlaps(spark, d):
+    return Z.resolved(Z.decisions(_boundary(spark, d), FUZZY), ["record_id"]).select("record_id", F.size("decisions").alias("n"))
+
+
+@query()
+def fuzzy_clean(spark, d):
+    return Z.fuzzy_clean(_boundary(spark, d), FUZZY).select("record_id", F.sha2("clean_text", 256).alias("clean_sha"))
+
+
+@query()
+def fuzzy_events(spark, d):
+    return Z.fuzzy_events(_boundary(spark, d), FUZZY).select("record_id", "seq", "rule_id", "decision", "reason_code", "score", "before_hash", "after_hash")
+
+
+def _expected(spark, d) -> DataFrame:
+    """Documents that begin with the known header should lose it."""
+    t = F.col("raw_text")
+    return _docs(spark, d).select("record_id", F.when(t.startswith(LINES[0] + "\n") | t.contains("\n" + LINES[3]), "applied").otherwise("skipped").alias("expected"))
+
+
+def _outcome(spark, d) -> DataFrame:
+    rank = F.when(F.col("decision") == "applied", 2).when(F.col("decision") == "review", 1).otherwise(0)
+    best = Z.decisions(_boundary(spark, d), FUZZY).groupBy("record_id").agg(F.max_by("decision", rank).alias("actual"))
+    return _expected(spark, d).join(best, "record_id", "left").withColumn("actual", F.coalesce("actual", F.lit("skipped")))
+
+
+@query()
+def fuzzy_case_outcome(spark, d):
+    return _outcome(spark, d)
+
+
+@query()
+def fuzzy_confusion(spark, d):
+    return Z.confusion(_outcome(spark, d))
+
+
+@query()
+def fuzzy_threshold_grid(spark, d):
+    return Z.threshold_grid(_boundary(spark, d), _expected(spark, d), FUZZY, [8000, 9500], [6000, 7500])
+
+
+@query("select 0::bigint as changed_records, sum(length(text))::bigint as before_characters, sum(length(text))::bigint as after_characters from documents")
+def nfkc_audit(spark, d):
+    return Z.nfkc_audit(_docs(spark, d))
+
+
+@query(rf"select c as before, count(*) as n from (select unnest(string_split(translate(text, '{PLAIN}', '{WIDE}'), '')) as c from documents) where c between '{chr(0xFF01)}' and '{chr(0xFF5E)}' group by 1 order by 2 desc, 1 limit 20")
+def char_mapping_top(spark, d):
+    wide = _docs(spark, d).withColumn("raw_text", F.translate("raw_text", PLAIN, WIDE))
+    return Z.character_mappings(wide).select("before", "n")
