@@ -36,7 +36,7 @@ KAPPA = 200.0
 MAX_FILTER_BYTES = 256 << 20
 BROADCAST_WORDS = 20_000_000
 #: Pairs that a task gathers before it sends them: 16 bytes each while they are sorted.
-TASK_PAIRS = 4_000_000
+TASK_PAIRS = 2_000_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
@@ -115,22 +115,24 @@ def level_counts(base: float, most: int = 400) -> np.ndarray:
     return np.r_[0.0, out]
 
 
-def _positions(keys: np.ndarray, level: int, words: np.ndarray) -> np.ndarray:
-    """PROBES bit positions for (key, level) in filters of so many 64-bit words."""
+def _places(keys: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """For (key, level): one 64-bit word of a filter of so many words, and its PROBES bits in that word."""
     h = mix(keys + np.uint64((level * 0x632BE59BD9B4E019) & (2**64 - 1)))
-    step = mix(h) | np.uint64(1)
-    bits = words.astype(np.uint64) << np.uint64(6)
-    return np.stack([((h + np.uint64(i) * step) >> np.uint64(11)) % bits for i in range(PROBES)])
+    place = ((h >> np.uint64(32)) * np.asarray(words, np.uint64)) >> np.uint64(32)
+    bits = np.zeros(len(keys), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return place.astype(np.int64), bits
 
 
 def segment(keys: np.ndarray, level: np.ndarray, bits: float) -> np.ndarray:
-    """The filter of one range, as 64-bit words."""
+    """The filter of one range, as 64-bit words; all bits of an entry are in one of them, so a probe is one read."""
     words = max(1, int(level.sum() * bits / 64) + 1)
-    flat = np.zeros(words * 64, np.uint8)
-    size = np.full(1, words)
+    out = np.zeros(words, np.uint64)
     for k in range(1, int(level.max(initial=0)) + 1):
-        flat[_positions(keys[level >= k], k, size).ravel()] = 1
-    return np.packbits(flat).view(np.uint8)
+        place, mask = _places(keys[level >= k], k, words)
+        np.bitwise_or.at(out, place, mask)
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,27 +173,21 @@ def _segments(bits: float):
 class Filter:
     """Segments of one kind of n-gram, by range of the hash."""
 
-    def __init__(self, segments: dict[int, bytes], base: float):
-        sizes = np.array([len(segments.get(r, b"")) for r in range(RANGES)], np.int64)
-        self.words, self.starts = sizes // 8, np.r_[0, np.cumsum(sizes)[:-1]] * 8
-        self.bits = np.frombuffer(b"".join(segments.get(r, b"") for r in range(RANGES)), np.uint8)
-        self.table = level_counts(base)
+    def __init__(self, sizes: np.ndarray, words: bytes, base: float):
+        self.sizes, self.words, self.table = sizes, np.frombuffer(words, np.uint64), level_counts(base)
+        self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts, by repeated membership probes."""
         where = (keys >> _SHIFT).astype(np.int64)
+        sizes, starts = self.sizes[where], self.starts[where]
         level = np.zeros(len(keys), np.int64)
-        at = np.flatnonzero(self.words[where] > 0)
+        at = np.flatnonzero(sizes > 0)
         k = 0
         while len(at):
             k += 1
-            held = np.ones(len(at), bool)
-            for p in _positions(keys[at], k, self.words[where[at]]):
-                bit = self.starts[where[at]] + p.astype(np.int64)
-                held &= (self.bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
-                if not held.any():
-                    break
-            at = at[held]
+            place, mask = _places(keys[at], k, sizes[at])
+            at = at[(self.words[starts[at] + place] & mask) == mask]
             level[at] = k
         return self.table[np.minimum(level, len(self.table) - 1)]
 
@@ -199,7 +195,7 @@ class Filter:
 def _scores(model, exact):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        words_filter, pairs_filter = _filters(m)
+        words_filter, pairs_filter = Filter(*m["words"], WORD_BASE), Filter(*m["pairs"], PAIR_BASE)
         n, v, discount, total = m["n"], m["v"], m["discount"], m["total"]
         unknown = discount * v / total if v else 1.0
         known = exact.value if exact is not None else None
@@ -211,9 +207,8 @@ def _scores(model, exact):
                 p = np.where(c > 0, (c - discount) / total, unknown)
                 before = np.where(np.arange(len(words)) == 0, 0, np.r_[0.0, c[which][:-1]])
                 before[at[:-1]] = m["starts"]
-                upair, wpair = np.unique(pairs, return_inverse=True)
-                cp = np.minimum(pairs_filter.counts(upair)[wpair], np.where(c[which] > 0, np.minimum(before, np.inf), 0))
-                logp = np.log10((cp + KAPPA * p[which]) / (before + KAPPA))
+                pair = np.where(c[which] > 0, np.minimum(pairs_filter.counts(pairs), before), 0)
+                logp = np.log10((pair + KAPPA * p[which]) / (before + KAPPA))
                 score = np.add.reduceat(logp, at[:-1])
                 cols = [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at))]
                 if known is not None:
@@ -228,16 +223,6 @@ def _scores(model, exact):
     return run
 
 
-_built: dict = {}
-
-
-def _filters(m: dict) -> tuple[Filter, Filter]:
-    if _built.get("id") != m["id"]:
-        _built.clear()
-        _built.update(id=m["id"], filters=(Filter(m["words"], WORD_BASE), Filter(m["pairs"], PAIR_BASE)))
-    return _built["filters"]
-
-
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, word, tf) of each document: the way beyond BROADCAST_WORDS."""
     for batch in batches:
@@ -279,13 +264,16 @@ def lm_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFr
     bits = min(BITS, MAX_FILTER_BYTES * 8 / max(1, entries))
     found: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
     for r in merged.select("kind", "range", "keys", "counts").mapInArrow(_segments(bits), "kind int, range int, filter binary").toLocalIterator():
-        found[r[0]][r[1]] = _whole_words(bytes(r[2]))
+        found[r[0]][r[1]] = bytes(r[2])
+    filters = [(np.array([len(found[k].get(r, b"")) // 8 for r in range(RANGES)], np.int64), b"".join(found[k].pop(r, b"") for r in range(RANGES))) for k in (0, 1)]
     discount = 0.0
     if sums:
         discount = sums[0]["once"] / max(1, sums[0]["once"] + 2 * sums[0]["twice"]) or 0.5
         discount = min(0.9, discount)
     starts = docs.where(fold != 1).count()
-    model = spark.sparkContext.broadcast({"id": scratch.root, "n": n, "v": v, "discount": discount, "total": sums[0]["quantised"] if sums else 1.0, "starts": float(starts), "words": found[0], "pairs": found[1]})
+    model = spark.sparkContext.broadcast({"n": n, "v": v, "discount": discount, "total": sums[0]["quantised"] if sums else 1.0, "starts": float(starts), "words": filters[0], "pairs": filters[1]})
+    del filters
+    exact = None
     rows = docs.select("doc_id", "text")
     if v <= broadcast_words:
         parts = merged.where("kind = 0").select("range", "keys", "counts").collect()
@@ -302,8 +290,7 @@ def lm_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFr
         out = kept.select("row", "doc_id").join(scored, "row").join(sums_by_row, "row")
     out = scratch.save(out.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
     scratch.drop(merged)
+    for held in (model, exact):  # the result is written: workers need not hold these any longer
+        if held is not None:
+            held.destroy()
     return out
-
-
-def _whole_words(b: bytes) -> bytes:
-    return b + b"\0" * (-len(b) % 8)
