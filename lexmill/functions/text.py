@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's ``str.isspace`` has it, as a Java character class body.
 WS = r"\p{IsWhite_Space}\x1c-\x1f"
@@ -76,7 +77,7 @@ def remove_zero_width(c: Column) -> Column:
     return F.translate(c, "".join(ZERO_WIDTH), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

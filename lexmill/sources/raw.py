@@ -11,8 +11,9 @@ import hashlib
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,7 +173,10 @@ def _rows(name: str, data: bytes) -> Iterator[dict]:
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, length, content of the files under ``root`` but for the skipped folders."""
+    """relative_path, length, content of the files under ``root`` but for the skipped folders.
+
+    The scan leaves empty files out; their names come from the folder listing.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
@@ -180,7 +184,15 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     relative = F.expr("substring(p, length(b) + 1)")
     df = df.withColumn("p", path).withColumn("b", F.regexp_replace(F.lit(full), r"^file:/+", "file:/")).withColumn("relative_path", relative)
     skipped = F.exists(F.split("relative_path", "/"), lambda x: x.isin(SKIPPED))
-    return df.where(~skipped).select("relative_path", "length", "content")
+    df = df.where(~skipped).select("relative_path", "length", "content")
+    listing, empty = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, True), []
+    while listing.hasNext():
+        f = listing.next()
+        name = f.getPath().toString().removeprefix(full)
+        parts = name.split("/")
+        if f.getLen() == 0 and not any(x in SKIPPED or x.startswith(("_", ".")) for x in parts):
+            empty.append((name, 0, b""))
+    return df.unionByName(spark.createDataFrame(empty, "relative_path string, length bigint, content binary")) if empty else df
 
 
 def scan_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -201,14 +213,16 @@ def parse_directory(spark: SparkSession, root: str, parser_version: str = PARSER
         raise ProcessingError("invalid_parsing_config", parser_version)
     names = [x.split()[0] for x in OUT.replace(", ", ",").split(",")]
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["relative_path"], part["content"]):
-                rows = list(_rows(name, bytes(data)))
-                for a in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[a : a + 5000]).reindex(columns=names)
+    schema = pa.schema([(n, pa.int64() if n == "source_offset" else pa.string()) for n in names])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("relative_path").to_pylist(), batch.column("content").to_pylist()):
+                rows = iter(_rows(name, data))
+                while part := list(islice(rows, 5000)):
+                    yield pa.RecordBatch.from_pylist(part, schema=schema)
 
-    every = files(spark, root).select("relative_path", "content").mapInPandas(parse, OUT)
+    every = files(spark, root).select("relative_path", "content").mapInArrow(parse, OUT)
     records = every.where("error_code is null").drop("error_code", "message", "raw_fragment_hash", "detected_format").orderBy("source_file", "source_offset")
     bad = every.where("error_code is not null").select("source_file", "source_offset", "detected_format", "error_code", "message", "raw_fragment_hash", "parser_version", "schema_version")
     return records, bad.orderBy("source_file", "source_offset", "error_code")
