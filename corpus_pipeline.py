@@ -32,8 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays. Rows that repeat a doc_id, or have none, are told apart by their texts."""
     found = exact_duplicates(docs)
-    odd = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    odd = Scratch(spark, "odd").save(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
     plain = _without(docs.where("doc_id is not null"), found.where("not kept").select("doc_id").unionByName(odd))
+    if not odd.limit(1).count():
+        return plain
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
     stays = found.where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("own"))
     some = docs.withColumn("_sha", sha).join(odd.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")

@@ -32,7 +32,8 @@ RANK, OVERSAMPLE, POWER = 192, 16, 2
 COSINE = 0.75
 #: The part of a passage's latent length that a window must reach in its direction.
 MASS = 0.4
-#: Words in more than this share of all documents are stop words: weight 0. They count in step 4.
+#: Words in more than this share of all documents are stop words: weight 0, but for the
+#: rarest quarter of each item's words. They count in step 4.
 MAX_DF = 0.1
 COVER, ANSWER_SHARE, ANSWER_COVER = 0.6, 0.25, 0.5
 #: The benchmark's texts together: more is refused, for they are broadcast.
@@ -202,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     stretch of one and a half times the item's length.
 
     Edge cases: null and empty texts match nothing, on either side. Items under five
-    words, or of stop words only, match nothing: chance alone repeats them. Repeated rows are searched each on
+    words match nothing: chance alone repeats them. Repeated rows are searched each on
     their own and give a row each. Equal items each give a row. An empty benchmark or
     an empty table gives an empty result. Extra columns are ignored.
     """
@@ -223,7 +224,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
             n = count
         else:
             df[word] = count
-    idf = np.where(df <= MAX_DF * n, np.log((n + 1) / (df + 0.5)), 0.0)
+    stop = df > MAX_DF * n
+    for _, words in rows:  # an item's rarest words count, however common they are
+        own = np.unique(_lookup(known, words))
+        stop[own[np.argsort(df[own], kind="stable")[: max(4, len(own) // 4)]]] = False
+    idf = np.where(stop, 0.0, np.log((n + 1) / (df + 0.5)).clip(0.1))
 
     rank = min(RANK + OVERSAMPLE, len(known))
     x = np.linalg.qr(np.random.default_rng(11).standard_normal((len(known), rank)))[0]
