@@ -224,6 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
             n = count
         else:
             df[word] = count
+    vocabulary.destroy()
     stop = df > MAX_DF * n
     for _, words in rows:  # an item's rarest words count, however common they are
         own = np.unique(_lookup(known, words))
@@ -235,6 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     for _ in range(POWER + 1):
         space = spark.sparkContext.broadcast((known, idf, x))
         total = sum(np.frombuffer(bytes(r[0])).reshape(x.shape) for r in bench.select("text").mapInArrow(_product(space), "sum binary").collect())
+        space.destroy()
         x = np.linalg.qr(total)[0]
     latent = x[:, :RANK]
 
@@ -250,4 +252,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
         "known": known, "idf": idf, "latent": latent, "queries": np.ascontiguousarray(np.array(queries, np.float32).T), "mass": np.array(mass, np.float32), "owner": np.array(owner),
         "items": [w.tolist() for _, w in rows], "ids": [i for i, _ in rows],
     })
-    return scratch.save(docs.select("doc_id", "text").mapInArrow(_search(model, cover), "doc_id long, item_id long, coverage double"))
+    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_search(model, cover), "doc_id long, item_id long, coverage double"))
+    model.destroy()
+    return found
