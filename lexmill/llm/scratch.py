@@ -8,6 +8,7 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,12 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/lexmill-{owner}-{uuid.uuid4().hex}", 0
+        self._release()
+
+    def _release(self) -> None:
+        """Let the driver free the plans, broadcasts and shuffles of operators that ran before in this session."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table read back from its files."""
