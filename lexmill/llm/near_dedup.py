@@ -10,8 +10,8 @@ Plan
    thousands of copies cost one row afterwards.
 3. Band buckets give candidates in stars, never all pairs: each node meets one
    hub of its bucket; sketches discard the hopeless pairs; each node's best hub is
-   confirmed on full shingle sets, then its other hubs and further stars around
-   other hubs, always only where the two nodes aren't yet in one component.
+   confirmed on full shingle sets, then the best hubs of further stars around
+   other hubs, these only where the two nodes aren't yet in one component.
    Stars that pass the sketch filter, confirmed or not, make the clusters.
 4. Where a cluster still holds several components, its nodes outside the largest
    one meet all its nodes, chunk by block, in tasks of bounded size, on full sets;
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,9 +268,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     used = [sig, members, hubs, clusters, sets, *near]
 
     links = parts = None
-    for t in near:  # each node's best hub, as long as the two are apart
+    first, *others = (t.withColumn("r", F.lit(r)) for r, t in enumerate(near))
+    for t in (first, reduce(DataFrame.unionByName, others)):  # each node's best first hub, then its best other ones, as long as the two are apart
         apart = t if parts is None else _labelled(_labelled(t, parts, "node", "cn"), parts, "hub", "ch").where("cn <> ch")
-        best = scratch.save(apart.groupBy("node").agg(F.max_by("hub", F.struct("near", -F.col("hub"))).alias("hub")).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct())
+        best = scratch.save(apart.groupBy("node", "r").agg(F.max_by("hub", F.struct("near", -F.col("hub"))).alias("hub")).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct())
         found = _confirmed(best, sets, scratch, permille)
         links = found if links is None else scratch.save(links.unionByName(found))
         parts = scratch.save(connected_components(links, scratch))
