@@ -6,7 +6,10 @@
    over the passages) gives a latent space of RANK dimensions for words.
 3. One pass over the documents: each window of two passages' length, moved by one
    passage, is folded into the latent space and compared with all passages by cosine,
-   in blocks of matrix products. A window near a passage is a candidate.
+   in blocks of matrix products. A window near a passage is a candidate, and so is one
+   that reaches far enough in the passage's direction, whatever else it holds.
+   Each run of RUN words that document and item share gives a candidate too, so that
+   no copy depends on the projection.
 4. A candidate is confirmed in the same task: the longest common subsequence of the
    item's words and the words around the window must cover COVER of the item, and the
    item's answer (its last ANSWER_SHARE) must be covered as well. Paraphrases with
@@ -25,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import blocks, word_hashes, word_spans
+from .words import blocks, ngram_hashes, word_hashes, word_spans
 
 PASSAGE = 16  #: words
 RANK, OVERSAMPLE, POWER = 192, 16, 2
 COSINE = 0.75
 #: The part of a passage's latent length that a window must reach in its direction.
 MASS = 0.4
+#: The part of it that makes a window a candidate without regard to the window's other words.
+SHARE = 0.7
+RUN = 5  #: words that a document and an item share, as a candidate; no item has fewer
 #: Words in more than this share of all documents are stop words: weight 0, but for the
 #: rarest quarter of each item's words. They count in step 4.
 MAX_DF = 0.1
@@ -85,6 +91,24 @@ def passages(words: np.ndarray) -> list[np.ndarray]:
     return [words[s : s + PASSAGE] for s in starts]
 
 
+def runs(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the items' runs of RUN words, and the item that holds each."""
+    grams = [np.unique(ngram_hashes(w, RUN)) for w in items]
+    held, holder = np.concatenate(grams), np.repeat(np.arange(len(items)), [len(g) for g in grams])
+    order = np.argsort(held, kind="stable")
+    return held[order], holder[order]
+
+
+def _shared_runs(words: np.ndarray, first: np.ndarray, grams: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, item) of each run of RUN words in one document that an item holds."""
+    own = ngram_hashes(words, RUN)
+    doc_end = np.repeat(first[1:], np.diff(first))[: len(own)]
+    lo = np.searchsorted(grams, own)
+    at = np.flatnonzero((grams[np.minimum(lo, len(grams) - 1)] == own) & (np.arange(len(own)) + RUN <= doc_end))
+    n = np.searchsorted(grams, own[at], "right") - lo[at]
+    return np.repeat(at, n), holders[np.repeat(lo[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def _product(space):
     """Partial sums of A'(A X) over the benchmark's passages: one row of bytes a task."""
 
@@ -141,6 +165,7 @@ def _search(model, cover: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         known, idf, latent, queries, owner, items, ids = (m[k] for k in ("known", "idf", "latent", "queries", "owner", "items", "ids"))
+        grams, holders = m["grams"], m["holders"]
         weighted = (idf[:, None] * latent).astype(np.float32)
         mass, known = m["mass"], m["known"]
         least = MASS * mass[mass > 0].min(initial=np.inf)
@@ -168,10 +193,15 @@ def _search(model, cover: float):
                 for s in range(0, len(worth), WINDOWS):
                     some = worth[s : s + WINDOWS]
                     dots = folded[some] @ queries
-                    w, q = np.nonzero(dots >= COSINE * length[some][:, None])
-                    near = dots[w, q] >= MASS * mass[q]
-                    for x, y in zip(some[w[near]].tolist(), owner[q[near]].tolist()):
+                    w, q = np.nonzero((dots >= np.minimum(SHARE * mass, np.maximum(COSINE * length[some][:, None], MASS * mass))) & (mass > 0))
+                    for x, y in zip(some[w].tolist(), owner[q].tolist()):
                         hits.setdefault((int(cell_doc[x]), y), []).append(int(cell[x]))
+                place, held = _shared_runs(words, first, grams, holders)
+                if len(place):
+                    x = np.searchsorted(cell, place, "right") - 1
+                    x, held = np.unique(np.stack([x, held]), axis=1)
+                    for d, y, p in zip(cell_doc[x].tolist(), held.tolist(), cell[x].tolist()):
+                        hits.setdefault((d, y), []).append(p)
                 best: dict[tuple[int, int], float] = {}
                 for (d, y), places in hits.items():
                     item = items[y]
@@ -248,7 +278,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
             mass.append(np.linalg.norm(v))
             queries.append(v / max(1e-9, mass[-1]))
             owner.append(k)
+    grams, holders = runs([w for _, w in rows])
     model = spark.sparkContext.broadcast({
+        "grams": grams, "holders": holders,
         "known": known, "idf": idf, "latent": latent, "queries": np.ascontiguousarray(np.array(queries, np.float32).T), "mass": np.array(mass, np.float32), "owner": np.array(owner),
         "items": [w.tolist() for _, w in rows], "ids": [i for i, _ in rows],
     })

@@ -151,6 +151,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.where("item_id > 90")).count() == 0
 
 
+def test_decontamination_finds_copies_among_other_benchmark_words(spark):
+    items = [" ".join(f"w{k}x{i}" for i in range(16)) for k in range(60)]
+    texts = [" ".join(items[k : k + 5]) for k in range(0, 60, 5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(k // 5, k) for k in range(60)}
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)
