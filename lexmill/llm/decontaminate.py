@@ -214,7 +214,8 @@ def _search(model, cover: float):
                         lo, hi = max(int(first[d]), p - reach), min(end, p + 2 * PASSAGE + reach)
                         region = words[lo:hi].tolist()
                         if sum(x in inside[y] for x in region) >= cover * n:
-                            for a in range(lo, max(lo + 1, hi - reach + 1), max(1, n // 4)):
+                            last = max(lo, hi - reach)
+                            for a in (*range(lo, last, max(1, n // 4)), last):
                                 got = covered(item, words[a : min(hi, a + reach)].tolist(), cover)
                                 if got > best.get((d, y), 0.0):
                                     best[d, y] = got

@@ -159,6 +159,14 @@ def test_decontamination_finds_copies_among_other_benchmark_words(spark):
     assert got == {(k // 5, k) for k in range(60)}
 
 
+@pytest.mark.parametrize("n", [8, 16, 40])
+def test_decontamination_at_document_ends(spark, n):
+    item = " ".join(f"e{i}" for i in range(n))
+    texts = [" ".join([*(f"f{i}" for i in range(k)), item]) for k in range(2 * n + 1)]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert {r.doc_id: r.coverage for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == dict.fromkeys(range(len(texts)), 1.0)
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)
