@@ -22,9 +22,10 @@ from .scratch import Scratch
 #: Patterns by type, in the order in which they are tried: fixed values.
 TITLES = {"m": ["Mr", "Herr", "Sr", "Don"], "f": ["Mrs", "Ms", "Frau", "Mme", "Sra"]}
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: (-len(t), t)))
+_SECRET = r"(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+",
-    "secret": r"(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{8,128}",
+    "secret": rf"{_SECRET}\s{{0,3}}\"?[A-Za-z0-9_\-]{{8,128}}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "phone": r"\+\d{1,3}[ \-]?(?:\(\d{2,4}\)[ \-]?)?\d{2,4}(?:[ \-]\d{2,4}){1,4}(?!\d)",
     "card": r"(?<![\d\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\d\-])",
@@ -33,7 +34,7 @@ PATTERNS = {
 }
 COMBINED = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no mention.
-HINT = rf"[@0-9]|\b(?:{_TITLE})\b"
+HINT = rf"[@0-9]|\b(?:{_TITLE})\b|{_SECRET}"
 #: Documents with mentions up to this number have their replacements broadcast (some 100 bytes each); beyond it they are shuffled.
 BROADCAST_DOCS = 100_000
 

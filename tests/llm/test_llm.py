@@ -244,6 +244,12 @@ def test_pii(spark):
     assert m != "Smith" and m.endswith("o") and f.endswith("a") and new[7] == f"Mr. {m} again"
 
 
+def test_pii_of_letters_only_secrets(spark):
+    texts = ["the password=correcthorse works", 'a token : "correcthorse" here', "the password is correct"]
+    got = {r.doc_id: r for r in pii.replace_pii(docs(spark, texts), "k").collect()}
+    assert [got[i].n_mentions for i in range(3)] == [1, 1, 0] and "correcthorse" not in got[0].text + got[1].text and got[2].text == texts[2]
+
+
 @pytest.mark.parametrize("f", [near_dedup.near_duplicates, exact_dedup.exact_duplicates, lm_score.lm_scores, licenses.license_scan, sharding.shards, lambda d: bpe.encode_decode(d, RANKS, P.PATTERN), lambda d: pii.replace_pii(d, "k"), lambda d: decontaminate.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")), lambda d: quality.quality_scores(d, d.select("doc_id", F.lit(1).alias("quality"))), lambda d: url_filter.url_verdicts(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")))])
 def test_empty_and_all_null_tables(spark, f):
     assert f(docs(spark).limit(0)).count() == 0
