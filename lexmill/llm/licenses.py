@@ -8,6 +8,8 @@ occur in the rule's order, others in between allowed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,23 @@ RULES = {
     "proprietary": [["reserved"]],
 }
 #: Each normalised known sentence holds one of these words: texts without any are not cut.
-ANCHORS = ("licens", "copyright", "reserved", "redistribut", "permission", "warrant")
+ANCHORS = ("licens", "copyright", "reserved", "redistribut", "permission", "warrant", "free software")
+#: Where a sentence ends, but for line ends.
+ENDS = r"(?<=[.!?:;])\s+"
+
+
+def parts() -> dict[str, list[str]]:
+    """The known sentences by identifier, cut as texts are: a part of several is the identifier with its number."""
+    out = {}
+    for k, s in SENTENCES.items():
+        cut = [normal(x) for x in re.split(ENDS, s)]
+        out.update({k if len(cut) == 1 else f"{k}-{i}": x for i, x in enumerate(cut, 1)})
+    return out
+
+
+def ordered(rule: list[str], known: list[str]) -> list[str]:
+    """A rule's identifiers, each sentence of several parts replaced by its parts."""
+    return [p for k in rule for p in ([k] if k in known else [f"{k}-{i}" for i in range(1, 10) if f"{k}-{i}" in known])]
 
 
 def normal(text: str) -> str:
@@ -69,13 +87,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
     ``sentences`` joins the identifiers found, in text order, by ``,``; ``licenses`` joins
     the licences whose rules hold, sorted, by ``,``; n_sentences counts the identifiers.
     Sentences end at a line end, or at ``. ! ? : ;`` before white space; a licence text
-    wrapped over lines is found by cutting at the latter alone.
+    wrapped over lines is found by cutting at the latter alone. A known sentence with
+    such an end inside counts as its parts, ``NAME-1``, ``NAME-2``.
 
     Edge cases: null and empty texts have none. Repeated sentences count each time. Null
     and repeated doc_ids stay as they are. A two-clause rule also holds where the
     three-clause one does. Extra columns are ignored. An empty table gives an empty one.
     """
-    known = {normal(s): k for k, s in SENTENCES.items()}
+    by_name = parts()
+    known = {s: k for k, s in by_name.items()}
     assert all(any(a in s for a in ANCHORS) or "cc by" in s for s in known)
     table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -84,14 +104,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def ids(breaks: str) -> Column:
         return F.filter(F.transform(_sentences(text, breaks), lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
 
-    ends = r"(?<=[.!?:;])\s+"
-    rows = docs.select("doc_id", F.when(anchored, ids(ends + r"|[\r\n]+")).alias("by_line"), F.when(anchored, ids(ends)).alias("wrapped"))
+    rows = docs.select("doc_id", F.when(anchored, ids(ENDS + r"|[\r\n]+")).alias("by_line"), F.when(anchored, ids(ENDS)).alias("wrapped"))
     none = F.array().cast("array<string>")
     rows = rows.select("doc_id", F.when(F.size("wrapped") > F.size("by_line"), F.col("wrapped")).otherwise(F.coalesce("by_line", none)).alias("ids"), F.coalesce("wrapped", none).alias("other"))
     line = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
     other = F.concat(F.lit(","), F.array_join("other", ",,"), F.lit(","))
     found = []
     for name, rules in sorted(RULES.items()):
-        pattern = "|".join(".*".join(f",{k}," for k in rule) for rule in rules)
+        pattern = "|".join(".*".join(f",{k}," for k in ordered(rule, by_name)) for rule in rules)
         found.append(F.when(line.rlike(pattern) | other.rlike(pattern), F.lit(name)))
     return rows.select("doc_id", F.size("ids").alias("n_sentences"), F.array_join("ids", ",").alias("sentences"), F.concat_ws(",", *found).alias("licenses"))

@@ -206,6 +206,18 @@ def test_licenses(spark):
     assert [got[i] for i in range(len(texts))] == ["MIT", "Apache-2.0", "BSD-2-Clause", "", "MIT", "proprietary", "", "", ""]
 
 
+def test_every_known_sentence_and_rule_is_found_in_its_own_text(spark):
+    names = list(licenses.SENTENCES)
+    rules = [(name, rule) for name, some in licenses.RULES.items() for rule in some]
+    plain = [*licenses.SENTENCES.values(), *(" ".join(licenses.SENTENCES[k] for k in rule) for _, rule in rules)]
+    for texts in (plain, [re.sub(r"(\S+ \S+ \S+) ", r"\1\n", t) for t in plain]):
+        got = {r.doc_id: r for r in licenses.license_scan(docs(spark, texts)).collect()}
+        for i, k in enumerate(names):
+            assert {re.sub(r"(apache-head|gpl-free|gpl-hope)-\d$", r"\1", x) for x in got[i].sentences.split(",")} == {k}
+        for i, (name, _) in enumerate(rules, len(names)):
+            assert name in got[i].licenses.split(",")
+
+
 def test_quality(spark):
     good, bad = [prose(60) for _ in range(150)], [" ".join(w + "###" for w in prose(60).split()) for _ in range(50)]
     d = docs(spark, [*good, *bad, None, ""])
