@@ -161,11 +161,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(bits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, highest = [], []
             for k, a, b in zip(batch.column("kind").to_pylist(), batch.column("keys"), batch.column("counts")):
                 counts = np.frombuffer(b.as_py(), "<u4").astype(np.int64)
-                out.append(segment(np.frombuffer(a.as_py(), np.uint64), levels(counts, PAIR_BASE if k else WORD_BASE), bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("range"), pa.array(out, pa.binary())], names=["kind", "range", "filter"])
+                level = levels(counts, PAIR_BASE if k else WORD_BASE)
+                out.append(segment(np.frombuffer(a.as_py(), np.uint64), level, bits).tobytes())
+                highest.append(int(level.max(initial=0)))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("range"), pa.array(out, pa.binary()), pa.array(highest, pa.int64())], names=["kind", "range", "filter", "highest"])
 
     return run
 
@@ -173,9 +175,10 @@ def _segments(bits: float):
 class Filter:
     """Segments of one kind of n-gram, by range of the hash."""
 
-    def __init__(self, sizes: np.ndarray, words: bytes, base: float):
+    def __init__(self, sizes: np.ndarray, words: bytes, base: float, highest: int | None = None):
         self.sizes, self.words, self.table = sizes, np.frombuffer(words, np.uint64), level_counts(base)
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        self.highest = len(self.table) - 1 if highest is None else highest  # stored level: beyond it all hits are false
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts, by repeated membership probes."""
@@ -184,7 +187,7 @@ class Filter:
         level = np.zeros(len(keys), np.int64)
         at = np.flatnonzero(sizes > 0)
         k = 0
-        while len(at):
+        while len(at) and k < self.highest:
             k += 1
             place, mask = _places(keys[at], k, sizes[at])
             at = at[(self.words[starts[at] + place] & mask) == mask]
@@ -195,7 +198,7 @@ class Filter:
 def _scores(model, exact):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        words_filter, pairs_filter = Filter(*m["words"], WORD_BASE), Filter(*m["pairs"], PAIR_BASE)
+        words_filter, pairs_filter = Filter(*m["words"], WORD_BASE, m["highest"][0]), Filter(*m["pairs"], PAIR_BASE, m["highest"][1])
         n, v, discount, total = m["n"], m["v"], m["discount"], m["total"]
         unknown = discount * v / total if v else 1.0
         known = exact.value if exact is not None else None
@@ -263,15 +266,17 @@ def lm_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFr
     entries = sum(r["entries"] for r in sums.values())
     bits = min(BITS, MAX_FILTER_BYTES * 8 / max(1, entries))
     found: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
-    for r in merged.select("kind", "range", "keys", "counts").mapInArrow(_segments(bits), "kind int, range int, filter binary").toLocalIterator():
+    highest = [0, 0]
+    for r in merged.select("kind", "range", "keys", "counts").mapInArrow(_segments(bits), "kind int, range int, filter binary, highest long").toLocalIterator():
         found[r[0]][r[1]] = bytes(r[2])
+        highest[r[0]] = max(highest[r[0]], r[3])
     filters = [(np.array([len(found[k].get(r, b"")) // 8 for r in range(RANGES)], np.int64), b"".join(found[k].pop(r, b"") for r in range(RANGES))) for k in (0, 1)]
     discount = 0.0
     if sums:
         discount = sums[0]["once"] / max(1, sums[0]["once"] + 2 * sums[0]["twice"]) or 0.5
         discount = min(0.9, discount)
     starts = docs.where(fold != 1).count()
-    model = spark.sparkContext.broadcast({"n": n, "v": v, "discount": discount, "total": sums[0]["quantised"] if sums else 1.0, "starts": float(starts), "words": filters[0], "pairs": filters[1]})
+    model = spark.sparkContext.broadcast({"n": n, "v": v, "discount": discount, "total": sums[0]["quantised"] if sums else 1.0, "starts": float(starts), "highest": highest, "words": filters[0], "pairs": filters[1]})
     del filters
     exact = None
     rows = docs.select("doc_id", "text")

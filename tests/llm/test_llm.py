@@ -138,6 +138,13 @@ def test_filter_has_no_false_negatives():
     assert (f.counts(fresh) > 0).mean() < 0.12
 
 
+def test_filter_levels_end_at_the_highest_stored():
+    keys = np.random.default_rng(6).integers(0, 1 << 63, 200, dtype=np.uint64)
+    full = np.full(lm_score.RANGES, 2**64 - 1, np.uint64).tobytes()
+    f = lm_score.Filter(np.ones(lm_score.RANGES, np.int64), full, 1.5, 3)
+    assert (f.counts(keys) == lm_score.level_counts(1.5)[3]).all()
+
+
 def test_decontamination(spark):
     items = [prose(40) for _ in range(12)] + [prose(14)]
     para = items[1].split(" ")
