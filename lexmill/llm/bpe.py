@@ -183,4 +183,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CH
     encoded = spans.select("row", "doc_id", "chunk", "piece", "from_", "cut").mapInArrow(_spans(file, pattern), kind)
     whole = long.join(loose, "row").repartition("row").sortWithinPartitions("row", "chunk").select("row", "doc_id", "chunk", "chunks", "piece").mapInArrow(_whole(file, pattern, size), kind)
     joined = encoded.unionByName(whole).repartition("row").sortWithinPartitions("row", "chunk").mapInArrow(_digests(file, pattern), names)
-    return short.unionByName(joined)
+    return scratch.save(short.unionByName(joined))

@@ -1,37 +1,89 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is two joins on small rows; nothing of the graph comes to the driver
-but one count a round. Each round's edges are written to the shared folder. The rounds
-end when the edges are stars, which needs no further round to be seen.
+First each task joins its own edges to stars around their smallest nodes, so that what
+is shuffled is a forest a task, whatever the number of edges. Every round is then joins
+on small rows, written to the shared folder; nothing of the graph comes to the driver
+but the count and the sum of hashes of the round's edges, taken while they are written.
+The rounds end when a round changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Edges that a task holds at most before it sends their forest on.
+TASK_EDGES = 1_000_000
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``edges(u, v)`` -> ``(node, component)``: the smallest reachable node, for every node that has an edge.
+
+class Union:
+    """Disjoint sets of integers; each has its smallest member as root."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        top = x
+        while (up := self.above.get(top, top)) != top:
+            top = up
+        while (up := self.above.get(x, x)) != top:  # the path becomes short
+            self.above[x] = top
+            x = up
+        return top
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = Union()
+
+    def held() -> pa.RecordBatch:
+        rows = [(x, sets.root(x)) for x in list(sets.above)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            sets.join(u, v)
+        if len(sets.above) > TASK_EDGES:
+            yield held()
+            sets = Union()
+    yield held()
+
+
+def stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``edges(u, v)`` -> saved ``(node, component)``: the smallest reachable node, for every node but those that are it.
 
     Loops and repeated edges are allowed; nulls are not. An empty table gives an empty one.
     """
-    def settled(df: DataFrame) -> bool:
-        """Whether the edges are stars around their smallest nodes: each node has one edge down or only edges up."""
-        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(df.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        own = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-        return not own.agg(F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
-
-    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not settled(now):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    check = {"h": F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))}
+    forest = edges.select("u", "v").mapInArrow(_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    now = scratch.save(forest.distinct(), **check)
+    while now.facts["n"]:
+        down = now.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.save(small)
+        after = scratch.save(small.select(F.col("u").alias("node"), F.col("v").alias("component")), **check)
         scratch.drop(now)
-        now = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        same, now = after.facts == now.facts, after
+        if same:
+            break
+    return now
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``stars``, with a row for every node that has an edge to another."""
+    found = stars(edges, scratch)
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

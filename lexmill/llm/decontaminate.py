@@ -15,7 +15,9 @@
    item's answer (its last ANSWER_SHARE) must be covered as well. Paraphrases with
    changed, dropped or inserted words keep most of the sequence; chance matches don't.
 
-What is broadcast grows with the benchmark (the stated query set), not with the documents.
+What is broadcast and what the driver holds grows with the benchmark (the stated query
+set), not with the documents, and is bounded: a benchmark of more than PART_WORDS distinct
+words or PART_PASSAGES passages is searched in parts, each with a space of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .words import blocks, ngram_hashes, word_hashes, word_spans
 
 PASSAGE = 16  #: words
@@ -42,9 +44,9 @@ RUN = 5  #: words that a document and an item share, as a candidate; no item has
 #: rarest quarter of each item's words. They count in step 4.
 MAX_DF = 0.1
 COVER, ANSWER_SHARE, ANSWER_COVER = 0.6, 0.25, 0.5
-#: The benchmark's texts together: more is refused, for they are broadcast.
-MAX_BENCHMARK_BYTES = 64 << 20
-WINDOWS = 8192  #: windows in one matrix product
+#: A part of the benchmark: at RANK 192, its words' and passages' vectors take some 40 MB each.
+PART_WORDS, PART_PASSAGES = 50_000, 50_000
+CELLS = 16 << 20  #: numbers in the result of one matrix product: windows times passages
 
 
 def _words(text: pa.Array) -> list[np.ndarray]:
@@ -110,23 +112,43 @@ def _shared_runs(words: np.ndarray, first: np.ndarray, grams: np.ndarray, holder
 
 
 def _product(space):
-    """Partial sums of A'(A X) over the benchmark's passages: one row of bytes a task."""
+    """Partial sums of A'(A X) over the benchmark's passages: one row for each word that a task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf, x = space.value
-        total = np.zeros(x.shape)
+        met, total = np.zeros(len(known), np.int64) - 1, np.zeros((0, x.shape[1]))
         for batch in batches:
-            for words in _words(batch.column("text")):
-                for p in passages(words):
-                    if len(p):
-                        at = _lookup(known, p)
-                        weight = idf[at]
-                        np.add.at(total, at, weight[:, None] * (weight @ x[at])[None, :])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
+            for item in batch.column("words"):
+                words = _lookup(known, np.frombuffer(item.as_py(), np.uint64))
+                fresh = np.setdiff1d(words, np.flatnonzero(met >= 0))
+                met[fresh] = np.arange(len(total), len(total) + len(fresh))
+                total = np.concatenate([total, np.zeros((len(fresh), x.shape[1]))])
+                for at in passages(words):
+                    weight = idf[at]
+                    np.add.at(total, met[at], weight[:, None] * (weight @ x[at])[None, :])
+        at = np.flatnonzero(met >= 0)
+        for k in range(0, len(at), 1000):
+            some = at[k : k + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([total[m].tobytes() for m in met[some]], pa.binary())], names=["word", "row"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word: the sum of its rows, which come together."""
+    now, held = None, None
+    for batch in batches:
+        for word, row in zip(batch.column("word").to_pylist(), batch.column("row").to_pylist()):
+            if word == now:
+                held = held + np.frombuffer(row)
+                continue
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([held.tobytes()], pa.binary())], names=["word", "row"])
+            now, held = word, np.frombuffer(row)
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([held.tobytes()], pa.binary())], names=["word", "row"])
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     masks: dict[int, int] = {}
@@ -161,16 +183,19 @@ def _folded(weighted: np.ndarray, at: np.ndarray, cell: np.ndarray) -> np.ndarra
     return out
 
 
-def _search(model, cover: float):
+def _search(model, cover: float, clean: bool):
+    """Rows (doc_id, item_id, coverage) of what is found; with ``clean`` the rows of the input in which nothing is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         known, idf, latent, queries, owner, items, ids = (m[k] for k in ("known", "idf", "latent", "queries", "owner", "items", "ids"))
         grams, holders = m["grams"], m["holders"]
         weighted = (idf[:, None] * latent).astype(np.float32)
-        mass, known = m["mass"], m["known"]
+        mass = m["mass"]
         least = MASS * mass[mass > 0].min(initial=np.inf)
         heavy = np.r_[idf > 0, False]
         inside = [set(x) for x in items]
+        windows = max(1, CELLS // queries.shape[1])
         for batch in batches:
             docs, who, share = [], [], []
             for i, j, data, off in blocks(batch.column("text"), 1 << 20):
@@ -190,8 +215,8 @@ def _search(model, cover: float):
                 length = np.linalg.norm(folded, axis=1)
                 worth = np.flatnonzero(length >= least)
                 hits: dict[tuple[int, int], list[int]] = {}
-                for s in range(0, len(worth), WINDOWS):
-                    some = worth[s : s + WINDOWS]
+                for s in range(0, len(worth), windows):
+                    some = worth[s : s + windows]
                     dots = folded[some] @ queries
                     w, q = np.nonzero((dots >= np.minimum(SHARE * mass, np.maximum(COSINE * length[some][:, None], MASS * mass))) & (mass > 0))
                     for x, y in zip(some[w].tolist(), owner[q].tolist()):
@@ -222,69 +247,108 @@ def _search(model, cover: float):
                         done = p + PASSAGE // 2
                 for (d, y), got in best.items():
                     docs.append(i + d), who.append(ids[y]), share.append(got)
+            if clean:
+                stays = np.ones(batch.num_rows, bool)
+                stays[docs] = False
+                yield batch.filter(pa.array(stays))
+                continue
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(who, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "coverage"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)`` -> ``doc_id, item_id, coverage``: documents that hold an item or a paraphrase.
-
-    coverage is the share of the item's words, in order, that the document holds in a
-    stretch of one and a half times the item's length.
-
-    Edge cases: null and empty texts match nothing, on either side. Items under five
-    words match nothing: chance alone repeats them. Repeated rows are searched each on
-    their own and give a row each. Equal items each give a row. An empty benchmark or
-    an empty table gives an empty result. Extra columns are ignored.
-    """
+def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(item_ids, their words) of bounded parts of the benchmark's items of at least RUN words."""
+    ids, items, words, places = [], [], set(), 0
+    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        for own in _words(pa.array([r.text])):
+            if len(own) < RUN:
+                continue
+            if items and (len(words.union(own.tolist())) > PART_WORDS or places + len(passages(own)) > PART_PASSAGES):
+                yield ids, items
+                ids, items, words, places = [], [], set(), 0
+            ids.append(r.item_id), items.append(own), words.update(own.tolist())
+            places += len(passages(own))
+    if items:
+        yield ids, items
+
+
+def _model(docs: DataFrame, ids: list, items: list[np.ndarray]):
+    """The broadcast search model of one part of the benchmark."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "leaks")
-    bench = benchmark.select("item_id", "text").where("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; at most {MAX_BENCHMARK_BYTES} are broadcast")
-    rows = [(r.item_id, w) for r in bench.orderBy("item_id").collect() for w in _words(pa.array([r.text])) if len(w) >= 5]
-    if not rows:
-        return spark.createDataFrame([], "doc_id long, item_id long, coverage double")
-    known = np.unique(np.concatenate([w for _, w in rows]))
+    known = np.unique(np.concatenate(items))
     vocabulary = spark.sparkContext.broadcast(known)
     df, n = np.zeros(len(known)), 0
-    for word, count in docs.select("text").mapInArrow(_document_frequency(vocabulary), "word long, df long").groupBy("word").agg(F.sum("df")).collect():
-        if word < 0:
-            n = count
-        else:
-            df[word] = count
+    with small_batches(spark):
+        for word, count in docs.select("text").mapInArrow(_document_frequency(vocabulary), "word long, df long").groupBy("word").agg(F.sum("df")).collect():
+            if word < 0:
+                n = count
+            else:
+                df[word] = count
     vocabulary.destroy()
     stop = df > MAX_DF * n
-    for _, words in rows:  # an item's rarest words count, however common they are
+    for words in items:  # an item's rarest words count, however common they are
         own = np.unique(_lookup(known, words))
         stop[own[np.argsort(df[own], kind="stable")[: max(4, len(own) // 4)]]] = False
     idf = np.where(stop, 0.0, np.log((n + 1) / (df + 0.5)).clip(0.1))
 
     rank = min(RANK + OVERSAMPLE, len(known))
     x = np.linalg.qr(np.random.default_rng(11).standard_normal((len(known), rank)))[0]
+    table = spark.createDataFrame([(w.tobytes(),) for w in items], "words binary").repartition(max(1, min(spark.sparkContext.defaultParallelism, len(items) // 100)))
     for _ in range(POWER + 1):
         space = spark.sparkContext.broadcast((known, idf, x))
-        total = sum(np.frombuffer(bytes(r[0])).reshape(x.shape) for r in bench.select("text").mapInArrow(_product(space), "sum binary").collect())
+        sums = table.mapInArrow(_product(space), "word long, row binary").repartition("word").sortWithinPartitions("word").mapInArrow(_added, "word long, row binary")
+        total = np.zeros(x.shape)
+        for word, row in sums.toLocalIterator():
+            total[word] = np.frombuffer(bytes(row))
         space.destroy()
         x = np.linalg.qr(total)[0]
     latent = x[:, :RANK]
 
     queries, owner, mass = [], [], []
-    for k, (_, words) in enumerate(rows):
+    for k, words in enumerate(items):
         for p in passages(words):
-            weight = idf[_lookup(known, p)]
-            v = (weight[:, None] * latent[_lookup(known, p)]).sum(0)
+            at = _lookup(known, p)
+            v = (idf[at][:, None] * latent[at]).sum(0)
             mass.append(np.linalg.norm(v))
-            queries.append(v / max(1e-9, mass[-1]))
+            queries.append((v / max(1e-9, mass[-1])).astype(np.float32))
             owner.append(k)
-    grams, holders = runs([w for _, w in rows])
-    model = spark.sparkContext.broadcast({
-        "grams": grams, "holders": holders,
-        "known": known, "idf": idf, "latent": latent, "queries": np.ascontiguousarray(np.array(queries, np.float32).T), "mass": np.array(mass, np.float32), "owner": np.array(owner),
-        "items": [w.tolist() for _, w in rows], "ids": [i for i, _ in rows],
+    grams, holders = runs(items)
+    return spark.sparkContext.broadcast({
+        "grams": grams, "holders": holders, "known": known, "idf": idf, "latent": latent.astype(np.float32), "queries": np.ascontiguousarray(np.array(queries).T),
+        "mass": np.array(mass, np.float32), "owner": np.array(owner), "items": [w.tolist() for w in items], "ids": ids,
     })
-    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_search(model, cover), "doc_id long, item_id long, coverage double"))
-    model.destroy()
-    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)`` -> ``doc_id, item_id, coverage``: documents that hold an item or a paraphrase.
+
+    coverage is the share of the item's words, in order, that the document holds in a
+    stretch of one and a half times the item's length.
+
+    Edge cases: null and empty texts match nothing, on either side. Items under five
+    words match nothing: chance alone repeats them. Repeated rows are searched each on
+    their own and give a row each. Equal items each give a row. An empty benchmark or
+    an empty table gives an empty result. Extra columns are ignored.
+    """
+    scratch, out = Scratch(docs.sparkSession, "leaks"), None
+    for ids, items in _parts(benchmark):
+        model = _model(docs, ids, items)
+        found = scratch.save(docs.select("doc_id", "text").mapInArrow(_search(model, cover, False), "doc_id long, item_id long, coverage double"))
+        model.destroy()
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double") if out is None else out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item of the benchmark and no paraphrase of one.
+
+    Each row is judged by its own text, whatever its doc_id: rows with a null or repeated
+    doc_id too. Edge cases else as in ``contaminated``.
+    """
+    scratch, kind = Scratch(docs.sparkSession, "leaks"), docs.schema
+    for ids, items in _parts(benchmark):
+        model = _model(docs, ids, items)
+        docs = scratch.save(docs.mapInArrow(_search(model, cover, True), kind))
+        model.destroy()
+    return docs

@@ -23,6 +23,9 @@ from .scratch import Scratch
 from .words import _SPACE, blocks
 
 BLOCK = 4096  #: bytes of a block
+#: The rows of a class, those without a doc_id last.
+_ROWS = pa.list_(pa.struct([("no_id", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64())]))
+_ROWS_DDL = "array<struct<no_id:boolean,doc_id:long,row:long>>"
 
 
 def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +48,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, off in blocks(batch.column("text")):
             flat, at = normalised(data, off)
             raw = flat.tobytes()
-            for k, doc in enumerate(batch.column("doc_id").slice(i, j - i).to_pylist()):
-                classes.setdefault(raw[at[k] : at[k + 1]], []).append(doc)
+            for k, (doc, row) in enumerate(zip(*(batch.column(c).slice(i, j - i).to_pylist() for c in ("doc_id", "row")))):
+                classes.setdefault(raw[at[k] : at[k + 1]], []).append({"no_id": doc is None, "doc_id": doc, "row": row})
         out: list[tuple] = []
         for text, ids in classes.items():
             count = max(1, -(-len(text) // BLOCK))
@@ -54,7 +57,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((base + n, count, p, text[p * BLOCK : (p + 1) * BLOCK], None if p else ids, None if p else hashlib.sha256(text).hexdigest()))
             n += 1
         cols = list(zip(*out)) or [()] * 6
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), _ROWS, pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["cls", "count", "pos", "block", "ids", "sha"])
 
 
@@ -84,11 +87,13 @@ def _named(rows: DataFrame, keys: list[str], kept: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_naming(keys, names), f"{kept}, name long")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """``docs(doc_id long, text string, ...)`` -> ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row.
 
     Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` becomes one
-    space; of equal texts the row with the smallest doc_id stays.
+    space; of equal texts the row with the smallest doc_id stays, exactly one a group.
+    ``row`` names a column of unique longs that settles ties of doc_id; it comes back as
+    a further column ``row``. Without it ties are settled by the place in the input.
 
     Edge cases: a null text counts as empty; empty texts are equal to each other. Null
     doc_ids come after all others: one stays only if its whole group has none else,
@@ -96,11 +101,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored, whatever their names. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    cut = docs.select("doc_id", "text").mapInArrow(_cut, "cls long, count int, pos int, block binary, ids array<long>, sha string")
-    first = scratch.save(_named(cut, ["block"], "cls long, count int, pos int, ids array<long>, sha string"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    cut = docs.select("doc_id", "text", number.alias("row")).mapInArrow(_cut, f"cls long, count int, pos int, block binary, ids {_ROWS_DDL}, sha string")
+    most = F.max("count")
+    first = scratch.save(_named(cut, ["block"], f"cls long, count int, pos int, ids {_ROWS_DDL}, sha string"), most=most)
     done = first.where("count = 1").select("cls", "count", "name")
     level = first.where("count > 1").select("cls", "count", F.col("count").alias("width"), "pos", "name")
-    used, most = [first], first.agg(F.max("count")).first()[0] or 1
+    used, most = [first], first.facts["most"] or 1
     while most > 1:
         pairs = level.groupBy("cls", "count", "width", F.expr("pos div 2").cast("int").alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         named = scratch.save(_named(pairs.withColumn("width", F.expr("(width + 1) div 2").cast("int")), ["a", "b"], "cls long, count int, width int, pos int"))
@@ -108,10 +115,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         done = done.unionByName(named.where("width = 1").select("cls", "count", "name"))
         level, most = named.where("width > 1"), -(-most // 2)
     classes = first.where("pos = 0").select("cls", "ids", "sha").join(done, "cls")
-    row = F.explode(F.transform("ids", lambda x, i: F.struct(x.isNull().alias("no_id"), x.alias("doc_id"), F.col("cls").alias("cls"), i.alias("i"))))
-    first_row = F.array_min(F.transform("ids", lambda x, i: F.struct(x.isNull().alias("no_id"), x.alias("doc_id"), F.col("cls").alias("cls"), i.alias("i"))))
-    groups = classes.groupBy("count", "name").agg(F.min(first_row).alias("stays"), F.sum(F.size("ids")).cast("long").alias("group_size"))
-    out = classes.join(groups, ["count", "name"]).select(row.alias("row"), "stays", "group_size", "sha")
-    out = scratch.save(out.select("row.doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.col("sha").alias("text_sha256")))
+    groups = classes.groupBy("count", "name").agg(F.min(F.array_min("ids")).alias("stays"), F.sum(F.size("ids")).cast("long").alias("group_size"))
+    out = classes.join(groups, ["count", "name"]).select(F.explode("ids").alias("own"), "stays", "group_size", "sha")
+    out = scratch.save(out.select("own.doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("own") == F.col("stays")).alias("kept"), F.col("sha").alias("text_sha256"), "own.row"))
     scratch.drop(*used)
-    return out
+    return out.drop("row") if row is None else out

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 from .words import blocks, word_hashes, word_spans
@@ -32,14 +33,22 @@ _CLASSES = {
     "symbol": b"#$%&*|<>=+@^~_\\/{}[]",
     "line": b"\n",
 }
+#: In front of the statistics' column names, so that no other column's name clashes with them.
+MARK = "quality statistic: "
 STATISTICS = ["n_bytes", "n_words", "word_length", "distinct_words", "top_word", "line_words", "repeated_lines", *_CLASSES]
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _masks() -> dict[str, np.ndarray]:
     masks = {}
     for name, chars in _CLASSES.items():
         masks[name] = np.zeros(256, np.uint8)
         masks[name][list(chars)] = 1
+    return masks
+
+
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to blocks of bounded bytes, with the statistics of their column ``text`` behind the other columns."""
+    masks = _masks()
     for batch in batches:
         for i, j, data, off in blocks(batch.column("text")):
             n = np.diff(off)
@@ -69,7 +78,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, m in masks.items():
                 stat[name] = summed(m[data], off) / np.maximum(n, 1)
             stat["line_words"] = np.log1p(count / (1 + summed(masks["line"][data], off)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *(pa.array(stat[s].astype(np.float64)) for s in STATISTICS)], names=["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *(pa.array(stat[s].astype(np.float64)) for s in STATISTICS)], names=[*batch.schema.names, *(f"{MARK}{s}" for s in STATISTICS)])
 
 
 @dataclass(frozen=True)
@@ -84,7 +93,7 @@ class Rules:
         for conditions, weight in self.rules:
             holds = F.lit(True)
             for name, above, cut in conditions:
-                holds = holds & ((F.col(name) > cut) if above else (F.col(name) <= cut))
+                holds = holds & ((F.col(MARK + name) > cut) if above else (F.col(MARK + name) <= cut))
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -154,7 +163,31 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Rules:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_statistics, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    """``docs`` with the statistics of its column ``text``, in one pass."""
+    return docs.mapInArrow(_statistics, T.StructType([*docs.schema.fields, *(T.StructField(f"{MARK}{s}", T.DoubleType()) for s in STATISTICS)]))
+
+
+def _fold() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Rules:
+    """Rules learnt from the labelled rows outside of the held-out fold: from at most FIT_ROWS, those with the smallest hash of doc_id.
+
+    Where there are more, a threshold on the hash leaves about a fifth more than are
+    needed before any rows are sorted, so that tasks send no more than these to the driver.
+    """
+    known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality")).where(_fold() != 0)
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    n, rank = rows.count(), F.xxhash64("doc_id")
+    if n > FIT_ROWS:
+        share = 1.2 * FIT_ROWS / n
+        near = rows.where(rank.cast("double") < -(2.0**63) + share * 2.0**64)
+        rows = near if share < 1 and near.count() >= FIT_ROWS else rows
+    stats = [f"{MARK}{s}" for s in STATISTICS]
+    sample = scratch.save(statistics(rows).select("doc_id", "quality", *stats))
+    sample = sample.orderBy(rank, "doc_id", *(F.col(f"`{s}`") for s in stats), "quality").limit(FIT_ROWS).toPandas()
+    return fit(sample[stats].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -166,14 +199,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
     Edge cases: null and empty texts have statistics 0 and are scored like any other.
     A null doc_id gives held_out null. Null labels are not learned from; a doc_id with
-    several labels gives several learning rows. Without both labels the score is their
-    smoothed share. Other columns are ignored. An empty table gives an empty one.
+    several labels, or a repeated one, gives several learning rows. Without both labels
+    the score is their smoothed share. Other columns are ignored. An empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = fitted(docs, labels, scratch)
+    out = statistics(docs.select("doc_id", "text")).select("doc_id", (_fold() == 0).alias("held_out"), model.score().alias("score"))
+    return scratch.save(out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the classifier does not reject.
+
+    Each row is judged by its own text, whatever its doc_id: rows with a null or repeated
+    doc_id too. Edge cases else as in ``quality_scores``.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(statistics(docs))
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("quality")).where(fold != 0)
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "quality").limit(FIT_ROWS).toPandas()
-    model = fit(sample[STATISTICS].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
-    out = stats.select("doc_id", (fold == 0).alias("held_out"), model.score().alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    model = fitted(docs, labels, scratch)
+    return scratch.save(statistics(docs).where(model.score() >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns)))

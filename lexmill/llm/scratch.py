@@ -2,43 +2,65 @@
 
 A table written here cuts the lineage: what comes after it is recomputed from
 the files, not from the shuffles before it, so a lost executor costs little.
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a folder of our own is used.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and
+the session runs in one machine (tests, a laptop) a folder of our own is used; a
+cluster without the setting is refused, for its executors share no other folder.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: with rows of some kB, a Python worker then holds some MB of a batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that goes to a Python worker (the bytes: where Spark knows the setting).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 LOCAL_DEFAULT = "/tmp/checkpoints/lexmill"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return LOCAL_DEFAULT
+    raise ValueError("spark.checkpoint.dir is unset: set it to a folder that all executors share")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The settings of BATCH while a plan is made and run; the session's own ones afterwards."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Names, writes, rereads and deletes the intermediate tables of one operator run."""
 
     def __init__(self, spark: SparkSession, owner: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/lexmill-{owner}-{uuid.uuid4().hex}", 0
-        self._release()
-
-    def _release(self) -> None:
-        """Let the driver free the plans, broadcasts and shuffles of operators that ran before in this session."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the table read back from its files."""
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/lexmill-{owner}-{uuid.uuid4().hex}", 0
+
+    def save(self, df: DataFrame, **sums: Column) -> DataFrame:
+        """Write ``df`` and return the table read back from its files.
+
+        Its ``facts`` have the rows' number ``n`` and the aggregates ``sums``, taken while the rows were written.
+        """
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{self.n}", Observation()
+        with small_batches(self.spark):
+            df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items())).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        out._scratch_path, out.facts = path, seen.get
         return out
 
     def drop(self, *tables: DataFrame) -> None:
