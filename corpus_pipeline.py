@@ -1,56 +1,59 @@
-"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, encoding."""
+"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, encoding.
+
+Every decision is taken and applied row by row: rows with a null doc_id, or one that
+repeats, are judged like all others, each by its own text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe import encode_decode
-from lexmill.llm.decontaminate import contaminated
+from lexmill.llm.decontaminate import uncontaminated
 from lexmill.llm.exact_dedup import exact_duplicates
 from lexmill.llm.near_dedup import near_duplicates
-from lexmill.llm.quality import quality_scores
+from lexmill.llm.quality import accepted
 from lexmill.llm.scratch import Scratch
 
-#: Ids to drop up to this number are broadcast (8 bytes each); beyond it they are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Rows to drop up to this number are broadcast (8 bytes each); beyond it they are shuffled.
+BROADCAST_ROWS = 1_000_000
+
 
+def _without_copies(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame], drops: Column) -> DataFrame:
+    """``docs`` without the rows that ``find(numbered docs, name of the number)`` gives and for which ``drops`` holds.
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows with a null doc_id stay."""
-    ids = Scratch(docs.sparkSession, "drop").save(ids.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+    The numbers are written once with the rows, so that every reader sees the same ones.
+    """
+    scratch, number = Scratch(docs.sparkSession, "rows"), "row number"
+    while number in docs.columns:
+        number += "_"
+    numbered = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
+    gone = scratch.save(find(numbered, number).where(drops).select(F.col("row").alias(number)))
+    return numbered.join(F.broadcast(gone) if gone.facts["n"] <= BROADCAST_ROWS else gone, number, "left_anti").drop(number)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 0"))
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays. Rows that repeat a doc_id, or have none, are told apart by their texts."""
-    found = exact_duplicates(docs)
-    odd = Scratch(spark, "odd").save(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
-    plain = _without(docs.where("doc_id is not null"), found.where("not kept").select("doc_id").unionByName(odd))
-    if not odd.limit(1).count():
-        return plain
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    stays = found.where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("own"))
-    some = docs.withColumn("_sha", sha).join(odd.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    some = some.join(stays, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("own")), "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return plain.unionByName(some.select(docs.columns))
+    """One row of each group of equal texts stays, the one with the smallest doc_id."""
+    return _without_copies(docs, exact_duplicates, ~F.col("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs, similarity=0.8).where("not kept"))
+    """One row of each group of near duplicates stays, the one with the smallest doc_id; rows without words all stay."""
+    return _without_copies(docs, lambda rows, number: near_duplicates(rows, 0.8, number), ~F.col("stays"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item or a paraphrase of one."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
