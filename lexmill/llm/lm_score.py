@@ -2,47 +2,56 @@
 
 Counting: each task counts its words and word pairs with NumPy and sends sorted
 (hash, count) runs, dealt by ranges of the hash, to where each range is merged; what is
-sent grows with the corpus. A count c becomes level 1 + floor(log_b c); the filter
-stores (n-gram, 1), ..., (n-gram, level), so a level is read back by probing 1, 2, ...
-until the first miss. Each range becomes one segment of the filter; the segments are
-broadcast. The size of the filter is bounded: beyond MAX_FILTER_BYTES it gets fewer
-bits for each entry (more false positives), never fewer entries.
+sent grows with the corpus, and so does the number of ranges. A count c becomes level
+1 + floor(log_b c); the filter stores (n-gram, 1), ..., (n-gram, level), so a level is
+read back by probing 1, 2, ... until the first miss, up to the highest stored one. Each
+range becomes one segment of the filter, with BITS bits for each entry at every size.
+
+Scoring: filter and exact word counts of at most BROADCAST_BYTES are broadcast. Beyond it
+the probes go to the filter: each block of texts sends its distinct n-grams, by range,
+to the segment of that range and gets levels and counts back. Both ways read the same
+segments and give the same scores.
 
 Model: words have absolutely discounted counts, the discounted mass is the chance of
 the one unknown word; pairs are smoothed towards words,
     p(w | v) = (c(v, w) + KAPPA p(w)) / (c(v) + KAPPA).
-
-The base score needs exact word counts. They are broadcast as two sorted arrays
-when they have at most BROADCAST_WORDS words (12 bytes each); beyond it each
-document's words are joined with the counts instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .words import blocks, mix, word_hashes, word_spans
 
-RANGES = 1024  #: ranges of hashes, as a power of two
+RANGES = 1024  #: ranges of hashes at least
+RANGE_BYTES = 64 << 20  #: bytes of training text for each range at most
 BITS, PROBES = 9, 5  #: bits of the filter for each entry, hash functions
 WORD_BASE, PAIR_BASE = 1.1, 1.5
 KAPPA = 200.0
-MAX_FILTER_BYTES = 256 << 20
-BROADCAST_WORDS = 20_000_000
-#: Pairs that a task gathers before it sends them: 16 bytes each while they are sorted.
+BROADCAST_BYTES = 128 << 20
+#: Pairs that a task gathers before it sends them, and entries that are merged at once: 16 bytes each while they are sorted.
 TASK_PAIRS = 2_000_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
+
+
 _SHIFT = np.uint64(64 - RANGES.bit_length() + 1)
 
 
+def _range(keys: np.ndarray, ranges: int = RANGES) -> np.ndarray:
+    """The range of each hash: its leading bits. ``ranges`` is a power of two, at least RANGES."""
+    return keys >> (_SHIFT - np.uint64((ranges // RANGES).bit_length() - 1))
+
+
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes with one end token after each document, hashes of (word before, word), offsets by document)."""
     starts, ends, first = word_spans(data, off)
@@ -72,33 +81,38 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[at], np.add.reduceat(counts, at)
 
 
-def _runs(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values: the items of ``data`` from each place in ``at`` to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _runs(kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """One row for each range: its sorted hashes and their counts."""
-    cut = np.searchsorted(keys >> _SHIFT, np.arange(RANGES + 1, dtype=np.uint64))
-    small = counts.astype(np.uint32)
-    rows = [r for r in range(RANGES) if cut[r] < cut[r + 1]]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([keys[cut[r] : cut[r + 1]].tobytes() for r in rows], pa.binary()), pa.array([small[cut[r] : cut[r + 1]].tobytes() for r in rows], pa.binary())],
-        names=["kind", "range", "keys", "counts"],
-    )
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[np.ndarray]] = [[], []]
-    n = 0
-    for batch in batches:
-        for _, _, data, off in blocks(batch.column("text")):
-            words, pairs, _ = tokens(data, off)
-            held[0].append(words)
-            held[1].append(pairs)
-            n += len(pairs)
-            if n >= TASK_PAIRS:
-                for kind in (0, 1):
-                    yield from _runs(kind, *_summed(np.concatenate(held[kind])))
-                held, n = [[], []], 0
-    if n:
-        for kind in (0, 1):
-            yield from _runs(kind, *_summed(np.concatenate(held[kind])))
+    where = _range(keys, ranges)
+    at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    rows, cut = where[at].astype(np.int32), np.r_[at, len(keys)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows), _binary(keys, cut), _binary(counts.astype("<i8"), cut)], names=["kind", "range", "keys", "counts"])
+
+
+def _count(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+        n = 0
+        for batch in batches:
+            for _, _, data, off in blocks(batch.column("text")):
+                words, pairs, _ = tokens(data, off)
+                held[0].append(words)
+                held[1].append(pairs)
+                n += len(pairs)
+                if n >= TASK_PAIRS:
+                    for kind in (0, 1):
+                        yield _runs(kind, *_summed(np.concatenate(held[kind])), ranges)
+                    held, n = [[], []], 0
+        if n:
+            for kind in (0, 1):
+                yield _runs(kind, *_summed(np.concatenate(held[kind])), ranges)
+
+    return run
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -125,9 +139,9 @@ def _places(keys: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.n
     return place.astype(np.int64), bits
 
 
-def segment(keys: np.ndarray, level: np.ndarray, bits: float) -> np.ndarray:
+def segment(keys: np.ndarray, level: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The filter of one range, as 64-bit words; all bits of an entry are in one of them, so a probe is one read."""
-    words = max(1, int(level.sum() * bits / 64) + 1)
+    words = int(level.sum()) * bits // 64 + 1
     out = np.zeros(words, np.uint64)
     for k in range(1, int(level.max(initial=0)) + 1):
         place, mask = _places(keys[level >= k], k, words)
@@ -135,115 +149,224 @@ def segment(keys: np.ndarray, level: np.ndarray, bits: float) -> np.ndarray:
     return out
 
 
+_BASE = (WORD_BASE, PAIR_BASE)
+_SEGMENT = "kind int, range int, keys binary, counts binary, filter binary, n long, total long, once long, twice long, size long, highest int, quantised double"
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of a (kind, range) become one; rows come sorted by both."""
-    now, held = None, []
+    """All runs of a (kind, range) become one row with its segment; rows come sorted by both."""
+    now, held, n = None, [], 0
 
     def flush() -> pa.RecordBatch:
         keys, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        kind = now[0]
-        level = levels(counts, PAIR_BASE if kind else WORD_BASE)
-        some = [[now[0]], [now[1]], [keys.tobytes()], [counts.astype("<u4").tobytes()], [len(keys)], [int(counts.sum())], [int((counts == 1).sum())], [int((counts == 2).sum())], [int(level.sum())], [float(level_counts(PAIR_BASE if kind else WORD_BASE)[level].sum())]]
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(some, types)], names=["kind", "range", "keys", "counts", "n", "total", "once", "twice", "entries", "quantised"])
+        kind, where = now
+        level = levels(counts, _BASE[kind])
+        exact = [keys.tobytes(), counts.astype("<i8").tobytes()] if kind == 0 else [None, None]  # of pairs only the filter is kept
+        own = segment(keys, level)
+        row = [kind, where, *exact, own.tobytes(), len(keys), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()), own.nbytes, int(level.max()), float(level_counts(_BASE[kind])[level].sum())]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.int32(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[x.split()[0] for x in _SEGMENT.split(", ")])
 
     for batch in batches:
         for k, r, a, b in zip(batch.column("kind").to_pylist(), batch.column("range").to_pylist(), batch.column("keys"), batch.column("counts")):
             if now != (k, r):
                 if now:
                     yield flush()
-                now, held = (k, r), []
-            held.append((np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint32).astype(np.int64)))
+                now, held, n = (k, r), [], 0
+            held.append((np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), "<i8")))
+            n += len(held[-1][0])
+            if n > TASK_PAIRS and len(held) > 1 and n > 2 * len(held[0][0]):
+                held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                n = len(held[0][0])
     if now:
         yield flush()
 
 
-def _segments(bits: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, highest = [], []
-            for k, a, b in zip(batch.column("kind").to_pylist(), batch.column("keys"), batch.column("counts")):
-                counts = np.frombuffer(b.as_py(), "<u4").astype(np.int64)
-                level = levels(counts, PAIR_BASE if k else WORD_BASE)
-                out.append(segment(np.frombuffer(a.as_py(), np.uint64), level, bits).tobytes())
-                highest.append(int(level.max(initial=0)))
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("range"), pa.array(out, pa.binary()), pa.array(highest, pa.int64())], names=["kind", "range", "filter", "highest"])
-
-    return run
-
-
 class Filter:
-    """Segments of one kind of n-gram, by range of the hash."""
+    """Segments of one kind of n-gram, by range of the hash: their sizes in words, and their words one behind the other."""
 
-    def __init__(self, sizes: np.ndarray, words: bytes, base: float, highest: int | None = None):
+    def __init__(self, sizes: np.ndarray, words: np.ndarray | bytes, base: float, highest: int | None = None):
         self.sizes, self.words, self.table = sizes, np.frombuffer(words, np.uint64), level_counts(base)
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
         self.highest = len(self.table) - 1 if highest is None else highest  # stored level: beyond it all hits are false
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, by repeated membership probes."""
-        where = (keys >> _SHIFT).astype(np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Stored levels, by repeated membership probes; beyond the highest stored level all hits are false."""
+        where = _range(keys, len(self.sizes)).astype(np.int64) if len(self.sizes) > 1 else np.zeros(len(keys), np.int64)
         sizes, starts = self.sizes[where], self.starts[where]
         level = np.zeros(len(keys), np.int64)
         at = np.flatnonzero(sizes > 0)
-        k = 0
-        while len(at) and k < self.highest:
-            k += 1
+        for k in range(1, self.highest + 1):
+            if not len(at):
+                break
             place, mask = _places(keys[at], k, sizes[at])
             at = at[(self.words[starts[at] + place] & mask) == mask]
             level[at] = k
-        return self.table[np.minimum(level, len(self.table) - 1)]
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The counts that the levels stand for."""
+        return self.table[self.levels(keys)]
 
 
-def _scores(model, exact):
+def _exact(known: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The counts of ``keys`` among the sorted ``known`` ones; 0 for others."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    found = np.searchsorted(known, keys)
+    found[found == len(known)] = 0
+    return np.where(known[found] == keys, counts[found], 0)
+
+
+@dataclass(frozen=True)
+class Model:
+    """What the scores need besides counts: tokens, distinct words, discount, quantised tokens, training texts."""
+
+    n: int
+    v: int
+    discount: float
+    total: float
+    starts: int
+
+    def scored(self, words: np.ndarray, at: np.ndarray, which: np.ndarray, level: np.ndarray, exact: np.ndarray, pair_level: np.ndarray) -> list[np.ndarray]:
+        """(n_tokens, n_known, base_score, score) of each text: its tokens' distinct words ``which`` with level and exact count, and its pairs' levels."""
+        c = level_counts(WORD_BASE)[level]
+        unknown = self.discount * self.v / self.total if self.v else 1.0
+        p = np.where(c > 0, (c - self.discount) / self.total, unknown)[which]
+        c, exact = c[which], exact[which]
+        before = np.r_[0.0, c[:-1]]
+        before[at[:-1]] = self.starts
+        pair = np.where(c > 0, np.minimum(level_counts(PAIR_BASE)[pair_level], before), 0)
+        logp = np.log10((pair + KAPPA * p) / (before + KAPPA))
+        base = np.log10((exact + 0.5) / (self.n + 0.5 * (self.v + 1)))
+        return [np.diff(at), np.add.reduceat((exact > 0).astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(logp, at[:-1])]
+
+
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _rows(ids: pa.Array, scores: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, scores)], names=[x.split()[0] for x in _SCORES.split(", ")])
+
+
+def _broadcast_scores(held, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        words_filter, pairs_filter = Filter(*m["words"], WORD_BASE, m["highest"][0]), Filter(*m["pairs"], PAIR_BASE, m["highest"][1])
-        n, v, discount, total = m["n"], m["v"], m["discount"], m["total"]
-        unknown = discount * v / total if v else 1.0
-        known = exact.value if exact is not None else None
+        filters, known, counts = held.value
         for batch in batches:
             for i, j, data, off in blocks(batch.column("text")):
                 words, pairs, at = tokens(data, off)
                 unique, which = np.unique(words, return_inverse=True)
-                c = words_filter.counts(unique)
-                p = np.where(c > 0, (c - discount) / total, unknown)
-                before = np.where(np.arange(len(words)) == 0, 0, np.r_[0.0, c[which][:-1]])
-                before[at[:-1]] = m["starts"]
-                pair = np.where(c[which] > 0, np.minimum(pairs_filter.counts(pairs), before), 0)
-                logp = np.log10((pair + KAPPA * p[which]) / (before + KAPPA))
-                score = np.add.reduceat(logp, at[:-1])
-                cols = [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at))]
-                if known is not None:
-                    keys, counts = known
-                    found = np.searchsorted(keys, unique)
-                    found[found == len(keys)] = 0
-                    exactly = np.where(keys[found] == unique, counts[found], 0)[which] if len(keys) else np.zeros(len(words))
-                    base = np.log10((exactly + 0.5) / (n + 0.5 * (v + 1)))
-                    cols += [pa.array(np.add.reduceat((exactly > 0).astype(np.int64), at[:-1])), pa.array(np.add.reduceat(base, at[:-1]))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=["doc_id", "n_tokens", *(["n_known", "base_score"] if known is not None else []), "score"])
+                yield _rows(batch.column("doc_id").slice(i, j - i), model.scored(words, at, which, filters[0].levels(unique), _exact(known, counts, unique), filters[1].levels(pairs)))
 
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, word, tf) of each document: the way beyond BROADCAST_WORDS."""
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in numbered blocks of bounded bytes."""
+    n = TaskContext.get().partitionId() << 36
     for batch in batches:
-        rows = batch.column("row").to_numpy()
-        for i, j, data, off in blocks(batch.column("text")):
-            words, _, at = tokens(data, off)
-            for k in range(j - i):
-                u, c = np.unique(words[at[k] : at[k + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rows[i + k])), pa.array(u.view(np.int64)), pa.array(c)], names=["row", "word", "tf"])
+        for i, j, _, _ in blocks(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, n)), *(batch.column(c).slice(i, j - i) for c in ("doc_id", "text"))], names=["block", "doc_id", "text"])
+            n += 1
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _together(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of ``key`` as one batch; they come together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for a, b in zip(batch.column("keys"), batch.column("counts")):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a.as_py(), np.int64)), pa.array(np.frombuffer(b.as_py(), "<u4").astype(np.int64))], names=["word", "c"])
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and held[0].column(key)[0].as_py() != values[a]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _distinct(texts: pa.Array) -> tuple:
+    """(words, pairs, at, distinct words, which, distinct pairs, which) of a block of texts."""
+    every, at, n = [[], []], [np.zeros(1, np.int64)], 0
+    for _, _, data, off in blocks(texts):
+        words, pairs, own = tokens(data, off)
+        every[0].append(words), every[1].append(pairs), at.append(own[1:] + n)
+        n += len(words)
+    words, pairs = (np.concatenate(x) for x in every)
+    return words, np.concatenate(at), *np.unique(words, return_inverse=True), *np.unique(pairs, return_inverse=True)
+
+
+def _probes(ranges: int):
+    """For each block, kind and range one row of distinct n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _together(batches, "block"):
+            _, _, words, _, pairs, _ = _distinct(batch.column("text"))
+            for kind, keys in enumerate((words, pairs)):
+                rows = _runs(kind, keys, np.zeros(len(keys)), ranges)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, batch.column("block")[0].as_py())), *rows.columns[:3]], names=["block", "kind", "range", "keys"])
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels and exact counts of each probe's n-grams: a range's segment comes first, its probes behind it."""
+    now = own = None
+    for batch in batches:
+        out: list[tuple] = []
+        for kind, where, block, keys, counts, words, highest in zip(*(batch.column(c) for c in ("kind", "range", "block", "keys", "counts", "filter", "highest"))):
+            kind, where, block, keys = kind.as_py(), where.as_py(), block.as_py(), np.frombuffer(keys.as_py() or b"", np.uint64)
+            if block is None:
+                now, flat = (kind, where), np.frombuffer(words.as_py(), np.uint64)
+                own = Filter(np.array([len(flat)]), flat, _BASE[kind], highest.as_py()), keys, np.frombuffer(counts.as_py() or b"", "<i8")
+                continue
+            level, exact = np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8")
+            if now == (kind, where):
+                level[:] = own[0].levels(keys)
+                exact[:] = _exact(own[1], own[2], keys)
+            out.append((block, kind, where, level.tobytes(), exact.tobytes() if kind == 0 else None))
+        cols = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "kind", "range", "levels", "counts"])
+
+
+def _joined_scores(model: Model):
+    """Scores of blocks: a block's answers come first, by kind and range, its texts behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _together(batches, "block"):
+            kind = batch.column("kind").to_pylist()
+            texts = pa.array([k for k, x in enumerate(kind) if x is None])
+            words, at, _, which, _, which_pair = _distinct(batch.column("text").take(texts))
+            level, pair_level = (np.concatenate([np.frombuffer(b.as_py(), "<i8") for b, x in zip(batch.column("levels"), kind) if x == k]) for k in (0, 1))
+            exact = np.concatenate([np.frombuffer(b.as_py(), "<i8") for b, x in zip(batch.column("counts"), kind) if x == 0])
+            yield _rows(batch.column("doc_id").take(texts), model.scored(words, at, which, level, exact, pair_level[which_pair]))
+
+    return run
+
+
+def _segments(scratch: Scratch, training: DataFrame, ranges: int) -> DataFrame:
+    """One row for each (kind, range) with n-grams; its ``facts`` have the sums over both kinds."""
+    counted = training.mapInArrow(_count(ranges), "kind int, range int, keys binary, counts binary")
+    merged = counted.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_merge, _SEGMENT)
+    sums = {f"{c}{k}": F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)) for k in (0, 1) for c in ("n", "total", "once", "twice", "size", "quantised")}
+    return scratch.save(merged, **sums, highest0=F.max(F.when(F.col("kind") == 0, F.col("highest"))), highest1=F.max(F.when(F.col("kind") == 1, F.col("highest"))))
+
+
+def _held(segments: DataFrame, ranges: int) -> tuple:
+    """Filters of both kinds, and the sorted words with their exact counts. Of at most the bytes that may be broadcast."""
+    filters = []
+    for kind in (0, 1):
+        sizes = np.zeros(ranges, np.int64)
+        table = segments.where(F.col("kind") == kind).select("range", "filter", "keys", "counts").toArrow().sort_by("range")
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("filter")]
+        sizes[table.column("range").to_numpy()] = [len(x) for x in parts]
+        filters.append(Filter(sizes, np.concatenate([np.zeros(0, np.uint64), *parts]), _BASE[kind], segments.facts[f"highest{kind}"] or 0))
+        if kind == 0:
+            known, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_py(), t) for x in table.column(c))]) for c, t in (("keys", np.uint64), ("counts", "<i8")))
+    return filters, known, counts
 
 
-def lm_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per input row.
 
     Learned from all texts whose crc32(doc_id as text) mod 5 is not 1; score is the
@@ -257,45 +380,32 @@ def lm_scores(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFr
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    counted = docs.where(fold != 1).select("text").mapInArrow(_count, "kind int, range int, keys binary, counts binary")
-    merged = scratch.save(
-        counted.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_merge, "kind int, range int, keys binary, counts binary, n long, total long, once long, twice long, entries long, quantised double")
-    )
-    sums = {r["kind"]: r for r in merged.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n", "total", "once", "twice", "entries", "quantised"))).collect()}
-    n, v = (sums[0]["total"], sums[0]["n"]) if sums else (0, 0)
-    entries = sum(r["entries"] for r in sums.values())
-    bits = min(BITS, MAX_FILTER_BYTES * 8 / max(1, entries))
-    found: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
-    highest = [0, 0]
-    for r in merged.select("kind", "range", "keys", "counts").mapInArrow(_segments(bits), "kind int, range int, filter binary, highest long").toLocalIterator():
-        found[r[0]][r[1]] = bytes(r[2])
-        highest[r[0]] = max(highest[r[0]], r[3])
-    filters = [(np.array([len(found[k].get(r, b"")) // 8 for r in range(RANGES)], np.int64), b"".join(found[k].pop(r, b"") for r in range(RANGES))) for k in (0, 1)]
-    discount = 0.0
-    if sums:
-        discount = sums[0]["once"] / max(1, sums[0]["once"] + 2 * sums[0]["twice"]) or 0.5
-        discount = min(0.9, discount)
-    starts = docs.where(fold != 1).count()
-    model = spark.sparkContext.broadcast({"n": n, "v": v, "discount": discount, "total": sums[0]["quantised"] if sums else 1.0, "starts": float(starts), "highest": highest, "words": filters[0], "pairs": filters[1]})
-    del filters
-    exact = None
-    rows = docs.select("doc_id", "text")
-    if v <= broadcast_words:
-        parts = merged.where("kind = 0").select("range", "keys", "counts").collect()
-        parts.sort()
-        exact = spark.sparkContext.broadcast((np.frombuffer(b"".join(bytes(r[1]) for r in parts), np.uint64), np.frombuffer(b"".join(bytes(r[2]) for r in parts), "<u4")))
-        out = rows.mapInArrow(_scores(model, exact), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    training = docs.where(fold != 1).select("text")
+    starts, size = training.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = RANGES
+    while ranges * RANGE_BYTES < size:
+        ranges *= 2
+    segments = _segments(scratch, training, ranges)
+    f = segments.facts
+    n, v = f["total0"] or 0, f["n0"] or 0
+    discount = min(0.9, (f["once0"] or 0) / max(1, (f["once0"] or 0) + 2 * (f["twice0"] or 0)) or 0.5) if v else 0.0
+    model = Model(n, v, discount, f["quantised0"] or 1.0, starts)
+
+    if (f["size0"] or 0) + (f["size1"] or 0) + 16 * v <= broadcast_bytes:
+        held = spark.sparkContext.broadcast(_held(segments, ranges))
+        scored, used = docs.select("doc_id", "text").mapInArrow(_broadcast_scores(held, model), _SCORES), [segments]
     else:
-        kept = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
-        table = merged.where("kind = 0").select("keys", "counts").mapInArrow(_unpacked, "word long, c long")
-        hits = kept.select("row", "text").mapInArrow(_exploded, "row long, word long, tf long").join(table, "word", "left")
-        c = F.coalesce("c", F.lit(0))
-        sums_by_row = hits.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 0.5) / (n + 0.5 * (v + 1)))).alias("base_score"))
-        scored = kept.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scores(model, None), "doc_id long, n_tokens long, score double").withColumnRenamed("doc_id", "row")
-        out = kept.select("row", "doc_id").join(scored, "row").join(sums_by_row, "row")
-    out = scratch.save(out.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
-    scratch.drop(merged)
-    for held in (model, exact):  # the result is written: workers need not hold these any longer
-        if held is not None:
-            held.destroy()
+        held = None
+        texts = scratch.save(docs.select("doc_id", "text").mapInArrow(_blocked, "block long, doc_id long, text string"))
+        probes = texts.mapInArrow(_probes(ranges), "block long, kind int, range int, keys binary")
+        meet = segments.select("kind", "range", "keys", "counts", "filter", "highest").unionByName(probes, allowMissingColumns=True)
+        meet = meet.repartition("kind", "range").sortWithinPartitions("kind", "range", F.col("block").asc_nulls_first())
+        answers = scratch.save(meet.mapInArrow(_answered, "block long, kind int, range int, levels binary, counts binary"))
+        whole = answers.unionByName(texts, allowMissingColumns=True)
+        whole = whole.repartition("block").sortWithinPartitions("block", F.col("kind").asc_nulls_last(), "range")
+        scored, used = whole.mapInArrow(_joined_scores(model), _SCORES), [segments, texts, answers]
+    out = scratch.save(scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
+    scratch.drop(*used)
+    if held is not None:
+        held.destroy()  # the result is written: workers need not hold it any longer
     return out
