@@ -183,8 +183,8 @@ def _folded(weighted: np.ndarray, at: np.ndarray, cell: np.ndarray) -> np.ndarra
     return out
 
 
-def _search(model, cover: float, clean: bool):
-    """Rows (doc_id, item_id, coverage) of what is found; with ``clean`` the rows of the input in which nothing is."""
+def _search(model, cover: float):
+    """What is found: the input's columns but for the text, then item_id and coverage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -247,12 +247,9 @@ def _search(model, cover: float, clean: bool):
                         done = p + PASSAGE // 2
                 for (d, y), got in best.items():
                     docs.append(i + d), who.append(ids[y]), share.append(got)
-            if clean:
-                stays = np.ones(batch.num_rows, bool)
-                stays[docs] = False
-                yield batch.filter(pa.array(stays))
-                continue
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(who, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "coverage"])
+            at = pa.array(docs, pa.int64())
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(who, pa.int64()), pa.array(share, pa.float64())], names=[*kept, "item_id", "coverage"])
 
     return run
 
@@ -320,11 +317,12 @@ def _model(docs: DataFrame, ids: list, items: list[np.ndarray]):
     })
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, row: str | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)`` -> ``doc_id, item_id, coverage``: documents that hold an item or a paraphrase.
 
     coverage is the share of the item's words, in order, that the document holds in a
-    stretch of one and a half times the item's length.
+    stretch of one and a half times the item's length. ``row`` names a column of longs of
+    ``docs`` that comes back as a further column ``row``.
 
     Edge cases: null and empty texts match nothing, on either side. Items under five
     words match nothing: chance alone repeats them. Repeated rows are searched each on
@@ -332,23 +330,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     an empty table gives an empty result. Extra columns are ignored.
     """
     scratch, out = Scratch(docs.sparkSession, "leaks"), None
+    rows = docs.select("doc_id", *([] if row is None else [F.col(row).alias("row")]), "text")
+    names = ["doc_id", "item_id", "coverage", *([] if row is None else ["row"])]
+    kind = f"doc_id long, {'' if row is None else 'row long, '}item_id long, coverage double"
     for ids, items in _parts(benchmark):
         model = _model(docs, ids, items)
-        found = scratch.save(docs.select("doc_id", "text").mapInArrow(_search(model, cover, False), "doc_id long, item_id long, coverage double"))
+        found = scratch.save(rows.mapInArrow(_search(model, cover), kind))
         model.destroy()
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double") if out is None else out
-
-
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item of the benchmark and no paraphrase of one.
-
-    Each row is judged by its own text, whatever its doc_id: rows with a null or repeated
-    doc_id too. Edge cases else as in ``contaminated``.
-    """
-    scratch, kind = Scratch(docs.sparkSession, "leaks"), docs.schema
-    for ids, items in _parts(benchmark):
-        model = _model(docs, ids, items)
-        docs = scratch.save(docs.mapInArrow(_search(model, cover, True), kind))
-        model.destroy()
-    return docs
+    return (docs.sparkSession.createDataFrame([], kind) if out is None else out).select(names)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Union, stars
-from .scratch import Scratch
+from .scratch import Scratch, numbered
 from .words import blocks, mix, shingle_sets, word_hashes, word_spans
 
 WORDS = 5  #: words of a shingle
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, row: str | None =
     the row's own. ``row`` names a column of unique longs that tell the rows of a saved
     table apart; with it two more columns follow, ``row`` and ``stays``: of each component
     exactly one row stays, the one with the smallest doc_id, then row. Without it the
-    rows are numbered and saved first.
+    rows are numbered first.
     Other columns of ``docs`` are ignored, whatever their names.
 
     Edge cases: a null, empty or all-white text has n_shingles 0 and its own doc_id
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, row: str | None =
     scratch = Scratch(spark, "near")
     low = similarity - MARGIN
     if row is None:
-        docs = scratch.save(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+        docs = numbered(docs.select("doc_id", "text"), scratch)
     else:
         docs = docs.select("doc_id", "text", F.col(row).alias("row"))
     sig = scratch.save(docs.mapInArrow(_signatures, "row long, doc_id long, n_shingles long, name binary, bands array<long>, sketch array<long>"))

@@ -47,7 +47,7 @@ def _masks() -> dict[str, np.ndarray]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, cut to blocks of bounded bytes, with the statistics of their column ``text`` behind the other columns."""
+    """The batches, cut to blocks of bounded bytes, with the statistics of their column ``text`` instead of it."""
     masks = _masks()
     for batch in batches:
         for i, j, data, off in blocks(batch.column("text")):
@@ -78,7 +78,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, m in masks.items():
                 stat[name] = summed(m[data], off) / np.maximum(n, 1)
             stat["line_words"] = np.log1p(count / (1 + summed(masks["line"][data], off)))
-            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *(pa.array(stat[s].astype(np.float64)) for s in STATISTICS)], names=[*batch.schema.names, *(f"{MARK}{s}" for s in STATISTICS)])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), *(pa.array(stat[s].astype(np.float64)) for s in STATISTICS)], names=[*kept, *(f"{MARK}{s}" for s in STATISTICS)])
 
 
 @dataclass(frozen=True)
@@ -163,8 +164,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Rules:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the statistics of its column ``text``, in one pass."""
-    return docs.mapInArrow(_statistics, T.StructType([*docs.schema.fields, *(T.StructField(f"{MARK}{s}", T.DoubleType()) for s in STATISTICS)]))
+    """``docs`` with the statistics of its column ``text`` in that one's place, in one pass."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(_statistics, T.StructType([*kept, *(T.StructField(f"{MARK}{s}", T.DoubleType()) for s in STATISTICS)]))
 
 
 def _fold() -> Column:
@@ -190,12 +192,13 @@ def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Rules:
     return fit(sample[stats].to_numpy(np.float64), sample["quality"].to_numpy(np.float64))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, row: str | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``labels(doc_id, quality, ...)`` -> ``doc_id, held_out, score, predicted``, one row per input row.
 
     Only labels with crc32(doc_id as text) mod 5 <> 0 are learned from, at most FIT_ROWS
     of them. score estimates the chance of label 1; predicted is 1 where it is at least
-    ``threshold``. Inputs of the score are statistics of the text alone.
+    ``threshold``. Inputs of the score are statistics of the text alone. ``row`` names a
+    column of ``docs`` that comes back as a further column ``row``.
 
     Edge cases: null and empty texts have statistics 0 and are scored like any other.
     A null doc_id gives held_out null. Null labels are not learned from; a doc_id with
@@ -204,16 +207,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """
     scratch = Scratch(docs.sparkSession, "quality")
     model = fitted(docs, labels, scratch)
-    out = statistics(docs.select("doc_id", "text")).select("doc_id", (_fold() == 0).alias("held_out"), model.score().alias("score"))
-    return scratch.save(out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text the classifier does not reject.
-
-    Each row is judged by its own text, whatever its doc_id: rows with a null or repeated
-    doc_id too. Edge cases else as in ``quality_scores``.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
-    model = fitted(docs, labels, scratch)
-    return scratch.save(statistics(docs).where(model.score() >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    more = [] if row is None else [F.col(row).alias("row")]
+    out = statistics(docs.select("doc_id", "text", *more)).select("doc_id", (_fold() == 0).alias("held_out"), model.score().alias("score"), *(["row"] if more else []))
+    predicted = F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
+    return scratch.save(out.select("doc_id", "held_out", "score", predicted, *(["row"] if more else [])))

@@ -13,11 +13,14 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: File names up to this number are broadcast, to number the files' rows.
+BROADCAST_FILES = 100_000
 #: Rows and bytes of an Arrow batch that goes to a Python worker (the bytes: where Spark knows the setting).
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 LOCAL_DEFAULT = "/tmp/checkpoints/lexmill"
 
 
@@ -75,3 +78,21 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "row") -> DataFrame:
+    """``docs`` with a further column of unique longs, the same in every reading.
+
+    Rows of Parquet files are numbered by file and place in the file, which needs no
+    copy. Where ``docs`` isn't such a table, its rows are numbered and written once.
+    """
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("the name is taken")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name} file"), F.col("_metadata.row_index").alias(f"{name} place"))
+        names = docs.select(F.col("_metadata.file_path").alias(f"{name} file")).distinct()
+    except AnalysisException:
+        return scratch.save(docs.withColumn(name, F.monotonically_increasing_id()))
+    files = scratch.save(names.select(f"{name} file", F.row_number().over(Window.orderBy(f"{name} file")).cast("long").alias(f"{name} number")))
+    rows = placed.join(F.broadcast(files) if files.facts["n"] <= BROADCAST_FILES else files, f"{name} file")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.shiftleft(F.col(f"`{name} number`"), 36).bitwiseOR(F.col(f"`{name} place`")).alias(name))
