@@ -9,51 +9,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe import encode_decode
-from lexmill.llm.decontaminate import uncontaminated
+from lexmill.llm.decontaminate import contaminated
 from lexmill.llm.exact_dedup import exact_duplicates
 from lexmill.llm.near_dedup import near_duplicates
-from lexmill.llm.quality import accepted
-from lexmill.llm.scratch import Scratch
+from lexmill.llm.quality import quality_scores
+from lexmill.llm.scratch import Scratch, numbered
 
 #: Rows to drop up to this number are broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def _without_copies(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame], drops: Column) -> DataFrame:
-    """``docs`` without the rows that ``find(numbered docs, name of the number)`` gives and for which ``drops`` holds.
-
-    The numbers are written once with the rows, so that every reader sees the same ones.
-    """
+def _without(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` without the rows that ``find(numbered docs, name of the number)`` returns, by their numbers in its column ``row``."""
     scratch, number = Scratch(docs.sparkSession, "rows"), "row number"
     while number in docs.columns:
         number += "_"
-    numbered = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
-    gone = scratch.save(find(numbered, number).where(drops).select(F.col("row").alias(number)))
-    return numbered.join(F.broadcast(gone) if gone.facts["n"] <= BROADCAST_ROWS else gone, number, "left_anti").drop(number)
+    rows = numbered(docs, scratch, number)
+    gone = scratch.save(find(rows, number).select(F.col("row").alias(number)).distinct())
+    return rows.join(F.broadcast(gone) if gone.facts["n"] <= BROADCAST_ROWS else gone, number, "left_anti").drop(number)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, lambda rows, number: quality_scores(rows, labels, row=number).where("predicted = 0"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, the one with the smallest doc_id."""
-    return _without_copies(docs, exact_duplicates, ~F.col("kept"))
+    return _without(docs, lambda rows, number: exact_duplicates(rows, number).where("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays, the one with the smallest doc_id; rows without words all stay."""
-    return _without_copies(docs, lambda rows, number: near_duplicates(rows, 0.8, number), ~F.col("stays"))
+    return _without(docs, lambda rows, number: near_duplicates(rows, 0.8, number).where("not stays"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item or a paraphrase of one."""
-    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, lambda rows, number: contaminated(rows, benchmark, row=number))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
