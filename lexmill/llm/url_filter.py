@@ -1,11 +1,19 @@
 """URL filter: fixed rules first, then a path-template tree for each host.
 
-The tree is built level by level with grouped aggregates only. At each node, a
-segment that is variable by its form (it has a digit) becomes a wildcard with its
-extension; a literal segment whose labelled purity does not differ from that of its
-siblings becomes ``*`` with them; the others stay. A template is rejected when its
-labelled purity, smoothed towards a fixed share, is at least one half; a template
-without labelled pages is so allowed. Labels are the verdicts of the fixed rules.
+The tree is built from the root with grouped aggregates only. At each node
+- a segment with a digit is variable by its form and becomes a wildcard with its extension;
+- literal segments with few pages each become a wildcard too, where there are many of them;
+- literal segments that statistics can't tell from their siblings, neither by what follows
+  below them nor, where they have labels, by their labelled purity, become ``*``;
+- the others stay.
+A template's purity is its share of blocked pages among labelled ones, smoothed towards
+its parent's; a segment that statistics tell from its siblings starts from a fixed share
+instead. The deepest template of a path decides: it is rejected where its purity is at
+least one half. Labels are the verdicts of the fixed rules, so what is learnt is which
+unruled branches of a host look like its ruled ones.
+
+What all paths of a node have in common is passed in one step, and a node with one path
+left is finished, so the rounds are as many as the levels at which paths part.
 """
 
 from __future__ import annotations
@@ -17,10 +25,12 @@ from .scratch import Scratch
 
 #: The fixed rules: verdict, host, path prefix.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Smoothing: so many pages with so large a share of blocked ones are added to each template.
+#: Smoothing: so many pages with the parent's purity, or else with so large a share of blocked ones, are added to each template.
 PRIOR, PRIOR_SHARE = 4.0, 0.3
-#: Standard errors by which a branch's purity must differ from its siblings' to stand alone.
+#: Standard errors by which a branch's share must differ from its siblings' to stand alone.
 DIFFERS = 2.0
+#: Literal segments of at most FEW pages each become a wildcard where a node has at least MANY of them.
+FEW, MANY = 2, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,22 +49,82 @@ def _ruled() -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _ending(segment: Column) -> Column:
+    return F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1)
+
+
 def _generalised(segment: Column) -> Column:
-    """Digits and long random names become wildcards; an extension stays."""
-    return F.when(segment.rlike(r"[0-9]"), F.concat(F.lit("{n}"), F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(segment)
+    """A segment with a digit becomes a wildcard; an extension stays."""
+    return F.when(segment.rlike("[0-9]"), F.concat(F.lit("{n}"), _ending(segment))).otherwise(segment)
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Number of leading segments that two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    apart = F.array_position(same, False)
+    return F.when(apart > 0, apart - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
+def _differs(x: Column, nx: Column, y: Column, ny: Column) -> Column:
+    """Whether the shares x of nx and y of ny are apart by more than chance."""
+    both = (x + y) / (nx + ny)
+    return F.abs(x / nx - y / ny) > DIFFERS * F.sqrt(both * (1 - both) * (1 / nx + 1 / ny))
+
+
+NODE = ["host", "template"]
+
+
+def _passed(now: DataFrame) -> DataFrame:
+    """``now`` behind what all paths of each node share; ``alone`` where a node has one path left."""
+    ends = now.groupBy(NODE).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    ends = ends.select(*NODE, _shared(F.col("low"), F.col("high")).alias("step"), (F.col("low") == F.col("high")).alias("alone"))
+    rows = now.join(ends, NODE).withColumn("template", F.concat_ws("/", "template", F.slice("rest", F.lit(1), F.col("step"))))
+    return rows.withColumn("rest", F.slice("rest", F.col("step") + 1, F.size("rest"))).drop("step")
+
+
+def _branches(live: DataFrame) -> DataFrame:
+    """(host, template, segment, name, purity) of each branch of each node."""
+    below = F.get("rest", F.lit(1))
+    kind = F.when(below.isNull(), "end").when(below.startswith("{n}"), below).otherwise(F.concat(F.lit("word"), _ending(below)))
+    kinds = live.groupBy(*NODE, F.get("rest", F.lit(0)).alias("segment"), kind.alias("kind")).agg(F.first("purity").alias("parent"), F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    branch = kinds.groupBy(*NODE, "segment").agg(
+        F.first("parent").alias("parent"), F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max_by("kind", F.struct("n", "kind")).alias("top"), F.max("n").alias("in_top")
+    )
+    word = ~F.col("segment").startswith("{n}")
+    rare = word & (F.col("n") <= FEW)
+    counts = branch.groupBy(NODE).agg(F.count_if(rare).alias("rare"))
+    branch = branch.join(counts, NODE).withColumn("wild", F.when(~word, F.col("segment")).when(rare & (F.col("rare") >= MANY), F.concat(F.lit("{s}"), _ending(F.col("segment")))))
+    # literal branches against their literal siblings together
+    one = branch.where("wild is null")
+    tops = one.groupBy(*NODE, "top").agg(F.sum("n").alias("n"), F.sum("in_top").alias("in_top"))
+    usual = tops.groupBy(NODE).agg(F.max_by("top", F.struct("n", "top")).alias("usual"), F.max_by("in_top", F.struct("n", "top")).alias("all_top"), F.max("n").alias("all_n"))
+    sums = one.groupBy(NODE).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+    one = one.join(usual, NODE).join(sums, NODE)
+    rest_n, rest_l = F.col("all_n") - F.col("n"), F.col("all_l") - F.col("l")
+    shape = (F.col("top") == F.col("usual")) & (rest_n > 0) & ~_differs(F.col("in_top"), F.col("n"), F.col("all_top") - F.col("in_top"), F.nullif(rest_n, F.lit(0)))
+    pure = F.when((F.col("l") > 0) & (rest_l > 0), ~_differs(F.col("b"), F.nullif(F.col("l"), F.lit(0)), F.col("all_b") - F.col("b"), F.nullif(rest_l, F.lit(0)))).otherwise(True)
+    one = one.withColumn("alike", F.coalesce(shape & pure, F.lit(False)))
+    several = one.groupBy(NODE).agg((F.count_if("alike") > 1).alias("several"))
+    one = one.join(several, NODE).withColumn("name", F.when(F.col("alike") & F.col("several"), "*").otherwise(F.col("segment")))
+    cols = [*NODE, "segment", "name", "parent", "l", "b", "alike"]
+    named = one.select(cols).unionByName(branch.where("wild is not null").select(*NODE, "segment", F.col("wild").alias("name"), "parent", "l", "b", F.lit(True).alias("alike")))
+    purity = (F.sum("b") + PRIOR * F.when(F.bool_or("alike"), F.first("parent")).otherwise(PRIOR_SHARE)) / (F.sum("l") + PRIOR)
+    merged = named.groupBy(*NODE, "name").agg(purity.alias("deeper"))
+    return named.select(*NODE, "segment", "name").join(merged, [*NODE, "name"])
 
 
 def url_verdicts(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, ...)`` -> ``page_id, host, path, rule, verdict, template, rejected``, one row per input row.
 
     Rules decide where one fits (the longest wins); else the template's smoothed purity:
-    block if ``rejected`` is at least one half. ``template`` is the deepest template of the
-    page's path; for pages under a rule, ``rejected`` is informative only.
+    block if ``rejected`` is at least one half. ``template`` is the page's whole path with
+    its generalised segments, ``rejected`` the purity of the deepest node of the tree that
+    the path reaches; for pages under a rule, ``rejected`` is informative only.
 
     Edge cases: null or malformed urls have empty host and path and are judged as the
     host ''. Empty segments are skipped. Without labelled pages all is allowed.
     A path of any depth is read whole. Repeated pages count as often as they occur.
-    Extra columns are ignored. An empty table gives an empty one.
+    Extra columns are ignored, whatever their names. An empty table gives an empty one.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = parse_url("url")
@@ -62,34 +132,21 @@ def url_verdicts(pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = scratch.save(base.withColumn("rule", rule).withColumn("ruled", verdict))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
-    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _generalised)
-    paths = paths.withColumn("segments", segments)
-    sums = [F.sum("labelled").alias("in_labelled"), F.sum("blocked").alias("in_blocked")]
-
-    def purity(blocked: str, labelled: str) -> Column:
-        return (F.col(blocked) + PRIOR * PRIOR_SHARE) / (F.col(labelled) + PRIOR)
-
-    hosts = paths.groupBy("host").agg(*sums).select("host", purity("in_blocked", "in_labelled").alias("purity"))
-    now = scratch.save(paths.join(hosts, "host").withColumn("template", F.lit("")))
-    used, depth = [rows, now], 0
-    deepest = now.agg(F.max(F.size("segments"))).first()[0] or 0
-    while depth < deepest:
-        here = now.withColumn("segment", F.get("segments", F.lit(depth)))
-        branch = here.where("segment is not null").groupBy("host", "template", "segment").agg(*sums)
-        node = branch.groupBy("host", "template").agg(F.sum("in_labelled").alias("all_labelled"), F.sum("in_blocked").alias("all_blocked"))
-        rest, both = F.col("all_labelled") - F.col("in_labelled"), F.col("all_blocked") / F.col("all_labelled")
-        gap = F.abs(F.col("in_blocked") / F.col("in_labelled") - (F.col("all_blocked") - F.col("in_blocked")) / rest)
-        error = F.sqrt(both * (1 - both) * (1 / F.col("in_labelled") + 1 / rest))
-        alike = F.when((F.col("in_labelled") > 0) & (rest > 0), gap <= DIFFERS * error).otherwise(F.lit(False))
-        merged = branch.join(node, ["host", "template"]).withColumn("name", F.when(alike, F.lit("*")).otherwise(F.col("segment")))
-        level = merged.groupBy("host", "template", "name").agg(F.collect_set("segment").alias("members"), F.sum("in_labelled").alias("l"), F.sum("in_blocked").alias("b"))
-        level = level.select("host", "template", "name", F.explode("members").alias("segment"), purity("b", "l").alias("deeper"))
-        after = here.join(level, ["host", "template", "segment"], "left")
-        after = after.withColumn("template", F.when(F.col("name").isNotNull(), F.concat_ws("/", "template", "name")).otherwise(F.col("template"))).withColumn("purity", F.coalesce("deeper", "purity"))
-        now = scratch.save(after.select(now.columns))
+    paths = paths.withColumn("rest", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _generalised))
+    hosts = paths.groupBy("host").agg(((F.sum("blocked") + PRIOR * PRIOR_SHARE) / (F.sum("labelled") + PRIOR)).alias("purity"))
+    now = paths.join(hosts, "host").withColumn("template", F.lit(""))
+    done, used = None, [rows]
+    while True:
+        now = scratch.save(_passed(now), left=F.count_if(~F.col("alone") & (F.size("rest") > 0)))
         used.append(now)
-        depth += 1
-    judged = now.select("host", "path", "template", F.col("purity").alias("rejected"))
+        ends = now.where("alone or size(rest) = 0").select("host", "path", "template", "purity")
+        done = ends if done is None else done.unionByName(ends)
+        if not now.facts["left"]:
+            break
+        live = now.where("not alone and size(rest) > 0").drop("alone").withColumn("segment", F.get("rest", F.lit(0)))
+        now = live.join(_branches(live), [*NODE, "segment"])
+        now = now.select("host", "path", "n", "labelled", "blocked", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), F.col("deeper").alias("purity"), F.concat_ws("/", "template", "name").alias("template"))
+    judged = done.withColumnRenamed("purity", "rejected")
     out = rows.join(judged, ["host", "path"]).withColumn("verdict", F.coalesce("ruled", F.when(F.col("rejected") >= 0.5, "block").otherwise("allow")))
     out = scratch.save(out.select("page_id", "host", "path", "rule", "verdict", "template", "rejected"))
     scratch.drop(*used)
