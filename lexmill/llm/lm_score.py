@@ -36,7 +36,7 @@ RANGE_BYTES = 64 << 20  #: bytes of training text for each range at most
 BITS, PROBES = 9, 5  #: bits of the filter for each entry, hash functions
 WORD_BASE, PAIR_BASE = 1.1, 1.5
 KAPPA = 200.0
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 256 << 20
 #: Pairs that a task gathers before it sends them, and entries that are merged at once: 16 bytes each while they are sorted.
 TASK_PAIRS = 2_000_000
 
@@ -310,23 +310,32 @@ def _probes(ranges: int):
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Levels and exact counts of each probe's n-grams: a range's segment comes first, its probes behind it."""
+    """Levels and exact counts of each probe's n-grams: a range's segment comes first, its probes behind it, which are answered together."""
     now = own = None
+
+    def answer(blocks_: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        every, at = np.concatenate([np.zeros(0, np.uint64), *keys]), np.r_[0, np.cumsum([len(k) for k in keys], dtype=np.int64)]
+        level = own[0].levels(every) if own else np.zeros(len(every), np.int64)
+        exact = _exact(own[1], own[2], every) if own else level
+        kind, where = now
+        counts = _binary(exact.astype("<i8"), at) if kind == 0 else pa.nulls(len(keys), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([kind] * len(keys), pa.int32()), pa.array([where] * len(keys), pa.int32()), _binary(level.astype("<i8"), at), counts], names=["block", "kind", "range", "levels", "counts"])
+
     for batch in batches:
-        out: list[tuple] = []
+        ids, held = [], []
         for kind, where, block, keys, counts, words, highest in zip(*(batch.column(c) for c in ("kind", "range", "block", "keys", "counts", "filter", "highest"))):
-            kind, where, block, keys = kind.as_py(), where.as_py(), block.as_py(), np.frombuffer(keys.as_py() or b"", np.uint64)
+            here, block, keys = (kind.as_py(), where.as_py()), block.as_py(), np.frombuffer(keys.as_py() or b"", np.uint64)
+            if here != now:
+                if held:
+                    yield answer(ids, held)
+                now, own, ids, held = here, None, [], []
             if block is None:
-                now, flat = (kind, where), np.frombuffer(words.as_py(), np.uint64)
-                own = Filter(np.array([len(flat)]), flat, _BASE[kind], highest.as_py()), keys, np.frombuffer(counts.as_py() or b"", "<i8")
-                continue
-            level, exact = np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8")
-            if now == (kind, where):
-                level[:] = own[0].levels(keys)
-                exact[:] = _exact(own[1], own[2], keys)
-            out.append((block, kind, where, level.tobytes(), exact.tobytes() if kind == 0 else None))
-        cols = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "kind", "range", "levels", "counts"])
+                flat = np.frombuffer(words.as_py(), np.uint64)
+                own = Filter(np.array([len(flat)]), flat, _BASE[here[0]], highest.as_py()), keys, np.frombuffer(counts.as_py() or b"", "<i8")
+            else:
+                ids.append(block), held.append(keys)
+        if held:
+            yield answer(ids, held)
 
 
 def _joined_scores(model: Model):
