@@ -92,25 +92,27 @@ def _branches(live: DataFrame) -> DataFrame:
     )
     word = ~F.col("segment").startswith("{n}")
     rare = word & (F.col("n") <= FEW)
-    counts = branch.groupBy(NODE).agg(F.count_if(rare).alias("rare"))
-    branch = branch.join(counts, NODE).withColumn("wild", F.when(~word, F.col("segment")).when(rare & (F.col("rare") >= MANY), F.concat(F.lit("{s}"), _ending(F.col("segment")))))
+    branch = branch.withColumn("group", F.when(rare, "rare").when(word, "word").otherwise("form"))
+    # sums over a node's literal branches: without the rare ones where these are many, else with them
+    sums = [F.sum(F.when(F.col("group").isin(of), F.col(c)).otherwise(0)).alias(f"{c}_{mark}") for mark, of in (("few", ["word", "rare"]), ("many", ["word"])) for c in ("n", "l", "b", "in_top")]
+    tops = branch.groupBy(*NODE, "top").agg(F.count_if(rare).alias("rare"), *sums)
+    best = [F.max_by(c, F.struct(f"n_{mark}", "top")).alias(f"{c}_{mark}") for mark in ("few", "many") for c in ("top",)]
+    best += [F.max_by(f"in_top_{mark}", F.struct(f"n_{mark}", "top")).alias(f"in_{mark}") for mark in ("few", "many")]
+    node = tops.groupBy(NODE).agg(F.sum("rare").alias("rare"), *best, *(F.sum(f"{c}_{mark}").alias(f"{c}_{mark}") for mark in ("few", "many") for c in ("n", "l", "b")), *(F.max(f"n_{mark}").alias(f"most_{mark}") for mark in ("few", "many")))
+    many = F.col("rare") >= MANY
+    node = node.select(*NODE, many.alias("many"), *(F.when(many, F.col(f"{c}_many")).otherwise(F.col(f"{c}_few")).alias(f"all_{c}") for c in ("top", "in", "most", "l", "b")))
+    one = branch.join(node, NODE)
+    wild = F.when(F.col("group") == "form", F.col("segment")).when((F.col("group") == "rare") & F.col("many"), F.concat(F.lit("{s}"), _ending(F.col("segment"))))
     # literal branches against their literal siblings together
-    one = branch.where("wild is null")
-    tops = one.groupBy(*NODE, "top").agg(F.sum("n").alias("n"), F.sum("in_top").alias("in_top"))
-    usual = tops.groupBy(NODE).agg(F.max_by("top", F.struct("n", "top")).alias("usual"), F.max_by("in_top", F.struct("n", "top")).alias("all_top"), F.max("n").alias("all_n"))
-    sums = one.groupBy(NODE).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-    one = one.join(usual, NODE).join(sums, NODE)
-    rest_n, rest_l = F.col("all_n") - F.col("n"), F.col("all_l") - F.col("l")
-    shape = (F.col("top") == F.col("usual")) & (rest_n > 0) & ~_differs(F.col("in_top"), F.col("n"), F.col("all_top") - F.col("in_top"), F.nullif(rest_n, F.lit(0)))
+    rest_n, rest_l = F.col("all_most") - F.col("n"), F.col("all_l") - F.col("l")
+    shape = (F.col("top") == F.col("all_top")) & (rest_n > 0) & ~_differs(F.col("in_top"), F.col("n"), F.col("all_in") - F.col("in_top"), F.nullif(rest_n, F.lit(0)))
     pure = F.when((F.col("l") > 0) & (rest_l > 0), ~_differs(F.col("b"), F.nullif(F.col("l"), F.lit(0)), F.col("all_b") - F.col("b"), F.nullif(rest_l, F.lit(0)))).otherwise(True)
-    one = one.withColumn("alike", F.coalesce(shape & pure, F.lit(False)))
-    several = one.groupBy(NODE).agg((F.count_if("alike") > 1).alias("several"))
-    one = one.join(several, NODE).withColumn("name", F.when(F.col("alike") & F.col("several"), "*").otherwise(F.col("segment")))
-    cols = [*NODE, "segment", "name", "parent", "l", "b", "alike"]
-    named = one.select(cols).unionByName(branch.where("wild is not null").select(*NODE, "segment", F.col("wild").alias("name"), "parent", "l", "b", F.lit(True).alias("alike")))
+    one = one.withColumn("wild", wild).withColumn("alike", F.col("wild").isNotNull() | F.coalesce(shape & pure, F.lit(False)))
+    named = one.select(*NODE, "segment", F.coalesce("wild", F.when(F.col("alike"), "*").otherwise(F.col("segment"))).alias("name"), "parent", "l", "b", "alike")
     purity = (F.sum("b") + PRIOR * F.when(F.bool_or("alike"), F.first("parent")).otherwise(PRIOR_SHARE)) / (F.sum("l") + PRIOR)
-    merged = named.groupBy(*NODE, "name").agg(purity.alias("deeper"))
-    return named.select(*NODE, "segment", "name").join(merged, [*NODE, "name"])
+    alone = (F.col("name") == "*") & (F.count("*") == 1)  # nothing merged with it
+    merged = named.groupBy(*NODE, "name").agg(purity.alias("deeper"), F.when(alone, F.min("segment")).otherwise(F.col("name")).alias("new"))
+    return named.select(*NODE, "segment", "name").join(merged, [*NODE, "name"]).select(*NODE, "segment", F.col("new").alias("name"), "deeper")
 
 
 def url_verdicts(pages: DataFrame) -> DataFrame:
