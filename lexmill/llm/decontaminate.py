@@ -46,7 +46,7 @@ MAX_DF = 0.1
 COVER, ANSWER_SHARE, ANSWER_COVER = 0.6, 0.25, 0.5
 #: A part of the benchmark: at RANK 192, its words' and passages' vectors take some 40 MB each.
 PART_WORDS, PART_PASSAGES = 50_000, 50_000
-CELLS = 16 << 20  #: numbers in the result of one matrix product: windows times passages
+CELLS = 4 << 20  #: numbers in the result of one matrix product: windows times passages
 
 
 def _words(text: pa.Array) -> list[np.ndarray]:
