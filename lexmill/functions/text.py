@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -97,17 +97,26 @@ def normalize_whitespace(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"\A[ \n]+|[ \n]+\z", "")
 
 
-def lines_with_offsets(text: Column) -> Column:
-    """ARRAY<STRUCT<start, value>> of the stripped non-blank lines with their code point offsets."""
-    raw = F.regexp_extract_all(text, F.lit(rf"[^{ENDS}]*(?:\r\n|[{ENDS}])|[^{ENDS}]+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,value:string>>)").alias("out"))
+def _running(sizes: Column, start: Column) -> Column:
+    """``start`` and the sums of it with each leading part of ``sizes``."""
+    return F.aggregate(sizes, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
 
-    def step(acc: Column, line: Column) -> Column:
-        lead = F.length(line) - F.length(F.regexp_replace(line, rf"\A[{WS}]+", ""))
-        row = F.struct((acc["at"] + lead).cast("int").alias("start"), strip(line).alias("value"))
-        return F.struct((acc["at"] + F.length(line)).cast("int").alias("at"), F.when(is_blank(line), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+def with_lines(df: DataFrame, text: str, part: int = 256) -> DataFrame:
+    """``df`` with ``lines``: ARRAY<STRUCT<start, value>> of the stripped non-blank lines with their code point offsets.
 
-    return F.aggregate(raw, zero, step, lambda acc: acc["out"])
+    Folds append to arrays, so offsets are summed over parts of the lines, and over the
+    parts' sums. Each step is a column of its own, for expressions read twice are computed twice.
+    """
+    raw = F.regexp_extract_all(text, F.lit(rf"[^{ENDS}]*(?:\r\n|[{ENDS}])|[^{ENDS}]+"), F.lit(0))
+    df = df.withColumn("_raw", raw).withColumn("_sizes", F.transform("_raw", F.length))
+    df = df.withColumn("_parts", F.transform(F.sequence(F.lit(0), F.floor(F.size("_sizes") / part).cast("int")), lambda k: F.slice("_sizes", k * part + 1, F.lit(part))))
+    df = df.withColumn("_starts", _running(F.transform("_parts", lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x)), F.lit(0)))
+    df = df.withColumn("_at", F.flatten(F.zip_with("_parts", F.slice("_starts", F.lit(1), F.size("_parts")), lambda p, at: F.slice(_running(p, at), F.lit(1), F.size(p)))))
+    lead = lambda line: F.length(line) - F.length(F.regexp_replace(line, rf"\A[{WS}]+", ""))
+    lines = F.zip_with("_raw", "_at", lambda line, start: F.struct((start + lead(line)).cast("int").alias("start"), strip(line).alias("value")))
+    none = F.expr("cast(array() as array<struct<start:int,value:string>>)")
+    return df.withColumn("lines", F.coalesce(F.filter(lines, lambda x: x["value"] != ""), none)).drop("_raw", "_sizes", "_parts", "_starts", "_at")
 
 
 # --- similarity, in basis points -------------------------------------------------
@@ -123,11 +132,16 @@ def ratio(a: Column, b: Column) -> Column:
     return basis(m - F.levenshtein(a, b), m)
 
 
+def windows_ratio(short: Column, long: Column, size: Column) -> Column:
+    """Best ratio of ``short``, of ``size`` characters, with the windows of its length in ``long``."""
+    least = F.array_min(F.transform(F.sequence(F.lit(1), F.length(long) - size + 1), lambda i: F.levenshtein(short, long.substr(i, size))))
+    return F.when(size == 0, F.when(F.length(long) == 0, 10000).otherwise(0)).when(F.instr(long, short) > 0, 10000).otherwise(basis(size - least, size))
+
+
 def partial_ratio(a: Column, b: Column) -> Column:
     """Best ratio of the shorter text with windows of its length; exact shortcuts first."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    windows = F.array_max(F.transform(F.sequence(F.lit(0), F.length(long) - F.length(short)), lambda i: ratio(short, long.substr(i + 1, F.length(short)))))
-    return F.when(F.length(short) == 0, F.when(F.length(long) == 0, 10000).otherwise(0)).when(F.length(short) == F.length(long), ratio(a, b)).when(F.instr(long, short) > 0, 10000).otherwise(windows)
+    first = F.length(a) <= F.length(b)
+    return windows_ratio(F.when(first, a).otherwise(b), F.when(first, b).otherwise(a), F.least(F.length(a), F.length(b)))
 
 
 def tokens(c: Column) -> Column:

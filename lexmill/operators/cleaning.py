@@ -147,7 +147,8 @@ def clean(records: DataFrame, config: CleaningConfig = CleaningConfig()) -> Data
 
 def cleaning_events(cleaned: DataFrame) -> DataFrame:
     """One row per event, with its place in the record's chain."""
-    return cleaned.select("record_id", F.posexplode("events").alias("seq", "e")).select("record_id", "seq", "e.*").withColumn("stage", F.lit("deterministic_cleaning"))
+    # outer: else the optimiser puts a filter on the array below all rules, and so computes each rule again and again
+    return cleaned.select("record_id", F.posexplode_outer("events").alias("seq", "e")).where("seq is not null").select("record_id", "seq", "e.*").withColumn("stage", F.lit("deterministic_cleaning"))
 
 
 def sampled_pairs(sampled: DataFrame, config: CleaningConfig) -> DataFrame:

@@ -3,7 +3,8 @@
 Regions (stripped boundary lines, at most ``max_length`` characters) are cut with
 array functions, scored against the templates (a small literal table, exploded beside
 each distinct region text, so that equal lines are scored once), and decided with
-integer arithmetic. Overlaps and deletions are folds over each record's decisions.
+integer arithmetic. Region rows carry a key of their record's row, not its text; the
+decisions meet the text again in one join. Deletions are folds over a record's decisions.
 """
 
 from __future__ import annotations
@@ -60,24 +61,33 @@ class FuzzyConfig:
                 raise ProcessingError("invalid_fuzzy_regex", t.template_id)
 
 
-def regions(records: DataFrame, config: FuzzyConfig) -> DataFrame:
-    """One row per region: record_id, text, start, end, position, region, regex_templates."""
+#: Names a record's row: the fields that identify it, and its text, in case they do not.
+KEY = "_row"
+NONE = "cast(array() as array<string>)"
+
+
+def _keyed(records: DataFrame) -> DataFrame:
     text = F.coalesce("clean_text", "raw_text")
-    rows = records.select("record_id", text.alias("text")).withColumn("lines", T.lines_with_offsets(F.col("text")))
-    rows = rows.select("record_id", "text", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    position = F.when(F.col("i") == 0, "prefix").when(F.col("i") == F.col("n") - 1, "suffix").otherwise("line")
-    value, size = F.col("line.value"), F.length("line.value")
-    rows = rows.select("record_id", "text", "n", position.alias("position"), F.col("line.start").alias("s"), value.alias("value"), size.alias("size"))
-    top = config.max_length
+    return records.withColumn("text", text).withColumn(KEY, F.sha2(F.to_json(F.struct("record_id", "source_file", "source_offset", text.alias("text"))), 256))
+
+
+def regions(records: DataFrame, config: FuzzyConfig) -> DataFrame:
+    """One row per region: row key, record_id, line, start, end, position, region, regex_templates. The text itself stays behind."""
+    rows = T.with_lines(_keyed(records).select(KEY, "record_id", "text"), "text")
+    # outer: else the optimiser puts a filter on the array below all that computes it, and so computes it twice
+    rows = rows.select(KEY, "record_id", F.size("lines").alias("n"), F.posexplode_outer("lines").alias("line", "l")).where("line is not null")
+    position = F.when(F.col("line") == 0, "prefix").when(F.col("line") == F.col("n") - 1, "suffix").otherwise("line")
+    rows = rows.select(KEY, "record_id", "n", "line", position.alias("position"), F.col("l.start").alias("s"), F.col("l.value").alias("value"), F.length("l.value").alias("size"))
+    top, none = config.max_length, F.expr(NONE)
     cut = F.when(F.col("position") == "suffix", F.greatest(F.lit(0), F.col("size") - top)).otherwise(0)
-    hits = F.array_sort(F.array_compact(F.array(*(F.when(F.col("value").rlike(rf"\A(?:{t.compatible_regex.removeprefix('^').removesuffix('$')})\z"), t.template_id) for t in config.templates if t.compatible_regex))))
-    none = F.expr("cast(array() as array<string>)")
-    rows = rows.withColumn("hits", hits.cast("array<string>"))
-    short = F.struct((F.col("s") + cut).alias("start"), F.least("size", F.lit(top)).alias("len"), F.when(F.col("size") <= top, F.col("hits")).otherwise(none).alias("regex_templates"))
-    whole = F.struct(F.col("s").alias("start"), F.col("size").alias("len"), F.col("hits").alias("regex_templates"))
+    matches = [F.when(F.col("value").rlike(rf"\A(?:{t.compatible_regex.removeprefix('^').removesuffix('$')})\z"), t.template_id) for t in config.templates if t.compatible_regex]
+    rows = rows.withColumn("hits", F.array_sort(F.array_compact(F.array(*matches))).cast("array<string>") if matches else none)
+    short = F.struct(cut.alias("at"), F.least("size", F.lit(top)).alias("len"), F.when(F.col("size") <= top, F.col("hits")).otherwise(none).alias("regex_templates"))
+    whole = F.struct(F.lit(0).alias("at"), F.col("size").alias("len"), F.col("hits").alias("regex_templates"))
     both = F.array_compact(F.array(F.when(F.col("n") > 1, short), F.when((F.size("hits") > 0) & ((F.col("n") == 1) | (F.col("size") > top)), whole)))
-    out = rows.select("record_id", "text", "position", F.explode(both).alias("r"))
-    return out.select("record_id", "text", "position", F.col("r.start").cast("int").alias("start"), (F.col("r.start") + F.col("r.len")).cast("int").alias("end"), F.col("text").substr(F.col("r.start") + 1, F.col("r.len")).alias("region"), "r.regex_templates")
+    out = rows.select(KEY, "record_id", "line", "position", "s", "value", F.explode_outer(both).alias("r")).where("r is not null")
+    start = F.col("s") + F.col("r.at")
+    return out.select(KEY, "record_id", "line", "position", start.cast("int").alias("start"), (start + F.col("r.len")).cast("int").alias("end"), F.col("value").substr(F.col("r.at") + 1, F.col("r.len")).alias("region"), "r.regex_templates")
 
 
 def _parts(df: DataFrame, view: str, mark: str, n: int) -> DataFrame:
@@ -97,9 +107,11 @@ def scored(texts: DataFrame, config: FuzzyConfig, keep: str = "region") -> DataF
     rows = _parts(views, "view", "_v", config.ngram).crossJoin(F.broadcast(table))  # the templates: tens of rows from the configuration
     rows = rows.withColumn("both", F.array_sort(F.array_intersect("set_v", "set_t"))).withColumn("core", F.array_join("both", " "))
     rows = rows.withColumn("left", F.array_join(F.concat("both", F.array_sort(F.array_except("set_v", "set_t"))), " ")).withColumn("right", F.array_join(F.concat("both", F.array_sort(F.array_except("set_t", "set_v"))), " "))
+    first = F.length("view") <= F.length("template_view")
+    rows = rows.withColumn("short", F.when(first, F.col("view")).otherwise(F.col("template_view"))).withColumn("long", F.when(first, F.col("template_view")).otherwise(F.col("view"))).withColumn("size", F.length("short"))
     scores = {
         "ratio": T.ratio(F.col("view"), F.col("template_view")),
-        "partial_ratio": T.partial_ratio(F.col("view"), F.col("template_view")),
+        "partial_ratio": T.windows_ratio(F.col("short"), F.col("long"), F.col("size")),
         "token_sort": T.ratio(F.col("sorted_v"), F.col("sorted_t")),
         "token_set": F.greatest(T.ratio(F.col("core"), F.col("left")), T.ratio(F.col("core"), F.col("right")), T.ratio(F.col("left"), F.col("right"))),
         "char_jaccard": T.basis(F.size(F.array_intersect("grams_v", "grams_t")), F.size(F.array_union("grams_v", "grams_t"))),
@@ -148,15 +160,20 @@ def decisions(records: DataFrame, config: FuzzyConfig) -> DataFrame:
     return _decide(cut.join(best_templates(cut, config), "region"), F.lit(config.auto), F.lit(config.review), config)
 
 
+FIELDS = ["template_id", "start", "end", "position", "region", "decision", "combined", "margin", "length_ratio", "evidence_count", *T.SCORES, "gates", "reason_codes"]
+
+
 def resolved(decided: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per record: its non-overlapping decisions, the strongest first taken, in span order."""
+    """One row per value of ``keys``: its non-overlapping decisions, in span order.
+
+    A region lies within its line, so only regions of one line overlap, and they all do:
+    the strongest decision of each line is taken.
+    """
     rank = F.when(F.col("decision") == "applied", 0).when(F.col("decision") == "review", 1).otherwise(2)
-    fields = ["template_id", "start", "end", "position", "region", "decision", "combined", "margin", "length_ratio", "evidence_count", *T.SCORES, "gates", "reason_codes"]
-    item = F.struct(rank.alias("o1"), (-F.col("combined")).alias("o2"), (F.col("start") - F.col("end")).alias("o3"), F.col("template_id").alias("o4"), F.col("start").alias("o5"), F.struct(*fields).alias("d"))
-    rows = decided.groupBy(*keys).agg(F.first("text").alias("text"), F.array_sort(F.collect_list(item)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (x["d"]["start"] < y["d"]["end"]) & (y["d"]["start"] < x["d"]["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["d"]["start"].alias("s"), x["d"]["end"].alias("e"), x["d"].alias("d"))))
-    return rows.select(*keys, "text", F.transform(ordered, lambda x: x["d"]).alias("decisions"))
+    order = F.struct(rank, -F.col("combined"), F.col("start") - F.col("end"), F.col("template_id"), F.col("start"))
+    best = decided.groupBy(*keys, "line").agg(F.min_by(F.struct(*FIELDS), order).alias("d"))
+    every = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("l"), "d"))).alias("all"))
+    return every.select(*keys, F.transform("all", lambda x: x["d"]).alias("decisions"))
 
 
 def _without(text: Column, start: Column, end: Column) -> Column:
@@ -166,18 +183,22 @@ def _without(text: Column, start: Column, end: Column) -> Column:
     return F.concat(text.substr(F.lit(1), start - before.cast("int")), text.substr(end + 1 + after.cast("int"), F.length(text)))
 
 
+def _decided(records: DataFrame, config: FuzzyConfig) -> DataFrame:
+    """The records with ``text`` and their resolved ``decisions`` (null where there is no region)."""
+    found = resolved(decisions(records, config), [KEY])
+    return _keyed(records).join(found, KEY, "left").drop(KEY)
+
+
 def fuzzy_clean(records: DataFrame, config: FuzzyConfig) -> DataFrame:
     """Records with applied spans deleted from ``clean_text``, and their ``decisions``."""
-    found = resolved(decisions(records, config), ["record_id"])
     applied = F.reverse(F.filter("decisions", lambda d: d["decision"] == "applied"))
-    found = found.withColumn("new", F.aggregate(applied, F.col("text"), lambda t, d: _without(t, d["start"], d["end"]))).drop("text")
-    out = records.join(found, "record_id", "left")
-    return out.withColumn("clean_text", F.coalesce("new", "clean_text", "raw_text")).drop("new")
+    new = F.aggregate(applied, F.col("text"), lambda t, d: _without(t, d["start"], d["end"]))
+    return _decided(records, config).withColumn("clean_text", F.coalesce(new, F.col("text"))).drop("text")
 
 
 def fuzzy_events(records: DataFrame, config: FuzzyConfig) -> DataFrame:
     """One event per decision: applied ones right to left with the evolving hashes, then the others by start."""
-    found = resolved(decisions(records, config), ["record_id"])
+    found = _decided(records, config).where("decisions is not null").select("record_id", "text", "decisions")
     applied = F.reverse(F.filter("decisions", lambda d: d["decision"] == "applied"))
     zero = F.struct(F.col("text").alias("t"), F.expr("cast(array() as array<struct<before_hash:string,after_hash:string>>)").alias("h"))
 
@@ -186,9 +207,9 @@ def fuzzy_events(records: DataFrame, config: FuzzyConfig) -> DataFrame:
         return F.struct(new.alias("t"), F.concat(acc["h"], F.array(F.struct(T.sha256_text(acc["t"]).alias("before_hash"), T.sha256_text(new).alias("after_hash")))).alias("h"))
 
     found = found.withColumn("applied", applied).withColumn("others", F.filter("decisions", lambda d: d["decision"] != "applied")).withColumn("run", F.aggregate(applied, zero, step))
-    last = T.sha256_text(F.col("run.t"))
-    events = F.concat(F.arrays_zip(F.col("applied").alias("d"), F.col("run.h").alias("h")), F.transform("others", lambda d: F.struct(d.alias("d"), F.struct(last.alias("before_hash"), last.alias("after_hash")).alias("h"))))
-    rows = found.select("record_id", F.posexplode(events).alias("seq", "e"))
+    found = found.select("record_id", "applied", "others", "run.h", T.sha256_text(F.col("run.t")).alias("last"))
+    events = F.concat(F.arrays_zip(F.col("applied").alias("d"), F.col("h")), F.transform("others", lambda d: F.struct(d.alias("d"), F.struct(F.col("last").alias("before_hash"), F.col("last").alias("after_hash")).alias("h"))))
+    rows = found.select("record_id", F.posexplode_outer(events).alias("seq", "e")).where("seq is not null")
     reason = F.when(F.col("e.d.decision") == "applied", "fuzzy_auto_removed").when(F.col("e.d.decision") == "review", "fuzzy_review").otherwise("fuzzy_skipped")
     return rows.select("record_id", "seq", F.lit("fuzzy_template_cleaning").alias("stage"), F.concat(F.lit("fuzzy:"), F.col("e.d.template_id")).alias("rule_id"), F.col("e.d.decision").alias("decision"), reason.alias("reason_code"), (F.col("e.d.combined") / 10000).alias("score"), F.col("e.h.before_hash").alias("before_hash"), F.col("e.h.after_hash").alias("after_hash"), F.col("e.d").alias("metrics"))
 

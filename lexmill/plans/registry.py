@@ -10,6 +10,7 @@ from ..operators import cleaning as C
 from ..operators import fuzzy as Z
 from ..operators import records as R
 from ..operators import sampling as S
+from . import fuzzy_sql as Q
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -247,12 +248,14 @@ _text_query("clean_nfkc", lambda c: T.nfkc(F.translate(c, PLAIN, WIDE)), "text")
 _text_query("clean_whitespace", lambda c: T.normalize_whitespace(F.replace(c, F.lit(". "), F.lit(". \t \n\n\n"))), SPACE.format("replace(text, '. ', '. ' || chr(9) || ' ' || chr(10) || chr(10) || chr(10))"))
 
 
+_STRIP = "trim({0}, ' ' || chr(10))"
+
+
 def _templates(df: DataFrame, t: C.Templates) -> DataFrame:
     out = C.remove_templates(df.select("doc_id", F.col("text").alias("c")), "c", t)
     return out.select("doc_id", F.sha2("c", 256).alias("clean_sha"), F.size("_spans").cast("bigint").alias("n_spans"))
 
 
-_STRIP = "trim({0}, ' ' || chr(10))"
 _LIST = "(" + ",".join("'" + x + "'" for x in LINES) + ")"
 
 
@@ -290,7 +293,17 @@ def clean_documents(spark, d):
     return C.clean(_docs(spark, d), LINES_ONLY).select(F.col("source_offset").alias("doc_id"), F.sha2("clean_text", 256).alias("clean_sha"))
 
 
-@query()
+_BLOCK = "case when i > 0 and j > 0 then left(t, i - 1) || substr(t, i + 14 + j + 7) else t end"
+_EVENTS = [("remove_script_style", "t0", "t1"), ("normalize_html", "t1", "t2"), ("normalize_whitespace", "t2", "t3"), ("remove_exact_templates", "t3", "t4")]
+
+
+@query(f"""with a as (select text as t0, {SCRIPT.format('text')} as t1 from documents), b as (select *, {ENT.format(TAGS.format('t1'))} as t2 from a), c as (select *, {SPACE.format('t2')} as t3 from b),
+    p as (select *, case when starts_with(t3, 'The ') then substr(t3, 5) else t3 end as t from c), q as (select * replace (case when ends_with(t, 'thanea.') then left(t, length(t) - 7) else t end as t) from p),
+    l as (select * replace (array_to_string(list_filter(string_split(t, chr(10)), lambda x: x <> 'All rights reserved.'), chr(10)) as t) from q), i as (select *, instr(t, 'Released under') as i from l),
+    j as (select *, instr(substr(t, i + 14), 'License.') as j from i), k as (select *, {_STRIP.format(_BLOCK)} as t4 from j), e as (
+    {' union all '.join(f"select '{r}' as rule_id, 'applied' as decision, greatest(0, length({x}) - length({y})) as removed from k where {x} <> {y}" for r, x, y in _EVENTS)}
+    union all select 'flag_empty', 'review', 0 from k where t4 = '' union all select 'flag_pure_symbol', 'review', 0 from k where t4 <> '' and not regexp_matches(t4, '[\\p{{L}}\\p{{N}}]') union all select 'flag_short', 'review', 0 from k where t4 <> '' and length(t4) < 12)
+    select rule_id, decision, count(*) as n, cast(sum(removed) as bigint) as removed from e group by 1, 2""")
 def cleaning_events_by_rule(spark, d):
     return C.cleaning_events(C.clean(_docs(spark, d), CONFIG)).groupBy("rule_id", "decision").agg(F.count("*").alias("n"), F.sum("removed_chars").alias("removed"))
 
@@ -308,147 +321,161 @@ def changed_characters(spark, d):
 
 # --- fuzzy ------------------------------------------------------------------------
 
-_MAP = "translate({0}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26))"
-VIEW = "regexp_replace(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\n]+', ' ', 'g'), ' '), ' *([:|]) *', '\\1', 'g')"
-FIRST = f"(select doc_id, {VIEW.format('left(string_split(text, chr(10))[1], 64)')} as a, '{LINES[0].lower()}' as b from documents)"
-
-
-def _first_lines(spark, d) -> DataFrame:
-    line = F.substring(F.split("text", "\n")[0], 1, 64)
-    return _table(spark, d, "documents").select("doc_id", T.matching_view(line, False).alias("a"), F.lit(LINES[0].lower()).alias("b"))
-
-
-def _ratio_sql(a: str, b: str) -> str:
-    m = f"greatest(length({a}), length({b}))"
-    return f"(case when {m} = 0 then 10000 else (({m} - levenshtein({_MAP.format(a)}, {_MAP.format(b)})) * 10000 + {m} // 2) // {m} end)"
+_LINES_SQL = f"(select line, {Q.VIEW.format('line')} as a, {Q.quoted(LINES[0].lower())} as b from (select distinct trim(x, ' ') as line from (select unnest(string_split(text, chr(10))) as x from documents)) where line <> '')"
+_PARTS_SQL = f"(select *, {Q.TOKENS.format('a')} as ta, {Q.TOKENS.format('b')} as tb, {Q.GRAMS.format('a')} as ga, {Q.GRAMS.format('b')} as gb from {_LINES_SQL})"
 
 
-TOK = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]'), lambda x: lower(x))"
-GRAMS = "(case when length({0}) = 0 then [] when length({0}) < 3 then [{0}] else list_distinct(list_transform(range(1, length({0}) - 1), lambda i: {0}[i:i+2])) end)"
+def _lines(spark, d) -> DataFrame:
+    """All distinct lines of all texts in matching form, beside a template."""
+    every = T.with_lines(_table(spark, d, "documents").select("text"), "text").select(F.explode_outer("lines").alias("l")).where("l is not null")
+    every = every.select(F.col("l.value").alias("line")).distinct().repartition(spark.sparkContext.defaultParallelism, "line")
+    return every.select("line", T.matching_view(F.col("line"), False).alias("a"), F.lit(LINES[0].lower()).alias("b"))
 
 
 def _pair_query(name: str, spark_fn, sql: str, cast: str = "bigint") -> None:
     def f(spark, d):
-        return _first_lines(spark, d).select("doc_id", spark_fn(F.col("a"), F.col("b")).cast(cast).alias("value"))
+        return _lines(spark, d).select(F.sha2("line", 256).alias("line_sha"), spark_fn(F.col("a"), F.col("b")).cast(cast).alias("value"))
 
     f.__name__ = name
-    query(f"select doc_id, cast({sql} as {'varchar' if cast == 'string' else 'bigint'}) as value from {FIRST}")(f)
+    query(f"select sha256(line) as line_sha, cast({sql} as {'varchar' if cast == 'string' else 'bigint'}) as value from {_PARTS_SQL}")(f)
 
 
-_SORTED = "array_to_string(list_sort({0}), ' ')"
 _pair_query("fuzzy_matching_view", lambda a, b: a, "a", "string")
-_pair_query("fuzzy_levenshtein", F.levenshtein, f"levenshtein({_MAP.format('a')}, {_MAP.format('b')})")
-_pair_query("fuzzy_ratio", T.ratio, _ratio_sql("a", "b"))
-_pair_query("fuzzy_tokens", lambda a, b: F.array_join(T.tokens(a), "|"), f"array_to_string({TOK.format('a')}, '|')", "string")
-_pair_query("fuzzy_token_sort", T.token_sort_ratio, _ratio_sql(_SORTED.format(TOK.format("a")), _SORTED.format(TOK.format("b"))))
-_pair_query(
-    "fuzzy_char_jaccard",
-    T.char_jaccard,
-    f"(len(list_intersect({GRAMS.format('a')}, {GRAMS.format('b')})) * 10000 + len(list_distinct(list_concat({GRAMS.format('a')}, {GRAMS.format('b')}))) // 2) // len(list_distinct(list_concat({GRAMS.format('a')}, {GRAMS.format('b')})))",
-)
-_SHORT = "(case when length(a) <= length(b) then a else b end)"
-_LONG = "(case when length(a) <= length(b) then b else a end)"
-_pair_query("fuzzy_partial_ratio", T.partial_ratio, f"case when length({_SHORT}) = 0 then 0 else list_max(list_transform(range(0, length({_LONG}) - length({_SHORT}) + 1), lambda i: {_ratio_sql(_SHORT, f'substr({_LONG}, i + 1, length({_SHORT}))')})) end")
-
-
-@query()
-def fuzzy_token_set(spark, d):
-    return _first_lines(spark, d).select("doc_id", T.token_set_ratio(F.col("a"), F.col("b")).cast("bigint").alias("value"))
+_pair_query("fuzzy_levenshtein", F.levenshtein, Q.distance("a", "b"))
+_pair_query("fuzzy_ratio", T.ratio, Q.ratio("a", "b"))
+_pair_query("fuzzy_tokens", lambda a, b: F.array_join(T.tokens(a), "|"), "array_to_string(ta, '|')", "string")
+_pair_query("fuzzy_token_sort", T.token_sort_ratio, Q.ratio(Q.SORTED.format("ta"), Q.SORTED.format("tb")))
+_pair_query("fuzzy_token_set", T.token_set_ratio, Q.token_set("list_distinct(ta)", "list_distinct(tb)"))
+_pair_query("fuzzy_char_jaccard", T.char_jaccard, Q.jaccard("ga", "gb"))
+_pair_query("fuzzy_partial_ratio", T.partial_ratio, Q.partial_ratio("a", "b"))
 
 
 @query(r"""with l as (select doc_id, unnest(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x, i: {'i': i, 'v': x})) as x from documents),
     n as (select doc_id, max(x.i) as n from l group by 1)
     select case when x.i = 1 then 'prefix' when x.i = n then 'suffix' else 'line' end as position, count(*) as n from l join n using (doc_id) group by 1""")
 def line_positions(spark, d):
-    rows = _docs(spark, d).select(T.lines_with_offsets(F.col("raw_text")).alias("l")).select(F.size("l").alias("n"), F.posexplode("l").alias("i", "x"))
+    rows = T.with_lines(_docs(spark, d).select("raw_text"), "raw_text").select(F.size("lines").alias("n"), F.posexplode_outer("lines").alias("i", "x")).where("i is not null")
     return rows.groupBy(F.when(F.col("i") == 0, "prefix").when(F.col("i") == F.col("n") - 1, "suffix").otherwise("line").alias("position")).agg(F.count("*").alias("n"))
 
 
-def _boundary(spark, d) -> DataFrame:
-    """Documents of the shorter kind keep all their lines; the queries below take all of them."""
-    return _docs(spark, d)
+#: Slight variants of two headers, so that all decisions occur.
+_VARIANTS = (("Nicht aulich", "Nciht aulihc xq"), ("The and attion", "The and atttion"))
+_SRC = f"select cast(doc_id as varchar) as record_id, replace(replace(text, '{_VARIANTS[0][0]}', '{_VARIANTS[0][1]}'), '{_VARIANTS[1][0]}', '{_VARIANTS[1][1]}') as text from documents"
+_CHAIN = f"with {Q.one(FUZZY)}, {Q.chain(_SRC, FUZZY)} "
+
+
+def _noisy(spark, d) -> DataFrame:
+    text = F.col("raw_text")
+    for old, new in _VARIANTS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return _docs(spark, d).withColumn("raw_text", text)
+
 
+def _big(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
-@query()
+
+@query(_CHAIN + 'select record_id, "start", "end", position, sha256(region) as region_sha from reg')
 def line_regions(spark, d):
-    return Z.regions(_boundary(spark, d), FUZZY).select("record_id", "start", "end", "position", F.sha2("region", 256).alias("region_sha"))
+    return _big(Z.regions(_noisy(spark, d), FUZZY).select("record_id", "start", "end", "position", F.sha2("region", 256).alias("region_sha")), "start", "end")
 
 
-@query()
+@query(_CHAIN + "select region, template_id, cast(combined as bigint) as combined, cast(margin as bigint) as margin from best")
 def fuzzy_best_template(spark, d):
-    return Z.best_templates(Z.regions(_boundary(spark, d), FUZZY), FUZZY).select("region", "template_id", "combined", "margin")
+    return _big(Z.best_templates(Z.regions(_noisy(spark, d), FUZZY), FUZZY).select("region", "template_id", "combined", "margin"), "combined", "margin")
 
 
-@query()
+@query(_CHAIN + f"select margin >= {FUZZY.margin} as clear, count(*) as n from best group by 1")
 def fuzzy_margin(spark, d):
-    return Z.best_templates(Z.regions(_boundary(spark, d), FUZZY), FUZZY).groupBy((F.col("margin") >= FUZZY.margin).alias("clear")).agg(F.count("*").alias("n"))
+    return Z.best_templates(Z.regions(_noisy(spark, d), FUZZY), FUZZY).groupBy((F.col("margin") >= FUZZY.margin).alias("clear")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_CHAIN + f"select region, template_id, {', '.join(f'cast({k} as bigint) as {k}' for k in (*T.SCORES, 'combined'))} from sc")
 def fuzzy_combined(spark, d):
-    return Z.scored(Z.regions(_boundary(spark, d), FUZZY), FUZZY).select("region", "template_id", *T.SCORES, "combined")
+    return _big(Z.scored(Z.regions(_noisy(spark, d), FUZZY), FUZZY).select("region", "template_id", *T.SCORES, "combined"), *T.SCORES, "combined")
 
 
-@query()
+@query(_CHAIN + 'select record_id, "start", "end", position, template_id, cast(combined as bigint) as combined, cast(margin as bigint) as margin, decision, reasons from dec')
 def fuzzy_decisions(spark, d):
-    return Z.decisions(_boundary(spark, d), FUZZY).select("record_id", "start", "end", "position", "template_id", "combined", "margin", "decision", F.array_join("reason_codes", ",").alias("reasons"))
+    rows = Z.decisions(_noisy(spark, d), FUZZY).select("record_id", "start", "end", "position", "template_id", "combined", "margin", "decision", F.array_join("reason_codes", ",").alias("reasons"))
+    return _big(rows, "start", "end", "combined", "margin")
 
 
-@query()
+@query(_CHAIN + "select decision, count(*) as n from dec group by 1")
 def fuzzy_decision_counts(spark, d):
-    return Z.decisions(_boundary(spark, d), FUZZY).groupBy("decision").agg(F.count("*").alias("n"))
+    return Z.decisions(_noisy(spark, d), FUZZY).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_CHAIN + """select record_id, "start", "end", template_id, cast(combined as bigint) as combined from res where decision = 'review'""")
 def fuzzy_review_queue(spark, d):
-    return Z.decisions(_boundary(spark, d), FUZZY).where("decision = 'review'").select("record_id", "start", "end", "template_id", "combined")
+    rows = Z.resolved(Z.decisions(_noisy(spark, d), FUZZY), ["record_id"]).select("record_id", F.explode_outer(F.filter("decisions", lambda x: x["decision"] == "review")).alias("d")).where("d is not null")
+    return _big(rows.select("record_id", "d.start", "d.end", "d.template_id", "d.combined"), "start", "end", "combined")
 
 
-@query()
+@query(_CHAIN + "select record_id, count(*) as n from res group by 1")
 def fuzzy_overlaps(spark, d):
-    return Z.resolved(Z.decisions(_boundary(spark, d), FUZZY), ["record_id"]).select("record_id", F.size("decisions").alias("n"))
+    return _big(Z.resolved(Z.decisions(_noisy(spark, d), FUZZY), ["record_id"]).select("record_id", F.size("decisions").alias("n")), "n")
 
 
-@query()
+@query(_CHAIN + f"select record_id, sha256(case when spans is null then text else {Q.deleted('text', 'spans')} end) as clean_sha from src left join ap using (record_id)")
 def fuzzy_clean(spark, d):
-    return Z.fuzzy_clean(_boundary(spark, d), FUZZY).select("record_id", F.sha2("clean_text", 256).alias("clean_sha"))
+    return Z.fuzzy_clean(_noisy(spark, d), FUZZY).select("record_id", F.sha2("clean_text", 256).alias("clean_sha"))
 
 
-@query()
+@query(_CHAIN + f""", ev as (select record_id, text, spans, what, unnest(range(1, len(spans) + 1)) as k from src join ap using (record_id)),
+    ends as (select record_id, 'sha256:' || sha256(case when spans is null then text else {Q.deleted('text', 'spans')} end) as last, coalesce(len(spans), 0) as m from src left join ap using (record_id))
+    select record_id, cast(k - 1 as bigint) as seq, 'fuzzy:' || what[k].template_id as rule_id, 'applied' as decision, 'fuzzy_auto_removed' as reason_code, what[k].combined / 10000 as score,
+        'sha256:' || sha256({Q.deleted('text', 'spans[1:k-1]')}) as before_hash, 'sha256:' || sha256({Q.deleted('text', 'spans[1:k]')}) as after_hash from ev
+    union all
+    select record_id, m + row_number() over (partition by record_id order by line) - 1, 'fuzzy:' || template_id, decision, case decision when 'review' then 'fuzzy_review' else 'fuzzy_skipped' end, combined / 10000, last, last from res join ends using (record_id) where decision <> 'applied'""")
 def fuzzy_events(spark, d):
-    return Z.fuzzy_events(_boundary(spark, d), FUZZY).select("record_id", "seq", "rule_id", "decision", "reason_code", "score", "before_hash", "after_hash")
+    return _big(Z.fuzzy_events(_noisy(spark, d), FUZZY).select("record_id", "seq", "rule_id", "decision", "reason_code", "score", "before_hash", "after_hash"), "seq")
 
 
 def _expected(spark, d) -> DataFrame:
-    """Documents that begin with the known header should lose it."""
+    """Documents that begin with the known header should lose it, and those with its variant be reviewed."""
     t = F.col("raw_text")
-    return _docs(spark, d).select("record_id", F.when(t.startswith(LINES[0] + "\n") | t.contains("\n" + LINES[3]), "applied").otherwise("skipped").alias("expected"))
+    applied = t.startswith(LINES[0] + "\n") | t.contains("\n" + LINES[3])
+    return _docs(spark, d).select("record_id", F.when(applied, "applied").when(t.contains(LINES[1]), "review").otherwise("skipped").alias("expected"))
+
+
+_EXPECTED = f"""ex as (select cast(doc_id as varchar) as record_id, case when starts_with(text, {Q.quoted(LINES[0])} || chr(10)) or contains(text, chr(10) || {Q.quoted(LINES[3])}) then 'applied' when contains(text, {Q.quoted(LINES[1])}) then 'review' else 'skipped' end as expected from documents)"""
+_RANK = "case decision when 'applied' then 2 when 'review' then 1 else 0 end"
+_OUTCOME = f"{_CHAIN}, {_EXPECTED}, bd as (select record_id, max_by(decision, {_RANK}) as actual from dec group by 1), oc as (select record_id, expected, coalesce(actual, 'skipped') as actual from ex left join bd using (record_id)) "
 
 
 def _outcome(spark, d) -> DataFrame:
     rank = F.when(F.col("decision") == "applied", 2).when(F.col("decision") == "review", 1).otherwise(0)
-    best = Z.decisions(_boundary(spark, d), FUZZY).groupBy("record_id").agg(F.max_by("decision", rank).alias("actual"))
+    best = Z.decisions(_noisy(spark, d), FUZZY).groupBy("record_id").agg(F.max_by("decision", rank).alias("actual"))
     return _expected(spark, d).join(best, "record_id", "left").withColumn("actual", F.coalesce("actual", F.lit("skipped")))
 
 
-@query()
+@query(_OUTCOME + "select record_id, expected, actual from oc")
 def fuzzy_case_outcome(spark, d):
     return _outcome(spark, d)
 
 
-@query()
+@query(_OUTCOME + "select expected, count(*) filter (where actual = 'applied') as applied, count(*) filter (where actual = 'review') as review, count(*) filter (where actual = 'skipped') as skipped from oc group by 1")
 def fuzzy_confusion(spark, d):
     return Z.confusion(_outcome(spark, d))
 
 
-@query()
+def _metric(n: str, of: str) -> str:
+    return f"cast({Q.basis(f'count(*) filter (where {n})', f'count(*) filter (where {of})')} as bigint)"
+
+
+@query(f"""with th(auto, review) as (values (8000, 6000), (8000, 7500), (9500, 6000), (9500, 7500)), {Q.chain(_SRC, FUZZY)}, {_EXPECTED},
+    bd as (select record_id, auto, review, max_by(decision, {_RANK}) as actual from res group by all), oc as (select th.auto, th.review, expected, coalesce(actual, 'skipped') as actual from ex cross join th left join bd using (record_id, auto, review))
+    select cast(auto as bigint) as auto, cast(review as bigint) as review, {_metric("expected = 'applied' and actual = 'applied'", "actual = 'applied'")} as auto_precision, {_metric("expected = 'applied' and actual = 'applied'", "expected = 'applied'")} as auto_recall,
+        {_metric("expected = 'review' and actual = 'review'", "expected = 'review'")} as review_capture, count(*) filter (where actual = 'applied' and expected <> 'applied') as false_removals, count(*) filter (where actual = 'review' and expected = 'skipped') as meaningless_review from oc group by 1, 2""")
 def fuzzy_threshold_grid(spark, d):
-    return Z.threshold_grid(_boundary(spark, d), _expected(spark, d), FUZZY, [8000, 9500], [6000, 7500])
+    grid = Z.threshold_grid(_noisy(spark, d), _expected(spark, d), FUZZY, [8000, 9500], [6000, 7500])
+    return _big(grid, "auto", "review", "auto_precision", "auto_recall", "review_capture")
 
 
-@query("select 0::bigint as changed_records, sum(length(text))::bigint as before_characters, sum(length(text))::bigint as after_characters from documents")
+@query("select count(*) filter (where contains(text, 'th')) as changed_records, sum(length(replace(text, 'th', chr(64257))))::bigint as before_characters, sum(length(replace(text, 'th', 'fi')))::bigint as after_characters from documents")
 def nfkc_audit(spark, d):
-    return Z.nfkc_audit(_docs(spark, d))
+    return Z.nfkc_audit(_docs(spark, d).withColumn("raw_text", F.replace("raw_text", F.lit("th"), F.lit("ﬁ"))))
 
 
 @query(rf"select c as before, count(*) as n from (select unnest(string_split(translate(text, '{PLAIN}', '{WIDE}'), '')) as c from documents) where c between '{chr(0xFF01)}' and '{chr(0xFF5E)}' group by 1 order by 2 desc, 1 limit 20")
