@@ -18,6 +18,7 @@ ZERO_WIDTH = ["​", "‌", "‍", "⁠", "﻿"]
 BLOCK_TAGS = ["article", "blockquote", "br", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "section", "tr"]
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "ndash": "–", "mdash": "—"}
 MARK = ""  #: stands for a line break of a block tag while tags are removed
+OTHER = ""  #: stands for either of the two where a text has them
 
 
 def sha256_text(c: Column) -> Column:
@@ -42,7 +43,7 @@ def remove_script_style(c: Column) -> Column:
 
 def remove_tags(c: Column) -> Column:
     """Comments and tags go; a block tag becomes one line break, unless at the start or after one."""
-    safe = F.regexp_replace(c, MARK, "")
+    safe = F.replace(F.replace(c, F.lit(OTHER), F.lit(OTHER + "1")), F.lit(MARK), F.lit(OTHER + "0"))
     pieces = F.regexp_extract_all(safe, F.lit(r"(?s:<!--.*?-->)|</?[A-Za-z][A-Za-z0-9]*\b[^>]*>|[^<]+|<"), F.lit(0))
 
     def piece(t: Column) -> Column:
@@ -51,7 +52,8 @@ def remove_tags(c: Column) -> Column:
         return F.when(tag & (name != "") & name.isin(BLOCK_TAGS), F.lit(MARK)).when(tag, F.lit("")).otherwise(t)
 
     joined = F.array_join(F.transform(pieces, piece), "")
-    return F.regexp_replace(F.regexp_replace(joined, rf"(\A|\n){MARK}+", "$1"), rf"{MARK}+", "\n")
+    broken = F.regexp_replace(F.regexp_replace(joined, rf"(\A|\n){MARK}+", "$1"), rf"{MARK}+", "\n")
+    return F.replace(F.replace(broken, F.lit(OTHER + "0"), F.lit(MARK)), F.lit(OTHER + "1"), F.lit(OTHER))
 
 
 def decode_entities(c: Column) -> Column:

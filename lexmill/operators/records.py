@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -68,24 +69,61 @@ def validate_records(records: DataFrame) -> DataFrame:
     return records.withColumn("_e", validation_error()).select("record_id", F.col("_e.type").alias("error_type"), F.col("_e.field").alias("error_field"))
 
 
+FIELDS = [p.split()[0] for p in RECORD_SCHEMA.replace(", ", ",").split(",")]
+
+
+def _inside(path: str, kind: str) -> Column:
+    """What metadata has at a path: a variant or a string."""
+    keys = path.split(".")[1:]
+    if any("'" in k and '"' in k for k in keys):  # Spark's paths can't name such a key
+        return F.lit(None).cast(kind)
+    steps = "".join(f'["{k}"]' if "'" in k else f"['{k}']" for k in keys)
+    return F.try_variant_get(F.try_parse_json("metadata"), "$" + steps, kind)
+
+
 def field_value(path: str) -> Column:
     """A top-level column or a path into metadata, with sentinels for null and missing."""
     if not path.startswith("metadata."):
-        if path not in RECORD_SCHEMA:
-            return F.lit(MISSING)
-        return F.coalesce(F.col(path).cast("string"), F.lit(NULL))
-    keys = path.split(".")[1:]
-    v = F.try_variant_get(F.try_parse_json("metadata"), "$" + "".join(f"['{k}']" for k in keys), "variant")
-    text = F.try_variant_get(F.try_parse_json("metadata"), "$" + "".join(f"['{k}']" for k in keys), "string")
-    return F.when(v.isNull(), MISSING).when(F.is_variant_null(v), NULL).otherwise(text)
+        return F.coalesce(F.col(path).cast("string"), F.lit(NULL)) if path in FIELDS else F.lit(MISSING)
+    v = _inside(path, "variant")
+    return F.when(v.isNull(), MISSING).when(F.is_variant_null(v), NULL).otherwise(_inside(path, "string"))
+
+
+def _equals(path: str, wanted: Any) -> Column:
+    """Whether a field has a value of the same type and content: true is neither 1 nor "true", "__NULL__" no null."""
+    if not path.startswith("metadata."):
+        if path not in FIELDS:
+            return F.lit(False)
+        if wanted is None:
+            return F.col(path).isNull()
+        number = isinstance(wanted, (int, float)) and not isinstance(wanted, bool)
+        fits = number if path == "source_offset" else isinstance(wanted, str)
+        return F.coalesce(F.col(path) == F.lit(wanted), F.lit(False)) if fits else F.lit(False)
+    v = _inside(path, "variant")
+    if wanted is None:
+        return F.coalesce(F.is_variant_null(v), F.lit(False))
+    kind = F.schema_of_variant(v)
+    if isinstance(wanted, bool):
+        good = (kind == "BOOLEAN") & (_inside(path, "boolean") == F.lit(wanted))
+    elif isinstance(wanted, (int, float)):
+        good = kind.rlike("^(BIGINT|DOUBLE|DECIMAL)") & (_inside(path, "double") == F.lit(float(wanted)))
+        if isinstance(wanted, int):
+            good = good & (~kind.startswith("BIGINT") | (_inside(path, "bigint") == F.lit(wanted)))
+    elif isinstance(wanted, str):
+        good = (kind == "STRING") & (_inside(path, "string") == F.lit(wanted))
+    else:
+        good = F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
+    return F.coalesce(good, F.lit(False))
 
 
 def matches_filters(filters: dict[str, Any]) -> Column:
-    """AND over the keys; a list means any of its values; None means null."""
+    """AND over the keys; a list means any of its values; None means null. Values equal with their types."""
     keep = F.lit(True)
     for path, wanted in filters.items():
-        values = [NULL if w is None else str(w) for w in (wanted if isinstance(wanted, list) else [wanted])]
-        keep = keep & field_value(path).isin(values)
+        some = F.lit(False)
+        for w in wanted if isinstance(wanted, list) else [wanted]:
+            some = some | _equals(path, w)
+        keep = keep & some
     return keep
 
 

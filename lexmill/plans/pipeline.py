@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import CleaningConfig, clean, cleaning_events, sampled_pairs
-from ..operators.fuzzy import FuzzyConfig, decisions, fuzzy_clean, fuzzy_events, resolved
+from ..operators.fuzzy import KEY, FuzzyConfig, decisions, fuzzy_clean, fuzzy_events, resolved
 from ..operators.records import mergeable_fingerprint, record_json
 from ..operators.sampling import SamplePlan, report_strata, risk_sample, sample
 from ..sources.raw import parse_directory, scan_manifest
@@ -58,7 +58,7 @@ def run(spark: SparkSession, root: str, plan: SamplePlan, config: CleaningConfig
     if fuzzy is not None:
         write_parquet(fuzzy_clean(cleaned.drop("events"), fuzzy), f"{out}/fuzzy-cleaned")
         write_parquet(fuzzy_events(cleaned, fuzzy), f"{out}/fuzzy-events")
-        found = resolved(decisions(cleaned, fuzzy), ["record_id"]).select("record_id", F.explode("decisions").alias("d")).select("record_id", "d.*")
+        found = resolved(decisions(cleaned, fuzzy), [KEY, "record_id"]).select("record_id", F.explode("decisions").alias("d")).select("record_id", "d.*")
         write_parquet(found, f"{out}/fuzzy-decisions")
         held = spark.read.parquet(f"{out}/fuzzy-decisions")
         write_parquet(held.where("decision = 'review'"), f"{out}/fuzzy-review-queue")
