@@ -21,6 +21,27 @@ SENTENCES = {
     "apache-basis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "mit-line": "Released under the MIT License.",
     "mit-line-2": "Licensed under the MIT License.",
+    "mit-line-3": "This code is released under the MIT License.",
+    "mit-line-4": "This project is licensed under the MIT License.",
+    "mit-line-5": "This project is licensed under the MIT License - see the LICENSE file for details.",
+    "mit-line-6": "Distributed under the MIT License.",
+    "apache-line-2": "This project is licensed under the Apache License 2.0.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    "cc0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-any": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "version-21": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "version-2": "either version 2 of the License, or (at your option) any later version.",
+    "gpl2-line": "This work is licensed under the GNU General Public License, version 2.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
@@ -38,20 +59,37 @@ SENTENCES = {
 }
 #: Licence -> alternatives of ordered sentence identifiers: fixed values.
 RULES = {
-    "Apache-2.0": [["apache-line"], ["apache-head", "apache-copy", "apache-basis"], ["apache-head"]],
-    "MIT": [["mit-line"], ["mit-line-2"], ["mit-grant", "mit-notice", "mit-as-is"]],
+    "Apache-2.0": [["apache-line"], ["apache-line-2"], ["apache-head", "apache-copy", "apache-basis"], ["apache-head"]],
+    "MIT": [["mit-line"], ["mit-line-2"], ["mit-line-3"], ["mit-line-4"], ["mit-line-5"], ["mit-line-6"], ["mit-grant", "mit-notice", "mit-as-is"]],
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
     "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]],
     "GPL-3.0": [["gpl3-line"], ["gpl-free", "gpl-hope"], ["gpl-free"]],
+    "GPL-2.0": [["gpl2-line"], ["gpl2-terms", "version-2"]],
+    "LGPL-2.1": [["lgpl21-terms", "version-21"]],
+    "LGPL-3.0": [["lgpl3-terms"]],
+    "AGPL-3.0": [["agpl3-terms"]],
+    "MPL-2.0": [["mpl-form", "mpl-copy"], ["mpl-form", "mpl-copy-2"], ["mpl-form"]],
+    "EPL-2.0": [["epl-terms"]],
+    "ISC": [["isc-grant", "isc-as-is"], ["isc-grant"]],
+    "CC0-1.0": [["cc0-line"]],
+    "Unlicense": [["unlicense-free"], ["unlicense-any"]],
     "CC-BY-NC-4.0": [["cc-by-nc-line"]],
     "CC-BY-4.0": [["cc-by-line"]],
     "CC-BY-SA-4.0": [["cc-by-sa-line"]],
     "proprietary": [["reserved"]],
 }
+#: A licence whose rule another one's goes on from, and that other one: the longer rule wins. Fixed values.
+LONGER = {"BSD-2-Clause": "BSD-3-Clause"}
+#: Identifiers of machine-readable lines, each a sentence and a rule of its own: fixed values.
+SPDX = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+for _id in SPDX:
+    for _end in ("", "-only", "-or-later") if "GPL" in _id else ("",):
+        SENTENCES[f"spdx-{_id}{_end}".lower()] = f"SPDX-License-Identifier: {_id}{_end}"
+        RULES.setdefault(_id, []).append([f"spdx-{_id}{_end}".lower()])
 #: Each normalised known sentence holds one of these words: texts without any are not cut.
-ANCHORS = ("licens", "copyright", "reserved", "redistribut", "permission", "warrant", "free software")
+ANCHORS = ("licens", "copyright", "reserved", "redistribut", "permission", "warrant", "free software", "unencumbered", "mpl", "anyone is free")
 #: Where a sentence ends, but for line ends.
-ENDS = r"(?<=[.!?:;])\s+"
+ENDS = r"(?<=[.!?:;])(?<!(?i:license-identifier:))\s+"
 
 
 def parts() -> dict[str, list[str]]:
@@ -91,8 +129,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     such an end inside counts as its parts, ``NAME-1``, ``NAME-2``.
 
     Edge cases: null and empty texts have none. Repeated sentences count each time. Null
-    and repeated doc_ids stay as they are. A two-clause rule also holds where the
-    three-clause one does. Extra columns are ignored. An empty table gives an empty one.
+    and repeated doc_ids stay as they are. Where a text holds a rule and a longer one that
+    goes on from it (BSD-2-Clause, BSD-3-Clause), only the longer licence is given.
+    Extra columns are ignored. An empty table gives an empty one.
     """
     by_name = parts()
     known = {s: k for k, s in by_name.items()}
@@ -109,8 +148,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", F.when(F.size("wrapped") > F.size("by_line"), F.col("wrapped")).otherwise(F.coalesce("by_line", none)).alias("ids"), F.coalesce("wrapped", none).alias("other"))
     line = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
     other = F.concat(F.lit(","), F.array_join("other", ",,"), F.lit(","))
-    found = []
+    found, holds = [], {}
     for name, rules in sorted(RULES.items()):
-        pattern = "|".join(".*".join(f",{k}," for k in ordered(rule, by_name)) for rule in rules)
-        found.append(F.when(line.rlike(pattern) | other.rlike(pattern), F.lit(name)))
+        pattern = "|".join(".*".join(f",{re.escape(k)}," for k in ordered(rule, by_name)) for rule in rules)
+        holds[name] = line.rlike(pattern) | other.rlike(pattern)
+    for name, own in holds.items():
+        found.append(F.when(own & ~holds[LONGER[name]] if name in LONGER else own, F.lit(name)))
     return rows.select("doc_id", F.size("ids").alias("n_sentences"), F.array_join("ids", ",").alias("sentences"), F.concat_ws(",", *found).alias("licenses"))
