@@ -57,8 +57,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Bytes of a shard in the registered query: small enough that the test tables split.
+SHARD_BYTES = 1 << 20
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards(_table(spark, sf_dir, "documents"))
+    return shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding)}

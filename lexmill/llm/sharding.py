@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-LIMIT_BYTES = 64 << 20
+LIMIT_BYTES = 64 << 20  #: bytes of a shard's texts
 #: Bits that the directory looks deeper at once than full buckets would need.
 SPARE_BITS = 3
 #: Directory entries up to this number are broadcast (under 32 bytes each); beyond it they are shuffled.
@@ -75,14 +75,30 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         out = rows.withColumn("d", F.lit(0)).withColumn("over", F.lit(False))
     shard = F.expr("substr(lpad(bin(hash), 64, '0'), 1, d)")
     plain = out.where("not over").withColumn("page", F.lit(0))
-    from pyspark.sql import Window
-
-    paged = out.where("over").withColumn("page", ((F.row_number().over(Window.partitionBy("hash").orderBy("n_bytes")) - 1) / F.greatest(F.lit(1), F.floor(limit / F.greatest("n_bytes", F.lit(1))))).cast("int"))
+    paged = _paged(out.where("over"), limit, scratch)
     out = scratch.save(plain.unionByName(paged).select("doc_id", "n_bytes", shard.alias("shard"), F.col("d").alias("depth"), "page"))
     scratch.drop(*used)
     return out
 
 
+def _paged(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Equal rows of buckets that no bit splits, dealt to pages of at most ``limit`` bytes.
+
+    The rows are numbered without meeting in one task: each partition counts its rows of
+    each hash, and numbers them behind those of the partitions before it.
+    """
+    rows = scratch.save(rows.withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id()))
+    if not rows.facts["n"]:
+        return rows.withColumn("page", F.lit(0)).drop("part", "n")
+    firsts = rows.groupBy("hash", "part").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = firsts.select("hash", "part", before.alias("before"))
+    fit = F.greatest(F.lit(1), F.floor(limit / F.greatest("n_bytes", F.lit(1))))
+    dense = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ENTRIES else firsts, ["hash", "part"])
+    own = F.row_number().over(Window.partitionBy("hash", "part").orderBy("n")) - 1
+    return dense.select("doc_id", "n_bytes", "hash", "d", "over", F.floor((F.col("before") + own) / fit).cast("int").alias("page"))
+
+
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
     """The documents as Parquet, one folder for each shard and page. doc_ids must be unique."""
     rows = docs.join(assigned.select("doc_id", "shard", "page"), "doc_id")
