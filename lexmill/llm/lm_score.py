@@ -4,7 +4,7 @@ Counting: each task counts its words and word pairs with NumPy and sends sorted
 (hash, count) runs, dealt by ranges of the hash, to where each range is merged; what is
 sent grows with the corpus, and so does the number of ranges. A count c becomes level
 1 + floor(log_b c); the filter stores (n-gram, 1), ..., (n-gram, level), so a level is
-read back by probing 1, 2, ... until the first miss, up to the highest stored one. Each
+read back by probing 1, 2, ... until the first miss, up to the range's highest one. Each
 range becomes one segment of the filter, with BITS bits for each entry at every size.
 
 Scoring: filter and exact word counts of at most BROADCAST_BYTES are broadcast. Beyond it
@@ -185,23 +185,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Filter:
     """Segments of one kind of n-gram, by range of the hash: their sizes in words, and their words one behind the other."""
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray | bytes, base: float, highest: int | None = None):
+    def __init__(self, sizes: np.ndarray, words: np.ndarray | bytes, base: float, highest: int | np.ndarray | None = None):
         self.sizes, self.words, self.table = sizes, np.frombuffer(words, np.uint64), level_counts(base)
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        self.highest = len(self.table) - 1 if highest is None else highest  # stored level: beyond it all hits are false
+        # the highest stored level of each range: beyond it all hits are false
+        self.highest = np.broadcast_to(np.asarray(len(self.table) - 1 if highest is None else highest), sizes.shape)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Stored levels, by repeated membership probes; beyond the highest stored level all hits are false."""
+        """Stored levels, by repeated membership probes."""
         where = _range(keys, len(self.sizes)).astype(np.int64) if len(self.sizes) > 1 else np.zeros(len(keys), np.int64)
-        sizes, starts = self.sizes[where], self.starts[where]
+        sizes, starts, highest = self.sizes[where], self.starts[where], self.highest[where]
         level = np.zeros(len(keys), np.int64)
-        at = np.flatnonzero(sizes > 0)
-        for k in range(1, self.highest + 1):
-            if not len(at):
-                break
+        at, k = np.flatnonzero((sizes > 0) & (highest > 0)), 0
+        while len(at):
+            k += 1
             place, mask = _places(keys[at], k, sizes[at])
             at = at[(self.words[starts[at] + place] & mask) == mask]
             level[at] = k
+            at = at[highest[at] > k]
         return level
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -358,18 +359,19 @@ def _segments(scratch: Scratch, training: DataFrame, ranges: int) -> DataFrame:
     counted = training.mapInArrow(_count(ranges), "kind int, range int, keys binary, counts binary")
     merged = counted.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(_merge, _SEGMENT)
     sums = {f"{c}{k}": F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)) for k in (0, 1) for c in ("n", "total", "once", "twice", "size", "quantised")}
-    return scratch.save(merged, **sums, highest0=F.max(F.when(F.col("kind") == 0, F.col("highest"))), highest1=F.max(F.when(F.col("kind") == 1, F.col("highest"))))
+    return scratch.save(merged, **sums)
 
 
 def _held(segments: DataFrame, ranges: int) -> tuple:
     """Filters of both kinds, and the sorted words with their exact counts. Of at most the bytes that may be broadcast."""
     filters = []
     for kind in (0, 1):
-        sizes = np.zeros(ranges, np.int64)
-        table = segments.where(F.col("kind") == kind).select("range", "filter", "keys", "counts").toArrow().sort_by("range")
+        sizes, highest = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
+        table = segments.where(F.col("kind") == kind).select("range", "filter", "keys", "counts", "highest").toArrow().sort_by("range")
         parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("filter")]
         sizes[table.column("range").to_numpy()] = [len(x) for x in parts]
-        filters.append(Filter(sizes, np.concatenate([np.zeros(0, np.uint64), *parts]), _BASE[kind], segments.facts[f"highest{kind}"] or 0))
+        highest[table.column("range").to_numpy()] = table.column("highest").to_numpy()
+        filters.append(Filter(sizes, np.concatenate([np.zeros(0, np.uint64), *parts]), _BASE[kind], highest))
         if kind == 0:
             known, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_py(), t) for x in table.column(c))]) for c, t in (("keys", np.uint64), ("counts", "<i8")))
     return filters, known, counts
