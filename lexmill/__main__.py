@@ -7,10 +7,11 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import cleaning, fuzzy, records, sampling
 from .plans import pipeline
-from .sources import raw, sinks
+from .sources import jsonl, raw, sinks
 
 
 def _load(path: str) -> dict:
@@ -18,17 +19,23 @@ def _load(path: str) -> dict:
         return json.load(f)
 
 
-def _plan(path: str) -> sampling.SamplePlan:
-    d = _load(path)
-    d.pop("schema_version", None)
-    return sampling.SamplePlan(**{**d, "strata_keys": tuple(d.get("strata_keys", ()))})
+def _records(spark: SparkSession, path: str):
+    """Records of a Parquet table, or of a JSON Lines file, which is read strictly."""
+    return jsonl.read_records(spark, path) if path.endswith(".jsonl") else spark.read.parquet(path)
 
 
-def _fuzzy(path: str) -> fuzzy.FuzzyConfig:
-    d = _load(path)
-    templates = tuple(fuzzy.Template(t["template_id"], t["canonical_text"], tuple(t["allowed_positions"]), t.get("compatible_regex")) for t in d["templates"])
-    limits, at = d["candidate_limits"], d["thresholds"]
-    return fuzzy.FuzzyConfig(templates, at["auto"], at["review"], d["best_match_margin"], d["minimum_evidence_floor"], d["auto_minimum_evidence"], limits["min_length"], limits["max_length"], limits["min_length_ratio"], tuple(d["protected_context_prefixes"]), d["character_ngram"], tuple(d["score_weights"].items()))
+def _cases(spark: SparkSession, path: str):
+    return jsonl.read_cases(spark, path) if path.endswith(".jsonl") else spark.read.parquet(path)
+
+
+def _write(df, path: str, order: list[str]) -> None:
+    """Parquet, or canonical JSON Lines in files whose concatenation in name order is the artifact."""
+    if path.endswith(".jsonl"):
+        names = sorted(df.columns)
+        body = F.to_json(F.struct(*(F.try_parse_json(n).alias(n) if n == "metadata" else F.col(n) for n in names)), {"ignoreNullFields": "false"})
+        sinks.write_jsonl(df, body, path, order)
+    else:
+        sinks.write_parquet(df, path)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -36,43 +43,57 @@ def main(argv: list[str] | None = None) -> int:
     commands = p.add_subparsers(dest="command", required=True)
     for name, options in {
         "scan": ["out"], "parse": ["out"], "validate": [], "profile": [], "sample": ["plan", "out"], "clean": ["config", "out"], "fuzzy-clean": ["config", "out"],
-        "evaluate-fuzzy": ["config", "expected"], "pipeline": ["plan", "config", "out"],
+        "evaluate-fuzzy": ["config", "out"], "pipeline": ["plan", "config", "out"],
     }.items():
         c = commands.add_parser(name)
         c.add_argument("input")
         for o in options:
             c.add_argument(f"--{o}", required=True)
-        c.add_argument("--fuzzy-config")
+        for o in ("fuzzy-config", "report", "events", "nfkc-input"):
+            c.add_argument(f"--{o}")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("lexmill").getOrCreate()
     try:
         if a.command == "scan":
-            sinks.write_parquet(raw.scan_manifest(spark, a.input), a.out)
+            _write(raw.scan_manifest(spark, a.input), a.out, ["relative_path"])
         elif a.command == "parse":
             good, bad = raw.parse_directory(spark, a.input)
-            sinks.write_parquet(good, f"{a.out}/parsed")
-            sinks.write_parquet(bad, f"{a.out}/quarantine")
+            _write(good, f"{a.out}/parsed", ["source_file", "source_offset"])
+            _write(bad, f"{a.out}/quarantine", ["source_file", "source_offset"])
         elif a.command == "pipeline":
-            pipeline.run(spark, a.input, _plan(a.plan), cleaning.CleaningConfig.from_dict(_load(a.config)), a.out, _fuzzy(a.fuzzy_config) if a.fuzzy_config else None)
-        else:
-            rows = spark.read.parquet(a.input)
-            if a.command == "validate":
-                wrong = records.validate_records(rows).where("error_type is not null").first()
-                if wrong:
-                    raise records.ProcessingError(wrong.error_type, f"record {wrong.record_id} field={wrong.error_field}")
-                print(f"validated {rows.count()} records")
-            elif a.command == "profile":
-                print(json.dumps(records.profile_totals(rows).first().asDict() | {"counts": [r.asDict() for r in records.profile(rows).orderBy("kind", "value").collect()]}, ensure_ascii=False))
-            elif a.command == "sample":
-                sinks.write_parquet(sampling.sample(rows, _plan(a.plan)), a.out)
-            elif a.command == "clean":
-                pipeline.clean_to_tables(spark, rows, cleaning.CleaningConfig.from_dict(_load(a.config)), a.out)
-            elif a.command == "fuzzy-clean":
-                sinks.write_parquet(fuzzy.fuzzy_clean(rows, _fuzzy(a.config)), a.out)
+            pipeline.run(spark, a.input, sampling.SamplePlan.from_dict(_load(a.plan)), cleaning.CleaningConfig.from_dict(_load(a.config)), a.out, fuzzy.FuzzyConfig.from_dict(_load(a.fuzzy_config)) if a.fuzzy_config else None)
+        elif a.command == "validate":
+            rows = _records(spark, a.input)
+            wrong = None if a.input.endswith(".jsonl") else records.validate_records(rows).where("error_type is not null").first()
+            if wrong:
+                raise records.ProcessingError(wrong.error_type, f"record {wrong.record_id} field={wrong.error_field}")
+            print(f"validated {rows.count()} records")
+        elif a.command == "profile":
+            rows = _records(spark, a.input)
+            print(json.dumps(records.profile_totals(rows).first().asDict() | {"counts": [r.asDict() for r in records.profile(rows).orderBy("kind", "value").collect()]}, ensure_ascii=False))
+        elif a.command == "sample":
+            rows, plan = _records(spark, a.input), sampling.SamplePlan.from_dict(_load(a.plan))
+            chosen = sampling.sample(rows, plan)
+            if a.out.endswith(".jsonl"):  # the artifact's order is the ranks'
+                sinks.write_jsonl(chosen, records.record_json(), a.out, ["rank_hex", "record_id"])
             else:
-                d = _load(a.config)["sensitivity_grid"]
-                grid = fuzzy.threshold_grid(rows, spark.read.parquet(a.expected), _fuzzy(a.config), d["auto_thresholds"], d["review_thresholds"])
-                print(json.dumps({"selected": fuzzy.select_thresholds(grid), "grid": [r.asDict() for r in grid.collect()]}))
+                sinks.write_parquet(chosen, a.out)
+            if a.report:
+                sinks.write_json(spark, sampling.sample_report(rows, plan), a.report)
+        elif a.command == "clean":
+            pipeline.clean_to_tables(spark, _records(spark, a.input), cleaning.CleaningConfig.from_dict(_load(a.config)), a.out)
+        elif a.command == "fuzzy-clean":
+            rows, config = _cases(spark, a.input).drop("expected", "split"), fuzzy.FuzzyConfig.from_dict(_load(a.config))
+            _write(fuzzy.fuzzy_clean(rows, config), a.out, ["source_file", "source_offset"])
+            if a.events:
+                _write(fuzzy.fuzzy_events(rows, config), a.events, ["record_id", "seq"])
+        else:
+            d = _load(a.config)
+            grid = [[fuzzy.basis_points(x) for x in d["sensitivity_grid"][k]] for k in ("auto_thresholds", "review_thresholds")]
+            audited = _records(spark, a.nfkc_input) if a.nfkc_input else None
+            report = fuzzy.evaluate_thresholds(_cases(spark, a.input), fuzzy.FuzzyConfig.from_dict(d), *grid, audited, d.get("nfkc_score_examples"))
+            sinks.write_json(spark, report | {"algorithm_version": d["algorithm_version"]}, a.out)
+            print(json.dumps(report["selected_thresholds"]))
         return 0
     except records.ProcessingError as e:
         print(e, file=sys.stderr)

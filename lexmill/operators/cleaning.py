@@ -110,7 +110,7 @@ def remove_templates(df: DataFrame, column: str, t: Templates) -> DataFrame:
 def clean(records: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
     """Records with ``clean_text`` set and ``events``, an array of the rules' events in order."""
     df = records.withColumn("_t", F.col("raw_text"))
-    empty = "cast(array() as array<struct<rule_id:string,priority:int,action:string,match_method:string,reason_code:string,decision:string,matched_span:string,removed_chars:int,score:double,rule_version:string,algorithm_version:string,metrics:struct<before_chars:int,after_chars:int>,before_hash:string,after_hash:string>>)"
+    empty = "cast(array() as array<struct<rule_id:string,priority:int,action:string,match_method:string,reason_code:string,decision:string,matched_span:string,removed_chars:int,score:double,rule_version:string,algorithm_version:string,metrics:struct<priority:int>,before_hash:string,after_hash:string>>)"
     none = F.expr(empty)  # read once in each step: an expression used twice would double with every rule
     df = df.withColumn("_events", none)
 
@@ -119,7 +119,7 @@ def clean(records: DataFrame, config: CleaningConfig = CleaningConfig()) -> Data
         return F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.priority).alias("priority"), F.lit(r.action).alias("action"), F.lit(r.match_method).alias("match_method"), F.lit(r.reason_code).alias("reason_code"),
             F.lit(decision).alias("decision"), span.cast("string").alias("matched_span"), removed.cast("int").alias("removed_chars"), F.lit(1.0).alias("score"), F.lit(config.rule_version).alias("rule_version"), F.lit(config.algorithm_version).alias("algorithm_version"),
-            F.struct(F.length(before).cast("int").alias("before_chars"), F.length(after).cast("int").alias("after_chars")).alias("metrics"), T.sha256_text(before).alias("before_hash"), T.sha256_text(after).alias("after_hash"),
+            F.struct(F.lit(r.priority).alias("priority")).alias("metrics"), T.sha256_text(before).alias("before_hash"), T.sha256_text(after).alias("after_hash"),
         )
 
     simple = {"remove_script_style": T.remove_script_style, "normalize_html": T.normalize_html, "remove_zero_width": T.remove_zero_width, "normalize_nfkc": T.nfkc, "normalize_whitespace": T.normalize_whitespace}

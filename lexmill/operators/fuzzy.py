@@ -57,8 +57,26 @@ class FuzzyConfig:
             raise ProcessingError("invalid_fuzzy_config", "templates")
         for t in self.templates:
             p = t.compatible_regex
-            if p is not None and (not (p.startswith("^") or p.endswith("$")) or re.search(r"\(\?[=!<]|\\[1-9]", p)):
+            if p is not None and (not (p.startswith("^") or p.endswith("$")) or re.search(r"\(\?(?:[=!<]|P=)|\\[1-9]|\\k<", p)):
                 raise ProcessingError("invalid_fuzzy_regex", t.template_id)
+            try:
+                re.compile(p or "")
+            except re.error as e:
+                raise ProcessingError("invalid_fuzzy_regex", t.template_id) from e
+
+    @classmethod
+    def from_dict(cls, d: dict) -> FuzzyConfig:
+        """Of a JSON configuration; thresholds in shares of one or in basis points."""
+        templates = tuple(Template(t["template_id"], t["canonical_text"], tuple(t["allowed_positions"]), t.get("compatible_regex")) for t in d["templates"])
+        limits, at = d["candidate_limits"], d["thresholds"]
+        return cls(
+            templates, basis_points(at["auto"]), basis_points(at["review"]), d["best_match_margin"], d["minimum_evidence_floor"], d["auto_minimum_evidence"], limits["min_length"], limits["max_length"], limits["min_length_ratio"],
+            tuple(d["protected_context_prefixes"]), d["character_ngram"], tuple(d["score_weights"].items()),
+        )
+
+
+def basis_points(x: float) -> int:
+    return round(x * 10000) if isinstance(x, float) and x <= 1 else int(x)
 
 
 #: Names a record's row: the fields that identify it, and its text, in case they do not.
@@ -222,6 +240,59 @@ def confusion(cases: DataFrame) -> DataFrame:
     return cases.groupBy("expected").pivot("actual", ["applied", "review", "skipped"]).count().fillna(0)
 
 
+def metrics(cases: DataFrame) -> dict:
+    """Of ``cases(expected, actual)``: nine cells, shares as numbers and in basis points (one where there is nothing to share), and wrong decisions."""
+    labels = ("applied", "review", "skipped")
+    cells = {e: dict.fromkeys(labels, 0) for e in labels}
+    for r in cases.groupBy("expected", "actual").count().collect():
+        cells[r.expected][r.actual] = r["count"]
+    right, auto = cells["applied"]["applied"], sum(c["applied"] for c in cells.values())
+    shares = {"auto_precision": (right, auto), "auto_recall": (right, sum(cells["applied"].values())), "review_capture": (cells["review"]["review"], sum(cells["review"].values()))}
+    out = {"confusion_matrix": cells, "false_removal_count": auto - right, "meaningless_review_count": cells["skipped"]["review"]}
+    for name, (n, of) in shares.items():
+        out[name], out[f"{name}_basis_points"] = (n / of, (n * 10000 + of // 2) // of) if of else (1.0, 10000)
+    return out
+
+
+def outcomes(records: DataFrame, config: FuzzyConfig) -> DataFrame:
+    """``records`` with ``actual``: the strongest of their resolved decisions, skipped where there is none."""
+    strongest = F.when(F.exists("decisions", lambda d: d["decision"] == "applied"), "applied").when(F.exists("decisions", lambda d: d["decision"] == "review"), "review").otherwise("skipped")
+    return _decided(records, config).withColumn("actual", strongest).drop("text", "decisions")
+
+
+def evaluate_thresholds(cases: DataFrame, config: FuzzyConfig, autos: list[int], reviews: list[int], audited: DataFrame | None = None, examples: list[dict] | None = None) -> dict:
+    """The threshold report: the grid on the calibration cases, the pair chosen, and its metrics on the holdout.
+
+    ``cases`` are records with ``expected`` and ``split``; all pairs are decided from one scoring.
+    """
+    cases = cases.where("expected is not null")
+    size = {r["split"]: r["count"] for r in cases.groupBy("split").count().collect()}
+    if set(size) != {"calibration", "holdout"}:
+        raise ProcessingError("invalid_fuzzy_input", "cases must use the calibration or holdout split")
+    calibration, holdout = (cases.where(F.col("split") == k) for k in ("calibration", "holdout"))
+    grid = threshold_grid(calibration.drop("expected", "split"), calibration.select("record_id", "expected"), config, autos, reviews).orderBy("review", "auto")
+    auto, review = select_thresholds(grid)
+    chosen = replace(config, auto=auto, review=review)
+    return {
+        "calibration_case_count": size["calibration"], "calibration_metrics": metrics(outcomes(calibration, chosen)), "golden_case_count": sum(size.values()), "holdout_case_count": size["holdout"], "holdout_metrics": metrics(outcomes(holdout, chosen)),
+        "nfkc_audit": audit(audited if audited is not None else cases.limit(0), examples or [], config), "schema_version": "fuzzy-threshold-report-v1", "selected_thresholds": {"auto": auto, "review": review}, "sensitivity": [r.asDict() for r in grid.collect()],
+    }
+
+
+def audit(records: DataFrame, examples: list[dict], config: FuzzyConfig) -> dict:
+    """What NFKC changes in the records, the commonest mappings, and score examples before and after."""
+    row = nfkc_audit(records).first().asDict()
+    shown = []
+    if examples:
+        pairs = records.sparkSession.createDataFrame([(i, e["candidate"], e["template"]) for i, e in enumerate(examples)], "i int, a string, b string")
+        view = lambda c: T.matching_view(F.col(c), config.normalise)
+        views = pairs.select("i", "a", "b", view("a").alias("va"), view("b").alias("vb"))
+        scores = {r.i: r for r in views.select("i", T.ratio(F.col("a"), F.col("b")).alias("raw_ratio"), T.ratio(F.col("va"), F.col("vb")).alias("matching_view_ratio")).collect()}
+        shown = [e | {"raw_ratio": scores[i].raw_ratio, "matching_view_ratio": scores[i].matching_view_ratio} for i, e in enumerate(examples)]
+    tops = [{"before": r.before, "after": r.after, "count": r.n} for r in character_mappings(records).collect()]
+    return {"after_character_count": row["after_characters"] or 0, "before_character_count": row["before_characters"] or 0, "changed_record_count": row["changed_records"], "score_examples": shown, "top_mappings": tops}
+
+
 def threshold_grid(records: DataFrame, expected: DataFrame, config: FuzzyConfig, autos: list[int], reviews: list[int]) -> DataFrame:
     """Metrics for each (auto, review) with review < auto. Scores are computed once; only decisions are redone."""
     grid = [(a, r) for a in autos for r in reviews if r < a]

@@ -6,14 +6,16 @@ quota. The strata table is broadcast by Spark itself where its size allows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_rank, is_blank, nfkc, strip
-from .records import ProcessingError, field_value, matches_filters
+from .records import ProcessingError, field_value, fingerprint, matches_filters, mergeable_fingerprint, record_json
 
 METHODS = ["simple_random", "proportional", "equal", "minimum_then_proportional"]
 
@@ -29,7 +31,17 @@ class SamplePlan:
     filters: dict[str, Any] = field(default_factory=dict)
     algorithm_version: str = "hash-rank-v1"
 
+    @classmethod
+    def from_dict(cls, d: dict) -> SamplePlan:
+        known = {f for f in cls.__dataclass_fields__} | {"schema_version"}
+        if not isinstance(d, dict) or set(d) - known or not {"plan_id", "target_size"} <= set(d):
+            raise ProcessingError("invalid_plan", "unknown or missing keys")
+        return cls(**{k: tuple(v) if k == "strata_keys" else v for k, v in d.items() if k != "schema_version"})
+
     def __post_init__(self) -> None:
+        numbers = (self.target_size, self.seed, self.minimum_per_stratum)
+        if any(isinstance(x, bool) or not isinstance(x, int) for x in numbers) or not isinstance(self.plan_id, str) or not isinstance(self.filters, dict) or any(not isinstance(k, str) for k in self.strata_keys):
+            raise ProcessingError("invalid_plan", "types")
         good = self.plan_id and self.target_size >= 1 and self.seed >= 0 and self.minimum_per_stratum >= 0
         if not good or self.allocation_method not in METHODS or len(set(self.strata_keys)) != len(self.strata_keys):
             raise ProcessingError("invalid_plan", self.plan_id)
@@ -92,7 +104,8 @@ def sample(records: DataFrame, plan: SamplePlan) -> DataFrame:
         return rows.orderBy("rank_hex", "record_id").limit(plan.target_size)
     quotas = allocate(strata_capacity(records, plan), plan)
     order = Window.partitionBy("stratum").orderBy("rank_hex", "record_id")
-    return rows.join(quotas.select("stratum", "quota"), "stratum").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+    chosen = rows.join(quotas.select("stratum", "quota"), "stratum").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("quota"))
+    return chosen.drop("_n", "quota").orderBy("rank_hex", "record_id")
 
 
 def report_strata(records: DataFrame, plan: SamplePlan) -> DataFrame:
@@ -101,6 +114,29 @@ def report_strata(records: DataFrame, plan: SamplePlan) -> DataFrame:
     return quotas.join(chosen, "stratum", "left").select("stratum", "population", "quota", F.coalesce("selected", F.lit(0)).alias("selected"))
 
 
+def sample_report(records: DataFrame, plan: SamplePlan) -> dict:
+    """The whole report of a sample: sizes, strata and the fingerprints of plan, population, chosen ids and output.
+
+    The population's fingerprint is free of order, for it may be of any size; the sample's are over its lines in order.
+    """
+    chosen = sample(records, plan)
+    filtered = records.where(matches_filters(plan.filters))
+    simple = not plan.strata_keys or plan.allocation_method == "simple_random"
+    n = filtered.count()
+    strata = [{"key": "[]", "population": n, "quota": plan.target_size, "selected": plan.target_size}] if simple else [{"key": r.stratum, "population": r.population, "quota": r.quota, "selected": r.selected} for r in report_strata(records, plan).orderBy("stratum").collect()]
+    rank = ["rank_hex", "record_id"]
+    return {
+        "algorithm_version": plan.algorithm_version, "allocation_method": plan.allocation_method, "filtered_population_size": n, "plan_fingerprint": plan_fingerprint(plan), "plan_id": plan.plan_id,
+        "population_fingerprint": mergeable_fingerprint(filtered, record_json()).first().asDict(), "population_size": records.count(), "schema_version": "sample-report-v1", "seed": plan.seed,
+        "selected_id_fingerprint": fingerprint(chosen.select("record_id"), F.to_json(F.array("record_id")), ["record_id"]).first()[0], "output_fingerprint": fingerprint(chosen, record_json(), rank).first()[0],
+        "strata": strata, "strata_keys": list(plan.strata_keys), "target_size": plan.target_size,
+    }
+
+
+def plan_fingerprint(plan: SamplePlan) -> str:
+    return "sha256:" + hashlib.sha256(json.dumps(asdict(plan), ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def risk_sample(records: DataFrame, target: int, templates: list[str], short: int = 12) -> DataFrame:
     """The riskiest records: most reasons first, then by hash."""
     text = F.col("raw_text")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import CleaningConfig, clean, cleaning_events, sampled_pairs
 from ..operators.fuzzy import KEY, FuzzyConfig, decisions, fuzzy_clean, fuzzy_events, resolved
 from ..operators.records import mergeable_fingerprint, record_json
-from ..operators.sampling import SamplePlan, report_strata, risk_sample, sample
-from ..sources.raw import parse_directory, scan_manifest
+from ..operators.sampling import SamplePlan, plan_fingerprint, report_strata, risk_sample, sample, sample_report
+from ..sources.raw import ParsingConfig, parse_directory, scan_manifest
 from ..sources.sinks import cache_key, read_json, write_json, write_parquet
 
 
@@ -69,6 +69,12 @@ def run(spark: SparkSession, root: str, plan: SamplePlan, config: CleaningConfig
         df = spark.read.parquet(f"{out}/{n}")
         row = mergeable_fingerprint(df, F.to_json(F.struct(*sorted(df.columns)))).first()
         hashed[n] = json.dumps(row.asDict(), sort_keys=True)
-    manifest = {"algorithm_version": config.algorithm_version, "config_fingerprint": _config_fingerprint(config, fuzzy), "plan_fingerprint": _config_fingerprint(plan), "outputs": hashed, "schema_version": "run-manifest-v1"}
+    manifest = {
+        "algorithm_version": "pipeline-v1+fuzzy-template-clean-v1" if fuzzy else "pipeline-v1", "cleaning_config_fingerprint": _config_fingerprint(config), "input_fingerprint": hashed["file-manifest"], "outputs": hashed,
+        "parsing_config_fingerprint": _config_fingerprint(ParsingConfig()), "plan_fingerprint": plan_fingerprint(plan), "schema_version": "run-manifest-v1",
+    }
+    if fuzzy is not None:
+        manifest["fuzzy_config_fingerprint"] = _config_fingerprint(fuzzy)
+    write_json(spark, sample_report(records, plan), f"{out}/sample-report.json")
     write_json(spark, manifest, f"{out}/run-manifest.json")
     return manifest

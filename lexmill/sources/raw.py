@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from itertools import islice
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.records import ProcessingError
 
+#: The raw contract's version, formats, fields, header and skipped folders: fixed values.
 PARSER_VERSION = "raw-parser-v1"
 FORMATS = {".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".html": "html"}
 FIELDS = ["record_id", "dataset_id", "event_date", "record_type", "title", "raw_text", "category_signal", "source_batch", "synthetic"]
@@ -30,6 +32,13 @@ OUT = (
 )
 
 
+@dataclass(frozen=True)
+class ParsingConfig:
+    parser_version: str = PARSER_VERSION
+    schema_version: str = "parsing-config-v1"
+    supported_extensions: tuple[tuple[str, str], ...] = tuple(sorted(FORMATS.items()))
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
