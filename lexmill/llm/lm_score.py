@@ -38,7 +38,7 @@ WORD_BASE, PAIR_BASE = 1.1, 1.5
 KAPPA = 200.0
 BROADCAST_BYTES = 256 << 20
 #: Pairs that a task gathers before it sends them, and entries that are merged at once: 16 bytes each while they are sorted.
-TASK_PAIRS = 2_000_000
+TASK_PAIRS = 1_000_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
@@ -91,7 +91,13 @@ def _runs(kind: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.Re
     where = _range(keys, ranges)
     at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(keys) else np.zeros(0, np.int64)
     rows, cut = where[at].astype(np.int32), np.r_[at, len(keys)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows), _binary(keys, cut), _binary(counts.astype("<i8"), cut)], names=["kind", "range", "keys", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows), _binary(keys, cut), _binary(counts.astype("<u4"), cut)], names=["kind", "range", "keys", "counts"])
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A batch in copies of few rows, so that neither side holds much of it at once."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.take(pa.array(range(k, min(batch.num_rows, k + rows)), pa.int64()))
 
 
 def _count(ranges: int):
@@ -106,11 +112,11 @@ def _count(ranges: int):
                 n += len(pairs)
                 if n >= TASK_PAIRS:
                     for kind in (0, 1):
-                        yield _runs(kind, *_summed(np.concatenate(held[kind])), ranges)
+                        yield from _parts(_runs(kind, *_summed(np.concatenate(held[kind])), ranges))
                     held, n = [[], []], 0
         if n:
             for kind in (0, 1):
-                yield _runs(kind, *_summed(np.concatenate(held[kind])), ranges)
+                yield from _parts(_runs(kind, *_summed(np.concatenate(held[kind])), ranges))
 
     return run
 
@@ -173,7 +179,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now:
                     yield flush()
                 now, held, n = (k, r), [], 0
-            held.append((np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), "<i8")))
+            held.append((np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), "<u4").astype(np.int64)))
             n += len(held[-1][0])
             if n > TASK_PAIRS and len(held) > 1 and n > 2 * len(held[0][0]):
                 held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
