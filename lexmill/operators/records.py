@@ -157,6 +157,19 @@ def fingerprint(df: DataFrame, json: Column, order: list[str]) -> DataFrame:
     return lines.agg(F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("fingerprint"))
 
 
+def tree_fingerprint(df: DataFrame, json: Column, key: str) -> DataFrame:
+    """SHA-256 over hashes, for tables of any size: lines in order of ``key`` within 65,536 buckets of its hash, buckets within 256, these in order."""
+    rows = df.select(F.sha2(F.col(key).cast("string"), 256).alias("h"), F.col(key).alias("k"), json.alias("line"))
+    level = rows.groupBy(F.substring("h", 1, 4).alias("b")).agg(body_of("k", "line").alias("line"))
+    level = level.groupBy(F.substring("b", 1, 2).alias("c")).agg(body_of("b", "line").alias("line"))
+    return level.agg(F.concat(F.lit("sha256:"), body_of("c", "line")).alias("fingerprint"))
+
+
+def body_of(key: str, line: str) -> Column:
+    """SHA-256 of a group's lines in order of ``key``, each with its line end."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(line).alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), ""), 256)
+
+
 def mergeable_fingerprint(df: DataFrame, json: Column) -> DataFrame:
     """Order-free fingerprint for tables of any size: count, and XOR and sum of row hashes."""
     h = F.xxhash64(json)

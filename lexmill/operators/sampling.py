@@ -104,7 +104,13 @@ def sample(records: DataFrame, plan: SamplePlan) -> DataFrame:
         return rows.orderBy("rank_hex", "record_id").limit(plan.target_size)
     quotas = allocate(strata_capacity(records, plan), plan)
     order = Window.partitionBy("stratum").orderBy("rank_hex", "record_id")
-    chosen = rows.join(quotas.select("stratum", "quota"), "stratum").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("quota"))
+    rows = rows.join(quotas, "stratum")
+    # ranks are uniform: below this share of them a stratum has its quota but for a chance of about one in 10**9
+    share = (F.col("quota") + 6 * F.sqrt("quota") + 20) / F.col("population")
+    few = rows.where(F.conv(F.substring("rank_hex", 1, 13), 16, 10).cast("double") / 2.0**52 <= share)
+    short = few.groupBy("stratum").agg(F.count("*").alias("n")).join(quotas.where("quota > 0"), "stratum", "right").where(F.coalesce("n", F.lit(0)) < F.col("quota"))
+    rows = (rows if short.limit(1).count() else few).drop("population")
+    chosen = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("quota"))
     return chosen.drop("_n", "quota").orderBy("rank_hex", "record_id")
 
 

@@ -204,10 +204,11 @@ def record_fingerprint(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.sha2(j, 256).alias("fingerprint"))
 
 
-@query(f"select 'sha256:' || sha256(string_agg({ROWJSON} || chr(10), '' order by cast(doc_id as varchar))) as fingerprint from documents")
+@query(f"""with r as (select sha256(cast(doc_id as varchar)) as h, cast(doc_id as varchar) as k, {ROWJSON} as line from documents), b as (select h[1:4] as b, sha256(string_agg(line || chr(10), '' order by k)) as line from r group by 1),
+    c as (select b[1:2] as c, sha256(string_agg(line || chr(10), '' order by b)) as line from b group by 1) select 'sha256:' || sha256(string_agg(line || chr(10), '' order by c)) as fingerprint from c""")
 def fingerprint_population(spark, d):
     df = _table(spark, d, "documents").select("source", "n_chars", F.col("doc_id").cast("string").alias("record_id"))
-    return R.fingerprint(df, F.to_json(F.struct(F.col("source").alias("dataset_id"), "n_chars", "record_id")), ["record_id"])
+    return R.tree_fingerprint(df, F.to_json(F.struct(F.col("source").alias("dataset_id"), "n_chars", "record_id")), "record_id")
 
 
 @query(f"""select 'sha256:' || sha256(string_agg('"' || record_id || '"' || chr(10), '' order by record_id)) as fingerprint from (select record_id from {REC} order by {RANK}, record_id limit 100)""")
