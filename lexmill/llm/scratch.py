@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: File names up to this number are broadcast, to number the files' rows.
 BROADCAST_FILES = 100_000
 #: Rows and bytes of an Arrow batch that goes to a Python worker (the bytes: where Spark knows the setting).
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 LOCAL_DEFAULT = "/tmp/checkpoints/lexmill"
 
 
