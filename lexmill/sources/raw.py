@@ -1,8 +1,9 @@
 """Raw files (JSONL, TSV, HTML, JSON arrays) to records and quarantine.
 
-``binaryFile`` lists and reads the files on the executors; one Arrow pass parses each file
-with Python's strict JSON, because record offsets are per file and error codes depend
-on its rules. Good and bad rows come out of the same pass and are split by a filter.
+Files of lines are read in Spark's own splits, so their size doesn't matter; arrays, files
+of unknown formats and files that are not UTF-8 are read whole. An Arrow pass parses with
+Python's strict JSON, because error codes depend on its rules. Good and bad rows come out
+of the same pass and are split by a filter.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from html.parser import HTMLParser
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import ProcessingError
@@ -92,54 +93,38 @@ def _cell(text: str, code: str) -> object:
         raise _Bad(code, "invalid JSON value") from None
 
 
-def _jsonl(data: bytes) -> Iterator[tuple[bytes, object]]:
-    for i, line in enumerate(data.split(b"\n")[: None if not data.endswith(b"\n") else -1]):
-        line = line.rstrip(b"\r\n")
-        body = line.removeprefix(b"\xef\xbb\xbf") if i == 0 else line
-        try:
-            yield line, json.loads(body.decode())
-        except ValueError:
-            yield line, _Bad("invalid_json", "line is not valid JSON")
+def _json_line(line: bytes, first: bool) -> object:
+    try:
+        return json.loads((line.removeprefix(b"\xef\xbb\xbf") if first else line).decode())
+    except ValueError:
+        raise _Bad("invalid_json", "line is not valid JSON") from None
 
 
-def _tsv(data: bytes) -> Iterator[tuple[bytes, object]]:
-    lines = [x.rstrip(b"\r\n") for x in data.removeprefix(b"\xef\xbb\xbf").split(b"\n")[: None if not data.endswith(b"\n") else -1]]
-    if lines[0].decode().split("\t") != HEADER:
-        yield lines[0], _Bad("unknown_schema_drift", "unexpected header")
-        return
-    for line in lines[1:]:
-        cells = line.decode().split("\t")
-        try:
-            if len(cells) != len(HEADER):
-                raise _Bad("malformed_tsv", "wrong number of columns")
-            raw = {h.removesuffix("_json"): _cell(c, "malformed_tsv") if h.endswith("_json") else c for h, c in zip(HEADER, cells)}
-            raw["synthetic"] = {"true": True, "false": False}.get(raw["synthetic"], raw["synthetic"])
-            yield line, raw
-        except _Bad as e:
-            yield line, e
-
-
-def _html(data: bytes) -> Iterator[tuple[bytes, object]]:
-    for line in data.split(b"\n"):
-        line = line.rstrip(b"\r\n")
-        if b"<article" not in line.lower():
-            continue
-        p = _Article()
-        p.feed(line.decode())
-        try:
-            a = p.found
-            if a is None:
-                raise _Bad("invalid_html", "no article")
-            raw = {}
-            for f, h in zip(FIELDS, ["record-id", "dataset-id", "event-date-json", "record-type", "title-json", "raw-text-json", "category-signal-json", "source-batch", "synthetic"]):
-                v = a.get(f"data-{h}")
-                if v is None:
-                    raise _Bad("invalid_html", f"missing data-{h}")
-                raw[f] = _cell(v, "invalid_html") if h.endswith("-json") else v
-            raw["synthetic"] = raw["synthetic"] == "true"
-            yield line, raw
-        except _Bad as e:
-            yield line, e
+def _tsv_line(line: bytes, first: bool) -> object:
+    cells = line.decode().split("\t")
+    if len(cells) != len(HEADER):
+        raise _Bad("malformed_tsv", "wrong number of columns")
+    raw = {h.removesuffix("_json"): _cell(c, "malformed_tsv") if h.endswith("_json") else c for h, c in zip(HEADER, cells)}
+    raw["synthetic"] = {"true": True, "false": False}.get(raw["synthetic"], raw["synthetic"])
+    return raw
+
+
+def _html_line(line: bytes, first: bool) -> object:
+    p = _Article()
+    p.feed(line.decode())
+    if p.found is None:
+        raise _Bad("invalid_html", "no article")
+    raw = {}
+    for f, h in zip(FIELDS, ["record-id", "dataset-id", "event-date-json", "record-type", "title-json", "raw-text-json", "category-signal-json", "source-batch", "synthetic"]):
+        v = p.found.get(f"data-{h}")
+        if v is None:
+            raise _Bad("invalid_html", f"missing data-{h}")
+        raw[f] = _cell(v, "invalid_html") if h.endswith("-json") else v
+    raw["synthetic"] = raw["synthetic"] == "true"
+    return raw
+
+
+LINES = {"jsonl": _json_line, "tsv": _tsv_line, "html": _html_line}
 
 
 def _array(data: bytes) -> Iterator[tuple[bytes, object]]:
@@ -155,30 +140,78 @@ def _array(data: bytes) -> Iterator[tuple[bytes, object]]:
         yield canonical(x).encode(), x
 
 
-def _rows(name: str, data: bytes) -> Iterator[dict]:
-    kind = FORMATS.get("." + name.rsplit(".", 1)[-1].lower() if "." in name.rsplit("/", 1)[-1] else "", "unknown")
-    base = {"source_file": name, "detected_format": kind, "parser_version": PARSER_VERSION}
+def _kind(name: str) -> str:
+    return FORMATS.get("." + name.rsplit(".", 1)[-1].lower() if "." in name.rsplit("/", 1)[-1] else "", "unknown")
 
-    def bad(offset: int, e: _Bad, fragment: bytes) -> dict:
-        return base | {"source_offset": offset, "error_code": e.code, "message": e.message, "raw_fragment_hash": _hash(fragment), "schema_version": "quarantine-record-v1"}
 
+def _row(name: str, kind: str, offset: int, fragment: bytes, raw: object) -> dict:
+    """A record, or a quarantined row where ``raw`` is an error or breaks the contract."""
+    base = {"source_file": name, "detected_format": kind, "parser_version": PARSER_VERSION, "source_offset": offset}
+    try:
+        if isinstance(raw, _Bad):
+            raise raw
+        return base | _record(raw, kind) | {"schema_version": "record-v1"}
+    except _Bad as e:
+        return base | {"error_code": e.code, "message": e.message, "raw_fragment_hash": _hash(fragment), "schema_version": "quarantine-record-v1"}
+
+
+def _whole(name: str, data: bytes) -> Iterator[dict]:
+    """The rows of a file that is read whole: an array, an unknown format, or a file that is not UTF-8."""
+    kind = _kind(name)
     if not data:
         return
     if kind == "unknown":
-        yield bad(0, _Bad("unsupported_format", "unsupported extension"), data)
+        yield _row(name, kind, 0, data, _Bad("unsupported_format", "unsupported extension"))
         return
     try:
         data.decode()
     except UnicodeDecodeError:
-        yield bad(0, _Bad("invalid_encoding", "file is not UTF-8"), data)
+        yield _row(name, kind, 0, data, _Bad("invalid_encoding", "file is not UTF-8"))
         return
-    for offset, (fragment, raw) in enumerate({"jsonl": _jsonl, "tsv": _tsv, "html": _html, "json": _array}[kind](data)):
-        try:
-            if isinstance(raw, _Bad):
-                raise raw
-            yield base | _record(raw, kind) | {"source_offset": offset, "schema_version": "record-v1"}
-        except _Bad as e:
-            yield bad(offset, e, fragment)
+    for offset, (fragment, raw) in enumerate(_array(data)):
+        yield _row(name, kind, offset, fragment, raw)
+
+
+def _line(name: str, kind: str, offset: int, good_header: bool, line: bytes) -> dict:
+    line = line.rstrip(b"\r\n")
+    if not good_header:
+        return _row(name, kind, 0, line.removeprefix(b"\xef\xbb\xbf"), _Bad("unknown_schema_drift", "unexpected header"))
+    try:
+        return _row(name, kind, offset, line, LINES[kind](line, offset == 0))
+    except _Bad as e:
+        return _row(name, kind, offset, line, e)
+
+
+def _relative(spark: SparkSession, root: str, path: Column) -> Column:
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    start = F.regexp_replace(F.lit(full), r"^file:/+", "file:/")
+    return F.regexp_replace(path, r"^file:/+", "file:/").substr(F.length(start) + 1, F.length(path))
+
+
+def lines(spark: SparkSession, root: str) -> DataFrame:
+    """name, kind, offset, good_header, bad_file, value of the lines of JSONL, TSV and HTML files that hold a row, from Spark's own splits.
+
+    Each split counts its rows, and numbers them behind the splits before it. TSV offsets
+    are those of data lines; of a TSV file with another header, the header alone comes.
+    """
+    path = F.col("_metadata.file_path")
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
+    rows = text.select(F.col("value").cast("binary").alias("value"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("at"), (~F.is_valid_utf8("value")).alias("bad"))
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv)), ext)
+    rows = rows.withColumn("kind", kind).where(F.col("kind").isin(list(LINES))).withColumn("name", _relative(spark, root, F.col("path")))
+    rows = rows.where(~F.exists(F.split("name", "/"), lambda x: x.isin(SKIPPED)))
+    mine = rows.where((F.col("kind") != "html") | F.contains(F.lower(F.decode("value", "iso-8859-1")), F.lit("<article"))).withColumn("n", F.monotonically_increasing_id())
+    splits = mine.groupBy("name", "at").agg(F.count("*").alias("held"), F.min("n").alias("first"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("name", "at", "first", before.alias("before"))
+    bare = F.regexp_replace(F.regexp_replace(F.decode("value", "iso-8859-1"), "^\u00ef\u00bb\u00bf", ""), r"[\r\n]+$", "")
+    heads = mine.where("kind = 'tsv'").withColumn("good", bare == F.lit("\t".join(HEADER))).groupBy("name").agg(F.min_by("good", F.struct("at", "n")).alias("good_header"))
+    bad = rows.groupBy("name").agg(F.bool_or("bad").alias("bad_file"))
+    out = mine.join(splits, ["name", "at"]).join(heads, "name", "left").join(bad, "name").withColumn("good_header", F.coalesce("good_header", F.lit(True)))
+    out = out.withColumn("offset", F.col("n") - F.col("first") + F.col("before") - F.when(F.col("kind") == "tsv", 1).otherwise(0))
+    return out.where((F.col("kind") != "tsv") | F.when(F.col("good_header"), F.col("offset") >= 0).otherwise(F.col("offset") == -1)).select("name", "kind", "offset", "good_header", "bad_file", "value")
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -224,14 +257,26 @@ def parse_directory(spark: SparkSession, root: str, parser_version: str = PARSER
 
     schema = pa.schema([(n, pa.int64() if n == "source_offset" else pa.string()) for n in names])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        while part := list(islice(rows, 5000)):
+            yield pa.RecordBatch.from_pylist(part, schema=schema)
+
+    def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("relative_path").to_pylist(), batch.column("content").to_pylist()):
-                rows = iter(_rows(name, data))
-                while part := list(islice(rows, 5000)):
-                    yield pa.RecordBatch.from_pylist(part, schema=schema)
+                yield from batched(_whole(name, data))
 
-    every = files(spark, root).select("relative_path", "content").mapInArrow(parse, OUT)
+    def parse_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from batched(_line(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("name", "kind", "offset", "good_header", "value"))))
+
+    rows = lines(spark, root)
+    broken = rows.where("bad_file").select(F.col("name").alias("relative_path")).distinct()
+    whole = files(spark, root).select("relative_path", "content")
+    ext = F.lower(F.regexp_extract("relative_path", r"(\.[^./]*)$", 1))
+    apart = [e for e, k in FORMATS.items() if k in LINES]
+    whole = whole.where(~ext.isin(apart)).unionByName(whole.where(ext.isin(apart)).join(broken, "relative_path", "left_semi"))
+    every = rows.where("not bad_file").select("name", "kind", "offset", "good_header", "value").mapInArrow(parse_lines, OUT).unionByName(whole.mapInArrow(parse_files, OUT))
     records = every.where("error_code is null").drop("error_code", "message", "raw_fragment_hash", "detected_format").orderBy("source_file", "source_offset")
     bad = every.where("error_code is not null").select("source_file", "source_offset", "detected_format", "error_code", "message", "raw_fragment_hash", "parser_version", "schema_version")
     return records, bad.orderBy("source_file", "source_offset", "error_code")

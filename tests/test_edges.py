@@ -60,3 +60,21 @@ def test_lines_over_parts(spark):
     got = T.with_lines(spark.createDataFrame([(text,), ("",), (None,)], "t string"), "t", 64).collect()
     assert [r.lines for r in got[1:]] == [[], []] and len(got[0].lines) == 1501
     assert all(text[x.start : x.start + len(x.value)] == x.value and x.value.strip() == x.value for x in got[0].lines)
+
+
+def test_files_of_many_splits_keep_their_offsets(spark, tmp_path):
+    from lexmill.sources import raw
+
+    good = {"record_id": "r", "dataset_id": "d", "event_date": None, "record_type": "article", "title": None, "raw_text": "t", "category_signal": "c", "source_batch": "b", "synthetic": True}
+    (tmp_path / "a b+c").mkdir()
+    (tmp_path / "a b+c/x%20y.jsonl").write_text("".join(json.dumps(good | {"record_id": f"j{i}"}) + "\r\n" for i in range(900)))
+    (tmp_path / "t.tsv").write_text("﻿" + "\t".join(raw.HEADER) + "\n" + "".join("\t".join([f"t{i}", "d", "null", "article", "null", '"x"', '"c"', "b", "true"]) + "\n" for i in range(900)))
+    (tmp_path / "drift.tsv").write_text("a\tb\n" + "c\td\n" * 900)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows, bad = raw.parse_directory(spark, str(tmp_path))
+        got = [(r.source_file, r.source_offset, r.record_id) for r in rows.collect()]
+        assert got == [("a b+c/x%20y.jsonl", i, f"j{i}") for i in range(900)] + [("t.tsv", i, f"t{i}") for i in range(900)]
+        assert [(r.source_file, r.source_offset, r.error_code) for r in bad.collect()] == [("drift.tsv", 0, "unknown_schema_drift")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
