@@ -135,8 +135,18 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def windows_ratio(short: Column, long: Column, size: Column) -> Column:
-    """Best ratio of ``short``, of ``size`` characters, with the windows of its length in ``long``."""
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.length(long) - size + 1), lambda i: F.levenshtein(short, long.substr(i, size))))
+    """Best ratio of ``short``, of ``size`` characters, with the windows of its length in ``long``.
+
+    A window's distance is at most two below that of the window before it. So after one of
+    distance d, windows that can't fall below the least distance so far are passed over.
+    """
+    state = F.struct(size.alias("least"), F.lit(1).alias("next"))
+
+    def step(acc: Column, i: Column) -> Column:
+        measured = F.transform(F.array(F.levenshtein(short, long.substr(i, size))), lambda d: F.struct(F.least(acc["least"], d).alias("least"), (i + 1 + F.floor((d - F.least(acc["least"], d)) / 2).cast("int")).alias("next")))  # one element: d is computed once
+        return F.when(i < acc["next"], acc).otherwise(measured[0])
+
+    least = F.aggregate(F.sequence(F.lit(1), F.length(long) - size + 1), state, step, lambda acc: acc["least"])
     return F.when(size == 0, F.when(F.length(long) == 0, 10000).otherwise(0)).when(F.instr(long, short) > 0, 10000).otherwise(basis(size - least, size))
 
 
