@@ -1,10 +1,11 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 First each task joins its own edges to stars around their smallest nodes, so that what
-is shuffled is a forest a task, whatever the number of edges. Every round is then joins
-on small rows, written to the shared folder; nothing of the graph comes to the driver
-but the count and the sum of hashes of the round's edges, taken while they are written.
-The rounds end when a round changes nothing.
+is left is a forest a task, whatever the number of edges. Forests of few edges are joined
+in one task: rounds of many small jobs would cost the driver threads, plans and records of
+tasks. Larger ones take rounds: each is joins on small rows, written to the shared folder;
+nothing of the graph comes to the driver but the count and the sum of hashes of the round's
+edges, taken while they are written. The rounds end when a round changes nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .scratch import Scratch
 
 #: Edges that a task holds at most before it sends their forest on.
 TASK_EDGES = 1_000_000
+#: Forests of up to this number of edges, all tasks' together, are joined in one task (under TASK_EDGES); beyond it in rounds.
+ONE_TASK_EDGES = 200_000
 
 
 class Union:
@@ -66,8 +69,14 @@ def stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Loops and repeated edges are allowed; nulls are not. An empty table gives an empty one.
     """
     check = {"h": F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))}
-    forest = edges.select("u", "v").mapInArrow(_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    now = scratch.save(forest.distinct(), **check)
+    trees = scratch.save(edges.select("u", "v").mapInArrow(_forest, "u long, v long"))
+    names = F.col("u").alias("node"), F.col("v").alias("component")
+    if trees.facts["n"] <= ONE_TASK_EDGES:
+        now = scratch.save(trees.coalesce(1).mapInArrow(_forest, "u long, v long").select(*names))
+        scratch.drop(trees)
+        return now
+    now = scratch.save(trees.select(*names).distinct(), **check)
+    scratch.drop(trees)
     while now.facts["n"]:
         down = now.select(F.col("node").alias("u"), F.col("component").alias("v"))
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -23,6 +23,19 @@ def test_components_equal_union_find(spark, seed):
     assert components.connected_components(spark.createDataFrame([], "u long, v long"), own).count() == 0
 
 
+@pytest.mark.parametrize("bound, tables", [(200_000, 2), (200, 2), (199, 5), (0, 5)])
+def test_few_edges_are_joined_in_one_task_and_more_in_rounds(spark, monkeypatch, bound, tables):
+    """A path of 201 nodes, and loops: two tables are written up to the bound, and beyond it two or more rounds."""
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", bound)
+    edges = [(k, k + 1) for k in range(200)] + [(7, 7), (900, 900)]
+    random.Random(5).shuffle(edges)
+    own = scratch.Scratch(spark, "test")
+    got = components.stars(spark.createDataFrame(edges, "u long, v long").repartition(4), own)
+    assert sorted((r.node, r.component) for r in got.collect()) == [(k, 0) for k in range(1, 201)]
+    assert own.n == tables if tables == 2 else own.n >= tables
+    assert got.facts["n"] == 200
+
+
 def brute(texts, ids, percent):
     """(n_shingles, smallest id of the component, or None) by row."""
     sets, joined = [shingles(t) for t in texts], components.Union()
