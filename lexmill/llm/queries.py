@@ -11,6 +11,7 @@ from .exact_dedup import exact_duplicates
 from .licenses import license_scan
 from .lm_score import lm_scores
 from .near_dedup import near_duplicates
+from .phrases import collocations
 from .pii import replace_pii
 from .quality import quality_scores
 from .sharding import shards
@@ -65,7 +66,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding, op11_phrases)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -73,4 +78,26 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
                doc_id = min(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
         from t""",
+    "op11_phrases": r"""
+        with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+        grams as (
+            select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+            from words, (values (1), (2), (3)) as t(k) where len(w) >= k),
+        f as (select lang, k, phrase, count(*)::hugeint as c from grams group by all),
+        totals as (select lang, sum(c) as n from f where k = 1 group by lang),
+        candidates as (select lang, k, phrase, c as a, string_split(phrase, ' ') as w from f where k > 1 and c >= 10),
+        cuts as (
+            select x.lang, x.k, x.phrase, x.a, y.c as l, z.c as r, (1000000 * x.a * x.a) // (y.c * z.c) as score, cut
+            from (select *, unnest(range(1, k)) as cut from candidates) as x
+            join f as y on y.lang = x.lang and y.phrase = array_to_string(x.w[1:cut], ' ')
+            join f as z on z.lang = x.lang and z.phrase = array_to_string(x.w[cut + 1:], ' ')),
+        best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        longer as (
+            select lang, part, max(a) as more
+            from (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as part from candidates where k = 3) group by all),
+        kept as (select b.* from best as b left join longer as m on m.lang = b.lang and m.part = b.phrase where m.more is null or 100 * m.more < 50 * b.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+        from ranked join totals using (lang) where rank <= 2000""",
 }
