@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .phrases import collocations
 from .pii import replace_pii
 from .quality import quality_scores
+from .search import ranked_search
 from .sharding import shards
 from .url_filter import url_verdicts
 
@@ -70,7 +71,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding, op11_phrases)}
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding, op11_phrases, op13_search)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -100,4 +105,17 @@ ORACLE_SQL: dict[str, str] = {
         ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
         select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
         from ranked join totals using (lang) where rank <= 2000""",
+    "op13_search": r"""
+        with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents where text is not null),
+        sums as (select count(*) as nd, sum(len(terms))::bigint as nt from d where len(terms) > 0),
+        tf as (select doc_id, len(terms) as n, term, count(*) as f from (select doc_id, terms, unnest(terms) as term from d) group by all),
+        q as (
+            select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from benchmark),
+        w as (select term, floor(1000 * ln((2.0::double * max(nd) + 2) / (2.0::double * count(*) + 1)))::bigint as w from tf, sums where term in (select term from q) group by term),
+        scores as (
+            select q.item_id, tf.doc_id, sum(w.w * ((1000000000 * f) // (1000 * f + 20 * (100 - 50 + (50 * n * nd) // nt))))::bigint as score
+            from q join w using (term) join tf using (term), sums group by all),
+        ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+        select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50""",
 }
