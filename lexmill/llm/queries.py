@@ -17,6 +17,7 @@ from .quality import quality_scores
 from .search import ranked_search
 from .sharding import shards
 from .url_filter import url_verdicts
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,11 +72,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding, op11_phrases, op13_search)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_lm_score, op4_exact_dedup, op5_pii, op6_url_filter, op7_license_scan, op8_quality, op9_bpe, op10_sharding, op11_phrases, op12_warc, op13_search)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -105,6 +110,16 @@ ORACLE_SQL: dict[str, str] = {
         ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
         select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
         from ranked join totals using (lang) where rank <= 2000""",
+    "op12_warc": r"""
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+        coded as (
+            select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') as payload_digest,
+                max(page_id) over (partition by html) as target
+            from p)
+        select page_id, strlen(html)::bigint as payload_bytes, payload_digest, case when page_id = target then 'response' else 'revisit' end as record_type,
+               case when page_id <> target then target end as refers_to
+        from coded""",
     "op13_search": r"""
         with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents where text is not null),
         sums as (select count(*) as nd, sum(len(terms))::bigint as nt from d where len(terms) > 0),

@@ -71,6 +71,10 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def delete(self, name: str) -> None:
+        """Delete a folder of one's own beside the tables."""
+        self._delete(f"{self.root}/{name}")
+
     def close(self) -> None:
         self._delete(self.root)
 
