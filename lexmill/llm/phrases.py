@@ -28,6 +28,7 @@ from .tokens import byte_table, chunks, tokens
 from .words import mix, text_buffers, word_hashes
 
 FILTER_BYTES = 32 << 20
+CHUNK_BYTES = 2 << 20  #: bytes of text that are counted together; some 50 times as much is held meanwhile
 SEGMENT_WORDS = 1 << 12  #: 64-bit words of the filter that are merged and sent as one row
 #: Candidates of a language that are ranked in one task at most, about.
 RANKED_ROWS = 1_000_000
@@ -126,7 +127,7 @@ def _count(k: int, held):
     """(lang, phrase of k words, occurrences) of each chunk of texts; for k = 1 also each language's words, with phrase null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
             t, lang = tokens(chunk.column("text"), _WORD), _lang(chunk.column("lang"))
             n, size = len(t.codes), max(1, len(t.dictionary))
             if n < k:
@@ -134,7 +135,7 @@ def _count(k: int, held):
             code = lang.indices.to_numpy().astype(np.int64)[t.doc]
             at = np.arange(n)
             if k > 1:
-                cuts = np.concatenate([[0], np.cumsum(_CUT[t.data], dtype=np.int64)])
+                cuts = np.concatenate([[0], np.cumsum(_CUT[t.data], dtype=np.int32)])
                 follows = (t.doc[1:] == t.doc[:-1]) & (cuts[t.starts[1:]] == cuts[t.ends[:-1]])
                 hashes, langs = _hashes(t.dictionary)[t.codes], _hashes(lang.dictionary)[code]
                 m = n - k + 2  # phrases of k - 1 words that may start anywhere
