@@ -30,8 +30,6 @@ from .words import mix, text_buffers, word_hashes
 FILTER_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20  #: bytes of text that are counted together; some 50 times as much is held meanwhile
 SEGMENT_WORDS = 1 << 12  #: 64-bit words of the filter that are merged and sent as one row
-#: Candidates of a language that are ranked in one task at most, about.
-RANKED_ROWS = 1_000_000
 
 _BLANK = byte_table((0x09, 0x09), (0x20, 0x20))
 _CUT = byte_table((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
@@ -225,8 +223,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
             kept = kept.where(F.col("more").isNull() | (100 * F.col("more") < inside * F.col("a"))).drop("more")
         found = kept if found is None else found.unionByName(kept)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # the best of each part first, so that no task ranks a language's every candidate
-    parts = F.pmod(F.xxhash64("phrase"), F.lit(max(1, -(-sum(x.facts["n"] for x in levels[2:]) // RANKED_ROWS))))
+    # the best of each part first: with so many parts neither a part nor their best together are more than sqrt(first * candidates) rows
+    parts = F.pmod(F.xxhash64("phrase"), F.lit(max(1, math.isqrt(sum(x.facts["n"] for x in levels[2:]) // first))))
     found = found.withColumn("part", parts).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= first)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     out = scratch.save(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score"))

@@ -58,19 +58,19 @@ def got(df):
 
 
 @pytest.mark.parametrize("seed, longest, least, inside, first", [(1, 3, 10, 50, 2000), (2, 3, 5, 50, 7), (3, 4, 3, 30, 40), (4, 2, 2, 50, 2000)])
-def test_equals_a_plain_count(spark, monkeypatch, seed, longest, least, inside, first):
-    monkeypatch.setattr(phrases, "RANKED_ROWS", 20)  # several parts are ranked apart
+def test_equals_a_plain_count(spark, seed, longest, least, inside, first):
+    """With few rows wanted several parts are ranked apart."""
     rows = corpus(seed)
     assert got(phrases.collocations(table(spark, rows).repartition(5), longest, least, inside, first)) == brute(rows, longest, least, inside, first)
 
 
-def test_a_full_filter_changes_nothing(spark, monkeypatch):
+def test_a_full_filter_changes_nothing(spark):
     """With 64 words for hundreds of phrases nearly every phrase passes for frequent; the counts decide."""
     rows = corpus(5, 300)
     assert got(phrases.collocations(table(spark, rows), least=2, filter_bytes=512)) == brute(rows, least=2)
 
 
-def test_chunks_and_hot_rows(spark, monkeypatch):
+def test_chunks_and_hot_rows(spark):
     """One text of many words in a run of equal rows: the same counts however rows are dealt."""
     rows = [("the cat sat on the mat " * 40, "en")] * 30 + [("the cat " * 3000, "en")] + corpus(6, 20)
     want = brute(rows)
