@@ -34,7 +34,7 @@ from .scratch import Scratch
 ARCHIVE_BYTES = 1 << 30  #: an archive is closed at this size
 RUN_BYTES = 32 << 20  #: frames that one task reads, about
 SALTS = 64  #: parts of a group of equal payloads
-#: The dictionary only helps to compress; it is learnt from the beginnings of so many pages.
+#: The dictionary only helps to compress; it is learnt from the beginnings of about so many pages, twice as many at most.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 8192, 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 
@@ -129,7 +129,10 @@ def _write(folder: str, dictionary: bytes, date: str, archive_bytes: int, run_by
 
 def dictionary_of(pages: DataFrame) -> bytes:
     """A Zstandard dictionary from a bounded sample of pages; empty where they are too few or too short for one."""
-    rows = pages.select(F.xxhash64("page_id", "url").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy("h").limit(SAMPLE_PAGES)
+    # a hash threshold, for a top-k would send its k of every partition to the driver
+    share = SAMPLE_PAGES / max(1, pages.count())
+    rows = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
+    rows = rows.select("html").limit(2 * SAMPLE_PAGES)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [_page(0, "http://a.example/", r.html or "", None, DATE) for r in rows.collect()]).as_bytes()
     except zstandard.ZstdError:
