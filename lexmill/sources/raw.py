@@ -1,14 +1,16 @@
 """Raw files (JSONL, TSV, HTML, JSON arrays) to records and quarantine.
 
-Files of lines are read in Spark's own splits, so their size doesn't matter; arrays, files
-of unknown formats and files that are not UTF-8 are read whole. An Arrow pass parses with
-Python's strict JSON, because error codes depend on its rules. Good and bad rows come out
-of the same pass and are split by a filter.
+Files of lines are read in Spark's own splits and arrays in ranges of bytes, so their size
+doesn't matter. What Spark doesn't show (hidden files) and what gives one row only (unknown
+formats, files that are not UTF-8 or no JSON) is read in pieces, each file by one task. An
+Arrow pass parses with Python's strict JSON, because error codes depend on its rules. Good
+and bad rows come out of the same pass and are split by a filter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import ProcessingError
+from .arrays import RANGE_BYTES, elements, ranges, spread, starts_with_bracket, states
+from .scan import BOM, FORMATS, SKIPPED, digest, extension, listing, opened, pieces, scan
 
-#: The raw contract's version, formats, fields, header and skipped folders: fixed values.
-PARSER_VERSION = "raw-parser-v1"
-FORMATS = {".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".html": "html"}
+#: The raw contract's version, fields and header: fixed values.
+PARSER_VERSION = "parser-v1"
 FIELDS = ["record_id", "dataset_id", "event_date", "record_type", "title", "raw_text", "category_signal", "source_batch", "synthetic"]
 HEADER = ["record_id", "dataset_id", "event_date_json", "record_type", "title_json", "raw_text_json", "category_signal_json", "source_batch", "synthetic"]
-SKIPPED = ["target", "__pycache__", ".pytest_cache", ".git"]
 OUT = (
     "record_id string, dataset_id string, source_file string, source_offset bigint, record_type string, event_date string, title string, raw_text string, clean_text string,"
     " metadata string, parser_version string, schema_version string, detected_format string, error_code string, message string, raw_fragment_hash string"
@@ -95,7 +97,7 @@ def _cell(text: str, code: str) -> object:
 
 def _json_line(line: bytes, first: bool) -> object:
     try:
-        return json.loads((line.removeprefix(b"\xef\xbb\xbf") if first else line).decode())
+        return json.loads((line.removeprefix(BOM) if first else line).decode())
     except ValueError:
         raise _Bad("invalid_json", "line is not valid JSON") from None
 
@@ -127,23 +129,6 @@ def _html_line(line: bytes, first: bool) -> object:
 LINES = {"jsonl": _json_line, "tsv": _tsv_line, "html": _html_line}
 
 
-def _array(data: bytes) -> Iterator[tuple[bytes, object]]:
-    try:
-        value = json.loads(data.removeprefix(b"\xef\xbb\xbf").decode())
-    except ValueError:
-        yield data, _Bad("invalid_json", "file is not valid JSON")
-        return
-    if not isinstance(value, list):
-        yield data, _Bad("type_error", "file is not an array")
-        return
-    for x in value:
-        yield canonical(x).encode(), x
-
-
-def _kind(name: str) -> str:
-    return FORMATS.get("." + name.rsplit(".", 1)[-1].lower() if "." in name.rsplit("/", 1)[-1] else "", "unknown")
-
-
 def _row(name: str, kind: str, offset: int, fragment: bytes, raw: object) -> dict:
     """A record, or a quarantined row where ``raw`` is an error or breaks the contract."""
     base = {"source_file": name, "detected_format": kind, "parser_version": PARSER_VERSION, "source_offset": offset}
@@ -155,33 +140,73 @@ def _row(name: str, kind: str, offset: int, fragment: bytes, raw: object) -> dic
         return base | {"error_code": e.code, "message": e.message, "raw_fragment_hash": _hash(fragment), "schema_version": "quarantine-record-v1"}
 
 
-def _whole(name: str, data: bytes) -> Iterator[dict]:
-    """The rows of a file that is read whole: an array, an unknown format, or a file that is not UTF-8."""
-    kind = _kind(name)
-    if not data:
-        return
-    if kind == "unknown":
-        yield _row(name, kind, 0, data, _Bad("unsupported_format", "unsupported extension"))
-        return
-    try:
-        data.decode()
-    except UnicodeDecodeError:
-        yield _row(name, kind, 0, data, _Bad("invalid_encoding", "file is not UTF-8"))
-        return
-    for offset, (fragment, raw) in enumerate(_array(data)):
-        yield _row(name, kind, offset, fragment, raw)
-
-
 def _line(name: str, kind: str, offset: int, good_header: bool, line: bytes) -> dict:
     line = line.rstrip(b"\r\n")
     if not good_header:
-        return _row(name, kind, 0, line.removeprefix(b"\xef\xbb\xbf"), _Bad("unknown_schema_drift", "unexpected header"))
+        return _row(name, kind, 0, line.removeprefix(BOM), _Bad("unknown_schema_drift", "unexpected header"))
+    if kind == "jsonl" and offset == 0:
+        line = line.removeprefix(BOM)
     try:
         return _row(name, kind, offset, line, LINES[kind](line, offset == 0))
     except _Bad as e:
         return _row(name, kind, offset, line, e)
 
 
+def _element(name: str, offset: int, raw: object) -> dict:
+    """A row of an array; offset -2 stands for bytes that are no JSON, -1 for nothing between the brackets."""
+    return {"source_file": name, "source_offset": offset} if offset < 0 else _row(name, "json", offset, canonical(raw).encode(), raw)
+
+
+def _failed(name: str, kind: str, sha: str, code: str, message: str) -> dict:
+    """The one row of a file that gives no record, with the hash of its bytes."""
+    return {"source_file": name, "detected_format": kind, "parser_version": PARSER_VERSION, "source_offset": 0, "error_code": code, "message": message, "raw_fragment_hash": f"sha256:{sha}", "schema_version": "quarantine-record-v1"}
+
+
+def _stream(name: str, path: str, kind: str) -> Iterator[dict]:
+    """The rows of a file of lines that Spark doesn't show, line by line."""
+    system, own = opened(path)
+    with system.open_input_stream(own, compression=None) as file:
+        n = -1 if kind == "tsv" else 0
+        for line in io.BufferedReader(file, 1 << 20):
+            if n < 0:
+                if (line.rstrip(b"\r\n").removeprefix(BOM)) != "\t".join(HEADER).encode():
+                    yield _line(name, kind, 0, False, line)
+                    return
+            elif kind != "html" or b"<article" in line.lower():
+                yield _line(name, kind, n, True, line)
+            else:
+                continue
+            n += 1
+
+
+def _apart(name: str, path: str, kind: str) -> Iterator[dict]:
+    """The rows of a file that isn't read in splits or ranges, in constant memory: of an unknown format, hidden, or with bytes that don't fit its format."""
+    try:
+        system, own = opened(path)
+        size, sha, bom, good = digest(pieces(system, own))
+        if not size:
+            return
+        if kind == "unknown":
+            yield _failed(name, kind, sha, "unsupported_format", "unsupported extension")
+        elif not good:
+            yield _failed(name, kind, sha, "invalid_encoding", "file is not UTF-8")
+        elif kind in LINES:
+            yield from _stream(name, path, kind)
+        else:
+            if bom:
+                sha = digest(pieces(system, own, 3))[1]
+            if not starts_with_bracket(path):  # another JSON value than an array, or none: it has to be parsed as a whole
+                try:
+                    json.loads(b"".join(pieces(system, own)).removeprefix(BOM))
+                    yield _failed(name, kind, sha, "type_error", "file is not an array")
+                    return
+                except ValueError:
+                    pass
+            yield _failed(name, kind, sha, "invalid_json", "file is not valid JSON")
+    except OSError as e:
+        yield _failed(name, kind, hashlib.sha256(b"").hexdigest(), "io_error", type(e).__name__)
+
+
 def _relative(spark: SparkSession, root: str, path: Column) -> Column:
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
@@ -196,7 +221,9 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     are those of data lines; of a TSV file with another header, the header alone comes.
     """
     path = F.col("_metadata.file_path")
-    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
+    either = lambda e: "".join(f"[{c}{c.upper()}]" for c in e)
+    names = "*.{" + ",".join(either(e[1:]) for e, k in FORMATS.items() if k in LINES) + "}"
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(root)
     rows = text.select(F.col("value").cast("binary").alias("value"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("at"), (~F.is_valid_utf8("value")).alias("bad"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv)), ext)
@@ -214,69 +241,49 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     return out.where((F.col("kind") != "tsv") | F.when(F.col("good_header"), F.col("offset") >= 0).otherwise(F.col("offset") == -1)).select("name", "kind", "offset", "good_header", "bad_file", "value")
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, length, content of the files under ``root`` but for the skipped folders.
-
-    The scan leaves empty files out; their names come from the folder listing.
-    """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    path = F.regexp_replace("path", r"^file:/+", "file:/")
-    relative = F.expr("substring(p, length(b) + 1)")
-    df = df.withColumn("p", path).withColumn("b", F.regexp_replace(F.lit(full), r"^file:/+", "file:/")).withColumn("relative_path", relative)
-    skipped = F.exists(F.split("relative_path", "/"), lambda x: x.isin(SKIPPED))
-    df = df.where(~skipped).select("relative_path", "length", "content")
-    listing, empty = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, True), []
-    while listing.hasNext():
-        f = listing.next()
-        name = f.getPath().toString().removeprefix(full)
-        parts = name.split("/")
-        if f.getLen() == 0 and not any(x in SKIPPED or x.startswith(("_", ".")) for x in parts):
-            empty.append((name, 0, b""))
-    return df.unionByName(spark.createDataFrame(empty, "relative_path string, length bigint, content binary")) if empty else df
-
-
-def scan_manifest(spark: SparkSession, root: str) -> DataFrame:
+def scan_manifest(spark: SparkSession, root: str, without: str | None = None) -> DataFrame:
     """One row per file: size, hash, format, encoding and status."""
-    ext = F.lower(F.regexp_extract("relative_path", r"(\.[^./]*)$", 1))
-    kind: Column = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv)), ext), F.lit("unknown"))
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    bom = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
-    encoding = F.when(F.col("length") == 0, "empty").when(~valid, "invalid_utf8").when(bom, "utf8_bom").otherwise("utf8")
-    df = files(spark, root).select("relative_path", F.col("length").alias("byte_size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"), ext.alias("extension"), kind.alias("detected_format"), encoding.alias("encoding_status"))
-    status = F.when(F.col("byte_size") == 0, "empty").when(F.col("detected_format") == "unknown", "unsupported").when(F.col("encoding_status") == "invalid_utf8", "encoding_error").otherwise("ok")
-    return df.select("*", status.alias("file_status"), F.lit("file-manifest-entry-v1").alias("schema_version")).orderBy("relative_path")
+    return scan(spark, root, without)
 
 
 def parse_directory(spark: SparkSession, root: str, parser_version: str = PARSER_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine), each in order of file and offset."""
+    """(records, quarantine), each in order of file and offset. A file that can't be read is quarantined as ``io_error``."""
     if parser_version != PARSER_VERSION:
         raise ProcessingError("invalid_parsing_config", parser_version)
     names = [x.split()[0] for x in OUT.replace(", ", ",").split(",")]
-
     schema = pa.schema([(n, pa.int64() if n == "source_offset" else pa.string()) for n in names])
 
     def batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         while part := list(islice(rows, 5000)):
             yield pa.RecordBatch.from_pylist(part, schema=schema)
 
-    def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("relative_path").to_pylist(), batch.column("content").to_pylist()):
-                yield from batched(_whole(name, data))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "path", "kind"))):
+                yield from batched(_apart(*row))
 
     def parse_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from batched(_line(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("name", "kind", "offset", "good_header", "value"))))
 
+    scheme = root.split("://")[0] + "://" if "://" in root else "file://" if root.startswith("file:") else ""
+    found = [(n, scheme + p, size, FORMATS.get(extension(n), "unknown"), any(x.startswith(("_", ".")) for x in n.split("/"))) for n, p, size in listing(root)]
+    held = spark.createDataFrame(found, "name string, path string, byte_size bigint, kind string, hidden boolean").where("byte_size > 0")
+
     rows = lines(spark, root)
-    broken = rows.where("bad_file").select(F.col("name").alias("relative_path")).distinct()
-    whole = files(spark, root).select("relative_path", "content")
-    ext = F.lower(F.regexp_extract("relative_path", r"(\.[^./]*)$", 1))
-    apart = [e for e, k in FORMATS.items() if k in LINES]
-    whole = whole.where(~ext.isin(apart)).unionByName(whole.where(ext.isin(apart)).join(broken, "relative_path", "left_semi"))
-    every = rows.where("not bad_file").select("name", "kind", "offset", "good_header", "value").mapInArrow(parse_lines, OUT).unionByName(whole.mapInArrow(parse_files, OUT))
+    broken = rows.where("bad_file").select("name").distinct()
+    parsed = rows.where("not bad_file").select("name", "kind", "offset", "good_header", "value").mapInArrow(parse_lines, OUT)
+
+    dealt = states(spread(spark, ranges(held.where("kind = 'json'"), RANGE_BYTES)))
+    items = elements(spread(spark, dealt), _element, OUT, schema)
+    # an array counts if no range found an error, and either elements or the one gap of an empty array
+    verdict = items.groupBy(F.col("source_file").alias("name")).agg((F.min("source_offset") >= F.when(F.count("*") > 1, 0).otherwise(-1)).alias("good"))
+    arrays = held.where("kind = 'json'").join(verdict, "name", "left").select("name", "path", "kind", F.coalesce("good", F.lit(False)).alias("good"))
+    items = items.where("source_offset >= 0").join(arrays.where("good").select(F.col("name").alias("source_file")), "source_file", "left_semi").select(*names)
+
+    apart = held.where((F.col("kind") == "unknown") | (F.col("hidden") & F.col("kind").isin(list(LINES)))).select("name", "path", "kind")
+    apart = apart.unionByName(held.join(broken, "name", "left_semi").select("name", "path", "kind")).unionByName(arrays.where("not good").drop("good"))
+    every = parsed.unionByName(items).unionByName(spread(spark, apart).mapInArrow(parse_apart, OUT))
     records = every.where("error_code is null").drop("error_code", "message", "raw_fragment_hash", "detected_format").orderBy("source_file", "source_offset")
     bad = every.where("error_code is not null").select("source_file", "source_offset", "detected_format", "error_code", "message", "raw_fragment_hash", "parser_version", "schema_version")
     return records, bad.orderBy("source_file", "source_offset", "error_code")
