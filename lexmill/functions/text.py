@@ -192,11 +192,11 @@ def combined(scores: dict[str, Column], weights: dict[str, int]) -> Column:
     return F.floor(total / 100).cast("int")
 
 
-def matching_view(c: Column, normalise: bool = True) -> Column:
+def matching_view(c: Column, normalise: bool = True, lower: bool = True, collapse: bool = True) -> Column:
     """Form in which candidates and templates are compared."""
     v = nfkc(c) if normalise else c
-    v = F.translate(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(strip(F.regexp_replace(v, rf"[{WS}]+", " ")), r" *([:|]) *", "$1")
+    v = F.translate(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if lower else v
+    return F.regexp_replace(strip(F.regexp_replace(v, rf"[{WS}]+", " ")), r" *([:|]) *", "$1") if collapse else v
 
 
 def changed_characters(a: Column, b: Column) -> Column:

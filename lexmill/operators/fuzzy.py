@@ -10,6 +10,7 @@ decisions meet the text again in one join. Deletions are folds over a record's d
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ from ..functions import text as T
 from .records import ProcessingError
 
 POSITIONS = ("prefix", "suffix", "line")
+#: Templates of a configuration at most: they are held beside every region, under 2 KB each.
+MOST_TEMPLATES = 10_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,10 @@ class FuzzyConfig:
     ngram: int = 3
     weights: tuple[tuple[str, int], ...] = tuple(T.WEIGHTS.items())
     normalise: bool = True
+    lower: bool = True
+    collapse: bool = True
+    algorithm_version: str = "fuzzy-template-clean-v1"
+    rule_version: str = "1.0.0"
 
     def __post_init__(self) -> None:
         if {k for k, _ in self.weights} != set(T.SCORES) or sum(w for _, w in self.weights) != 100 or any(w < 0 for _, w in self.weights):
@@ -52,6 +59,8 @@ class FuzzyConfig:
             raise ProcessingError("invalid_fuzzy_thresholds", "review must be below auto")
         if not 1 <= self.min_length <= self.max_length <= 256 or not 0 <= self.min_length_ratio <= 10000:
             raise ProcessingError("invalid_fuzzy_limits", "candidate limits")
+        if len(self.templates) > MOST_TEMPLATES:
+            raise ProcessingError("invalid_fuzzy_config", f"more than {MOST_TEMPLATES} templates")
         ids = [t.template_id for t in self.templates]
         if not ids or len(set(ids)) != len(ids) or self.ngram < 1 or any(not t.canonical_text or len(t.canonical_text) > 256 or not t.allowed_positions or set(t.allowed_positions) - set(POSITIONS) for t in self.templates):
             raise ProcessingError("invalid_fuzzy_config", "templates")
@@ -68,12 +77,21 @@ class FuzzyConfig:
     def from_dict(cls, d: dict) -> FuzzyConfig:
         """Of a JSON configuration; thresholds in shares of one or in basis points."""
         templates = tuple(Template(t["template_id"], t["canonical_text"], tuple(t["allowed_positions"]), t.get("compatible_regex")) for t in d["templates"])
-        limits, at = d["candidate_limits"], d["thresholds"]
+        limits, at, view = d["candidate_limits"], d["thresholds"], d.get("matching_normalization", {})
         return cls(
             templates, basis_points(at["auto"]), basis_points(at["review"]), d["best_match_margin"], d["minimum_evidence_floor"], d["auto_minimum_evidence"], limits["min_length"], limits["max_length"], limits["min_length_ratio"],
             tuple(d["protected_context_prefixes"]), d["character_ngram"], tuple(d["score_weights"].items()),
+            view.get("nfkc", True), view.get("ascii_lower", True), view.get("collapse_whitespace", True), d["algorithm_version"], d.get("rule_version", cls.rule_version),
         )
 
+    def view(self, c: Column) -> Column:
+        """The form in which texts are compared under this configuration."""
+        return T.matching_view(c, self.normalise, self.lower, self.collapse)
+
+    def view_of(self, text: str) -> Column:
+        """The same of a text of the configuration, whose NFKC form is taken here."""
+        return T.matching_view(F.lit(unicodedata.normalize("NFKC", text) if self.normalise else text), False, self.lower, self.collapse)
+
 
 def basis_points(x: float) -> int:
     return round(x * 10000) if isinstance(x, float) and x <= 1 else int(x)
@@ -118,10 +136,10 @@ def scored(texts: DataFrame, config: FuzzyConfig, keep: str = "region") -> DataF
     """Distinct region texts x templates with the five scores and the weighted one."""
     spark = texts.sparkSession
     table = spark.createDataFrame([(t.template_id, t.canonical_text, list(t.allowed_positions)) for t in config.templates], "template_id string, canonical string, allowed array<string>")
-    table = _parts(table.withColumn("template_view", T.matching_view(F.col("canonical"), config.normalise)), "template_view", "_t", config.ngram)
+    table = _parts(table.withColumn("template_view", config.view(F.col("canonical"))), "template_view", "_t", config.ngram)
     # the scores cost much more than the rows weigh: spread them whatever their bytes
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    views = texts.select(keep).repartition(spread, keep).distinct().withColumn("view", T.matching_view(F.col(keep), config.normalise))
+    views = texts.select(keep).repartition(spread, keep).distinct().withColumn("view", config.view(F.col(keep)))
     rows = _parts(views, "view", "_v", config.ngram).crossJoin(F.broadcast(table))  # the templates: tens of rows from the configuration
     rows = rows.withColumn("both", F.array_sort(F.array_intersect("set_v", "set_t"))).withColumn("core", F.array_join("both", " "))
     rows = rows.withColumn("left", F.array_join(F.concat("both", F.array_sort(F.array_except("set_v", "set_t"))), " ")).withColumn("right", F.array_join(F.concat("both", F.array_sort(F.array_except("set_t", "set_v"))), " "))
@@ -151,7 +169,7 @@ def _decide(rows: DataFrame, auto: Column, review: Column, config: FuzzyConfig)
     size, other = F.length("view"), F.length("template_view")
     protected = F.lit(False)
     for p in config.protected:
-        protected = protected | F.col("view").startswith(T.matching_view(F.lit(p), False))
+        protected = protected | F.col("view").startswith(config.view_of(p))
     rows = rows.withColumn("length_ratio", T.basis(F.least(size, other), F.greatest(size, other)))
     rows = rows.withColumn("evidence_count", sum(((F.col(k) >= config.floor).cast("int") for k in T.SCORES), F.lit(0)))
     gates = F.struct(
@@ -218,18 +236,46 @@ def fuzzy_events(records: DataFrame, config: FuzzyConfig) -> DataFrame:
     """One event per decision: applied ones right to left with the evolving hashes, then the others by start."""
     found = _decided(records, config).where("decisions is not null").select("record_id", "text", "decisions")
     applied = F.reverse(F.filter("decisions", lambda d: d["decision"] == "applied"))
-    zero = F.struct(F.col("text").alias("t"), F.expr("cast(array() as array<struct<before_hash:string,after_hash:string>>)").alias("h"))
+    zero = F.struct(F.col("text").alias("t"), F.expr("cast(array() as array<struct<before_hash:string,after_hash:string,removed:int>>)").alias("h"))
 
     def step(acc: Column, d: Column) -> Column:
         new = _without(acc["t"], d["start"], d["end"])
-        return F.struct(new.alias("t"), F.concat(acc["h"], F.array(F.struct(T.sha256_text(acc["t"]).alias("before_hash"), T.sha256_text(new).alias("after_hash")))).alias("h"))
+        return F.struct(new.alias("t"), F.concat(acc["h"], F.array(F.struct(T.sha256_text(acc["t"]).alias("before_hash"), T.sha256_text(new).alias("after_hash"), F.greatest(F.lit(0), F.length(acc["t"]) - F.length(new)).alias("removed")))).alias("h"))
 
     found = found.withColumn("applied", applied).withColumn("others", F.filter("decisions", lambda d: d["decision"] != "applied")).withColumn("run", F.aggregate(applied, zero, step))
     found = found.select("record_id", "applied", "others", "run.h", T.sha256_text(F.col("run.t")).alias("last"))
-    events = F.concat(F.arrays_zip(F.col("applied").alias("d"), F.col("h")), F.transform("others", lambda d: F.struct(d.alias("d"), F.struct(F.col("last").alias("before_hash"), F.col("last").alias("after_hash")).alias("h"))))
-    rows = found.select("record_id", F.posexplode_outer(events).alias("seq", "e")).where("seq is not null")
-    reason = F.when(F.col("e.d.decision") == "applied", "fuzzy_auto_removed").when(F.col("e.d.decision") == "review", "fuzzy_review").otherwise("fuzzy_skipped")
-    return rows.select("record_id", "seq", F.lit("fuzzy_template_cleaning").alias("stage"), F.concat(F.lit("fuzzy:"), F.col("e.d.template_id")).alias("rule_id"), F.col("e.d.decision").alias("decision"), reason.alias("reason_code"), (F.col("e.d.combined") / 10000).alias("score"), F.col("e.h.before_hash").alias("before_hash"), F.col("e.h.after_hash").alias("after_hash"), F.col("e.d").alias("metrics"))
+    hashes = F.struct(F.col("last").alias("before_hash"), F.col("last").alias("after_hash"), F.lit(0).alias("removed"))
+    events = F.concat(F.arrays_zip(F.col("applied").alias("d"), F.col("h")), F.transform("others", lambda d: F.struct(d.alias("d"), hashes.alias("h"))))
+    rows = found.select("record_id", F.posexplode_outer(events).alias("seq", "e")).where("seq is not null").select("record_id", "seq", "e.d", "e.h")
+    reason = F.when(F.col("d.decision") == "applied", "fuzzy_template_auto").when(F.col("d.decision") == "review", "fuzzy_template_review").otherwise("fuzzy_template_skipped")
+    measured = {
+        **{k: F.col(f"d.{k}") for k in (*T.SCORES, "combined", "evidence_count", "gates", "length_ratio", "margin", "position", "reason_codes")},
+        "auto_threshold": F.lit(config.auto), "best_match_margin": F.lit(config.margin), "review_threshold": F.lit(config.review), "span_end": F.col("d.end"), "span_start": F.col("d.start"),
+    }
+    fields = {
+        "stage": F.lit("fuzzy_template_cleaning"), "rule_id": F.concat(F.lit("fuzzy:"), F.col("d.template_id")), "rule_version": F.lit(config.rule_version), "match_method": F.lit("fuzzy"), "action": F.lit("remove"), "reason_code": reason, "decision": F.col("d.decision"),
+        "matched_span": F.col("d.region"), "removed_chars": F.col("h.removed"), "score": F.col("d.combined") / 10000, "before_hash": F.col("h.before_hash"), "after_hash": F.col("h.after_hash"), "metrics": F.struct(*(measured[k].alias(k) for k in sorted(measured))),
+        "algorithm_version": F.lit(config.algorithm_version), "schema_version": F.lit("cleaning-event-v1"),
+    }
+    return rows.select("record_id", "seq", *(c.alias(k) for k, c in fields.items()))
+
+
+def decision_rows(records: DataFrame, config: FuzzyConfig) -> DataFrame:
+    """The resolved decisions, one a row, in the contract's fields; ``seq`` is their order within a record."""
+    found = resolved(decisions(records, config), [KEY, "record_id"]).select("record_id", F.posexplode_outer("decisions").alias("seq", "d")).where("seq is not null")
+    components = F.struct(*(F.col(f"d.{k}").alias(k) for k in sorted((*T.SCORES, "combined"))))
+    return found.select(
+        "record_id", "seq", F.col("d.combined").alias("combined_score"), components.alias("components"), "d.decision", "d.evidence_count", "d.gates", "d.length_ratio", "d.margin", F.col("d.region").alias("matched_span"), "d.position", "d.reason_codes",
+        F.col("d.end").alias("span_end"), F.col("d.start").alias("span_start"), "d.template_id",
+    )
+
+
+def decision_report(decided: DataFrame, config: FuzzyConfig, record_count: int, fingerprint: str) -> dict:
+    """What ``decision_rows`` hold, with the thresholds they were made at."""
+    counts = {r.decision: r["count"] for r in decided.groupBy("decision").count().collect()}
+    return {
+        "algorithm_version": config.algorithm_version, "counts": dict(sorted(counts.items())), "decision_fingerprint": fingerprint, "record_count": record_count, "schema_version": "fuzzy-decision-report-v1", "thresholds": {"auto": config.auto, "review": config.review},
+    }
 
 
 # --- evaluation ------------------------------------------------------------------
@@ -240,12 +286,19 @@ def confusion(cases: DataFrame) -> DataFrame:
     return cases.groupBy("expected").pivot("actual", ["applied", "review", "skipped"]).count().fillna(0)
 
 
+LABELS = ("applied", "review", "skipped")
+
+
 def metrics(cases: DataFrame) -> dict:
     """Of ``cases(expected, actual)``: nine cells, shares as numbers and in basis points (one where there is nothing to share), and wrong decisions."""
-    labels = ("applied", "review", "skipped")
-    cells = {e: dict.fromkeys(labels, 0) for e in labels}
+    cells = {e: dict.fromkeys(LABELS, 0) for e in LABELS}
     for r in cases.groupBy("expected", "actual").count().collect():
         cells[r.expected][r.actual] = r["count"]
+    return metrics_of(cells)
+
+
+def metrics_of(cells: dict) -> dict:
+    """The same of the nine cells."""
     right, auto = cells["applied"]["applied"], sum(c["applied"] for c in cells.values())
     shares = {"auto_precision": (right, auto), "auto_recall": (right, sum(cells["applied"].values())), "review_capture": (cells["review"]["review"], sum(cells["review"].values()))}
     out = {"confusion_matrix": cells, "false_removal_count": auto - right, "meaningless_review_count": cells["skipped"]["review"]}
@@ -270,12 +323,14 @@ def evaluate_thresholds(cases: DataFrame, config: FuzzyConfig, autos: list[int],
     if set(size) != {"calibration", "holdout"}:
         raise ProcessingError("invalid_fuzzy_input", "cases must use the calibration or holdout split")
     calibration, holdout = (cases.where(F.col("split") == k) for k in ("calibration", "holdout"))
-    grid = threshold_grid(calibration.drop("expected", "split"), calibration.select("record_id", "expected"), config, autos, reviews).orderBy("review", "auto")
+    grid = threshold_grid(calibration.drop("split"), config, autos, reviews)
     auto, review = select_thresholds(grid)
+    rows = [{"auto_threshold": r.auto, "review_threshold": r.review, **metrics_of({e: {a: r[f"{e}_{a}"] for a in LABELS} for e in LABELS})} for r in grid.orderBy("review", "auto").collect()]
+    best = next(r for r in rows if (r["auto_threshold"], r["review_threshold"]) == (auto, review))
     chosen = replace(config, auto=auto, review=review)
     return {
-        "calibration_case_count": size["calibration"], "calibration_metrics": metrics(outcomes(calibration, chosen)), "golden_case_count": sum(size.values()), "holdout_case_count": size["holdout"], "holdout_metrics": metrics(outcomes(holdout, chosen)),
-        "nfkc_audit": audit(audited if audited is not None else cases.limit(0), examples or [], config), "schema_version": "fuzzy-threshold-report-v1", "selected_thresholds": {"auto": auto, "review": review}, "sensitivity": [r.asDict() for r in grid.collect()],
+        "algorithm_version": config.algorithm_version, "calibration_case_count": size["calibration"], "calibration_metrics": {k: v for k, v in best.items() if not k.endswith("_threshold")}, "golden_case_count": sum(size.values()), "holdout_case_count": size["holdout"], "holdout_metrics": metrics(outcomes(holdout, chosen)),
+        "nfkc_audit": audit(audited if audited is not None else cases.limit(0), examples or [], config), "schema_version": "fuzzy-threshold-report-v1", "selected_thresholds": {"auto": auto, "review": review}, "sensitivity": rows,
     }
 
 
@@ -285,23 +340,30 @@ def audit(records: DataFrame, examples: list[dict], config: FuzzyConfig) -> dict
     shown = []
     if examples:
         pairs = records.sparkSession.createDataFrame([(i, e["candidate"], e["template"]) for i, e in enumerate(examples)], "i int, a string, b string")
-        view = lambda c: T.matching_view(F.col(c), config.normalise)
+        view = lambda c: config.view(F.col(c))
         views = pairs.select("i", "a", "b", view("a").alias("va"), view("b").alias("vb"))
         scores = {r.i: r for r in views.select("i", T.ratio(F.col("a"), F.col("b")).alias("raw_ratio"), T.ratio(F.col("va"), F.col("vb")).alias("matching_view_ratio")).collect()}
         shown = [e | {"raw_ratio": scores[i].raw_ratio, "matching_view_ratio": scores[i].matching_view_ratio} for i, e in enumerate(examples)]
     tops = [{"before": r.before, "after": r.after, "count": r.n} for r in character_mappings(records).collect()]
-    return {"after_character_count": row["after_characters"] or 0, "before_character_count": row["before_characters"] or 0, "changed_record_count": row["changed_records"], "score_examples": shown, "top_mappings": tops}
+    return {"after_character_count": row["after_characters"] or 0, "before_character_count": row["before_characters"] or 0, "changed_record_count": row["changed_records"], "raw_text_unchanged": True, "score_examples": shown, "top_mappings": tops}
+
 
+#: Pairs of thresholds that are tried at once: a bound on what is crossed with the regions.
+MOST_PAIRS = 1000
 
-def threshold_grid(records: DataFrame, expected: DataFrame, config: FuzzyConfig, autos: list[int], reviews: list[int]) -> DataFrame:
-    """Metrics for each (auto, review) with review < auto. Scores are computed once; only decisions are redone."""
+
+def threshold_grid(cases: DataFrame, config: FuzzyConfig, autos: list[int], reviews: list[int]) -> DataFrame:
+    """Metrics for each (auto, review) with review < auto, of records with ``expected``. Scores are computed once; only decisions are redone."""
     grid = [(a, r) for a in autos for r in reviews if r < a]
-    table = records.sparkSession.createDataFrame(grid, "auto int, review int")
-    cut = regions(records, config)
-    rows = cut.join(best_templates(cut, config), "region").crossJoin(F.broadcast(table))  # the grid: tens of rows from the configuration
-    decided = resolved(_decide(rows, F.col("auto"), F.col("review"), config), ["record_id", "auto", "review"])
+    if not 0 < len(grid) <= MOST_PAIRS:
+        raise ProcessingError("invalid_fuzzy_thresholds", f"{len(grid)} pairs of thresholds")
+    table = cases.sparkSession.createDataFrame(grid, "auto int, review int")
+    cut = regions(cases, config)
+    rows = cut.join(best_templates(cut, config), "region").crossJoin(F.broadcast(table))
+    decided = resolved(_decide(rows, F.col("auto"), F.col("review"), config), [KEY, "auto", "review"])
     best = F.when(F.exists("decisions", lambda d: d["decision"] == "applied"), "applied").when(F.exists("decisions", lambda d: d["decision"] == "review"), "review").otherwise("skipped")
-    cases = expected.crossJoin(F.broadcast(table)).join(decided.select("record_id", "auto", "review", best.alias("actual")), ["record_id", "auto", "review"], "left").withColumn("actual", F.coalesce("actual", F.lit("skipped")))
+    every = _keyed(cases).select(KEY, "expected").crossJoin(F.broadcast(table))
+    cases = every.join(decided.select(KEY, "auto", "review", best.alias("actual")), [KEY, "auto", "review"], "left").withColumn("actual", F.coalesce("actual", F.lit("skipped")))
 
     def n(e: str, a: str) -> Column:
         return F.count_if((F.col("expected") == e) & (F.col("actual") == a))
@@ -312,7 +374,7 @@ def threshold_grid(records: DataFrame, expected: DataFrame, config: FuzzyConfig,
     applied = F.count_if(F.col("actual") == "applied")
     return cases.groupBy("auto", "review").agg(
         T.basis(n("applied", "applied"), applied).alias("auto_precision"), T.basis(n("applied", "applied"), of("applied")).alias("auto_recall"), T.basis(n("review", "review"), of("review")).alias("review_capture"),
-        (applied - n("applied", "applied")).alias("false_removals"), n("skipped", "review").alias("meaningless_review"),
+        (applied - n("applied", "applied")).alias("false_removals"), n("skipped", "review").alias("meaningless_review"), *(n(e, a).alias(f"{e}_{a}") for e in LABELS for a in LABELS),
     )
 
 

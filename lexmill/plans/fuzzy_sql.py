@@ -60,7 +60,7 @@ def chain(source: str, config: FuzzyConfig) -> str:
     top = config.max_length
     templates = ", ".join(f"({quoted(t.template_id)}, {quoted(t.canonical_text)}, [{', '.join(map(quoted, t.allowed_positions))}])" for t in config.templates)
     exact = ", ".join(quoted(t.canonical_text) for t in config.templates if t.compatible_regex)  # the expressions of the test templates are their texts
-    rx = " || ".join(f"case when rx and region = {quoted(t.canonical_text)} then [{quoted(t.template_id)}] else [] end" for t in config.templates if t.compatible_regex)
+    rx = " or ".join(f"(rx and region = {quoted(t.canonical_text)} and template_id = {quoted(t.template_id)})" for t in config.templates if t.compatible_regex) or "false"
     protected = " or ".join(f"starts_with(a, {VIEW.format(quoted(p))})" for p in config.protected) or "false"
     scores = list(weights)
     return rf"""src as ({source}),
@@ -81,14 +81,14 @@ def chain(source: str, config: FuzzyConfig) -> str:
     sc as (select *, ({' + '.join(f'{w} * {k}' for k, w in weights.items())} + 50) // 100 as combined from s1),
     b1 as (select *, row_number() over w as k, combined - coalesce(lead(combined) over w, 0) as margin from sc window w as (partition by region order by combined desc, template_id)),
     best as (select *, {basis('least(length(a), length(b))', 'greatest(length(a), length(b))')} as length_ratio, {' + '.join(f'cast({k} >= {config.floor} as int)' for k in scores)} as evidence_count from b1 where k = 1),
-    d1 as (select *, {protected} as g_protected, length(a) < {config.min_length} as g_short, length_ratio < {config.min_length_ratio} as g_length, not list_contains(allowed, position) as g_position, evidence_count < {config.evidence} as g_evidence, margin < {config.margin} as g_margin from reg join best using (region), th),
+    d1 as (select *, {protected} as g_protected, length(a) < {config.min_length} as g_short, length_ratio < {config.min_length_ratio} as g_length, not list_contains(allowed, position) as g_position, evidence_count < {config.evidence} as g_evidence, margin < {config.margin} as g_margin, {rx} as g_regex from reg join best using (region), th),
     d2 as (select *, g_protected or g_short or g_length or g_position as failed from d1),
     dec as (select *, case when combined >= auto and not failed and not g_evidence and not g_margin then 'applied' when combined >= review and not failed then 'review' else 'skipped' end as decision,
         array_to_string(list_sort(list_filter([case when g_protected then 'protected_context' end, case when g_short then 'candidate_too_short' end, case when g_length then 'length_ratio' end, case when g_position then 'position_not_allowed' end,
             case when g_evidence then 'insufficient_evidence' end, case when g_margin then 'ambiguous_best_match' end, case when combined < review then 'below_review_threshold' end], lambda x: x is not null)), ',') as reasons from d2),
     r1 as (select *, row_number() over (partition by record_id, auto, review, line order by case decision when 'applied' then 0 when 'review' then 1 else 2 end, combined desc, "start" - "end", template_id, "start") as k1 from dec),
     res as (select * from r1 where k1 = 1),
-    ap as (select record_id, list("start" || ',' || "end" order by line desc) as spans, list(struct_pack(template_id := template_id, combined := combined) order by line desc) as what from res where decision = 'applied' group by 1)"""
+    ap as (select record_id, list("start" || ',' || "end" order by line desc) as spans, list(line order by line desc) as removed_lines from res where decision = 'applied' group by 1)"""
 
 
 _AFTER = "substr(acc, cast(split_part(x, ',', 2) as bigint) + 1, 1) = chr(10)"

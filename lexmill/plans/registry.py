@@ -409,13 +409,13 @@ def fuzzy_decision_counts(spark, d):
 
 @query(_CHAIN + """select record_id, "start", "end", template_id, cast(combined as bigint) as combined from res where decision = 'review'""")
 def fuzzy_review_queue(spark, d):
-    rows = Z.resolved(Z.decisions(_noisy(spark, d), FUZZY), ["record_id"]).select("record_id", F.explode_outer(F.filter("decisions", lambda x: x["decision"] == "review")).alias("d")).where("d is not null")
+    rows = Z.resolved(Z.decisions(_noisy(spark, d), FUZZY), [Z.KEY, "record_id"]).select("record_id", F.explode_outer(F.filter("decisions", lambda x: x["decision"] == "review")).alias("d")).where("d is not null")
     return _big(rows.select("record_id", "d.start", "d.end", "d.template_id", "d.combined"), "start", "end", "combined")
 
 
 @query(_CHAIN + "select record_id, count(*) as n from res group by 1")
 def fuzzy_overlaps(spark, d):
-    return _big(Z.resolved(Z.decisions(_noisy(spark, d), FUZZY), ["record_id"]).select("record_id", F.size("decisions").alias("n")), "n")
+    return _big(Z.resolved(Z.decisions(_noisy(spark, d), FUZZY), [Z.KEY, "record_id"]).select("record_id", F.size("decisions").alias("n")), "n")
 
 
 @query(_CHAIN + f"select record_id, sha256(case when spans is null then text else {Q.deleted('text', 'spans')} end) as clean_sha from src left join ap using (record_id)")
@@ -423,21 +423,38 @@ def fuzzy_clean(spark, d):
     return Z.fuzzy_clean(_noisy(spark, d), FUZZY).select("record_id", F.sha2("clean_text", 256).alias("clean_sha"))
 
 
-@query(_CHAIN + f""", ev as (select record_id, text, spans, what, unnest(range(1, len(spans) + 1)) as k from src join ap using (record_id)),
-    ends as (select record_id, 'sha256:' || sha256(case when spans is null then text else {Q.deleted('text', 'spans')} end) as last, coalesce(len(spans), 0) as m from src left join ap using (record_id))
-    select record_id, cast(k - 1 as bigint) as seq, 'fuzzy:' || what[k].template_id as rule_id, 'applied' as decision, 'fuzzy_auto_removed' as reason_code, what[k].combined / 10000 as score,
-        'sha256:' || sha256({Q.deleted('text', 'spans[1:k-1]')}) as before_hash, 'sha256:' || sha256({Q.deleted('text', 'spans[1:k]')}) as after_hash from ev
-    union all
-    select record_id, m + row_number() over (partition by record_id order by line) - 1, 'fuzzy:' || template_id, decision, case decision when 'review' then 'fuzzy_review' else 'fuzzy_skipped' end, combined / 10000, last, last from res join ends using (record_id) where decision <> 'applied'""")
+#: Measures of an event, and its gates in order of their names.
+_MEASURES = ["span_start", "span_end", "margin", "length_ratio", "evidence_count", *T.SCORES, "combined", "auto_threshold", "review_threshold", "best_match_margin"]
+_GATES = ["boundary", "evidence", "length", "margin", "minimum_length", "position", "protected", "regex"]
+_GATES_SQL = {"boundary": "true", "minimum_length": "not g_short", "protected": "g_protected", "regex": "g_regex"} | {k: f"not g_{k}" for k in ("evidence", "length", "margin", "position")}
+_MEASURES_SQL = {"span_start": '"start"', "span_end": '"end"', "auto_threshold": "auto", "review_threshold": "review", "best_match_margin": str(FUZZY.margin)}
+
+
+@query(_CHAIN + f""", ev as (select record_id, text, spans, removed_lines, unnest(range(1, len(spans) + 1)) as k from src join ap using (record_id)),
+    done as (select record_id, removed_lines[k] as line, k - 1 as seq, {Q.deleted('text', 'spans[1:k-1]')} as t0, {Q.deleted('text', 'spans[1:k]')} as t1 from ev),
+    ends as (select record_id, 'sha256:' || sha256(case when spans is null then text else {Q.deleted('text', 'spans')} end) as last, coalesce(len(spans), 0) as m from src left join ap using (record_id)),
+    every as (select record_id, line, seq, 'sha256:' || sha256(t0) as before_hash, 'sha256:' || sha256(t1) as after_hash, greatest(0, length(t0) - length(t1)) as removed_chars from done
+        union all select record_id, line, m + row_number() over (partition by record_id order by line) - 1, last, last, 0 from res join ends using (record_id) where decision <> 'applied')
+    select record_id, cast(seq as bigint) as seq, 'fuzzy_template_cleaning' as stage, 'fuzzy:' || template_id as rule_id, '1.0.0' as rule_version, 'fuzzy' as match_method, 'remove' as action,
+        case decision when 'applied' then 'fuzzy_template_auto' when 'review' then 'fuzzy_template_review' else 'fuzzy_template_skipped' end as reason_code, decision, sha256(region) as span_sha, cast(removed_chars as bigint) as removed_chars, combined / 10000 as score, before_hash, after_hash,
+        'fuzzy-template-clean-v1' as algorithm_version, 'cleaning-event-v1' as schema_version, position, reasons, {' || '.join(f"case when {_GATES_SQL[g]} then '1' else '0' end" for g in _GATES)} as gates,
+        {', '.join(f'cast({_MEASURES_SQL.get(k, k)} as bigint) as {k}' for k in _MEASURES)} from every join res using (record_id, line)""")
 def fuzzy_events(spark, d):
-    return _big(Z.fuzzy_events(_noisy(spark, d), FUZZY).select("record_id", "seq", "rule_id", "decision", "reason_code", "score", "before_hash", "after_hash"), "seq")
+    rows = Z.fuzzy_events(_noisy(spark, d), FUZZY)
+    plain = ["record_id", "seq", "stage", "rule_id", "rule_version", "match_method", "action", "reason_code", "decision", "removed_chars", "score", "before_hash", "after_hash", "algorithm_version", "schema_version"]
+    gates = F.concat(*(F.col(f"metrics.gates.{g}").cast("int").cast("string") for g in _GATES))
+    rows = rows.select(*plain, F.sha2("matched_span", 256).alias("span_sha"), "metrics.position", F.array_join("metrics.reason_codes", ",").alias("reasons"), gates.alias("gates"), *(F.col(f"metrics.{k}") for k in _MEASURES))
+    return _big(rows, "seq", "removed_chars", *_MEASURES)
 
 
-def _expected(spark, d) -> DataFrame:
+def _cases(spark, d) -> DataFrame:
     """Documents that begin with the known header should lose it, and those with its variant be reviewed."""
     t = F.col("raw_text")
     applied = t.startswith(LINES[0] + "\n") | t.contains("\n" + LINES[3])
-    return _docs(spark, d).select("record_id", F.when(applied, "applied").when(t.contains(LINES[1]), "review").otherwise("skipped").alias("expected"))
+    rows = _docs(spark, d).withColumn("expected", F.when(applied, "applied").when(t.contains(LINES[1]), "review").otherwise("skipped"))
+    for old, new in _VARIANTS:
+        rows = rows.withColumn("raw_text", F.replace("raw_text", F.lit(old), F.lit(new)))
+    return rows
 
 
 _EXPECTED = f"""ex as (select cast(doc_id as varchar) as record_id, case when starts_with(text, {Q.quoted(LINES[0])} || chr(10)) or contains(text, chr(10) || {Q.quoted(LINES[3])}) then 'applied' when contains(text, {Q.quoted(LINES[1])}) then 'review' else 'skipped' end as expected from documents)"""
@@ -446,9 +463,7 @@ _OUTCOME = f"{_CHAIN}, {_EXPECTED}, bd as (select record_id, max_by(decision, {_
 
 
 def _outcome(spark, d) -> DataFrame:
-    rank = F.when(F.col("decision") == "applied", 2).when(F.col("decision") == "review", 1).otherwise(0)
-    best = Z.decisions(_noisy(spark, d), FUZZY).groupBy("record_id").agg(F.max_by("decision", rank).alias("actual"))
-    return _expected(spark, d).join(best, "record_id", "left").withColumn("actual", F.coalesce("actual", F.lit("skipped")))
+    return Z.outcomes(_cases(spark, d), FUZZY).select("record_id", "expected", "actual")
 
 
 @query(_OUTCOME + "select record_id, expected, actual from oc")
@@ -470,7 +485,8 @@ def _metric(n: str, of: str) -> str:
     select cast(auto as bigint) as auto, cast(review as bigint) as review, {_metric("expected = 'applied' and actual = 'applied'", "actual = 'applied'")} as auto_precision, {_metric("expected = 'applied' and actual = 'applied'", "expected = 'applied'")} as auto_recall,
         {_metric("expected = 'review' and actual = 'review'", "expected = 'review'")} as review_capture, count(*) filter (where actual = 'applied' and expected <> 'applied') as false_removals, count(*) filter (where actual = 'review' and expected = 'skipped') as meaningless_review from oc group by 1, 2""")
 def fuzzy_threshold_grid(spark, d):
-    grid = Z.threshold_grid(_noisy(spark, d), _expected(spark, d), FUZZY, [8000, 9500], [6000, 7500])
+    names = ["auto", "review", "auto_precision", "auto_recall", "review_capture", "false_removals", "meaningless_review"]
+    grid = Z.threshold_grid(_cases(spark, d), FUZZY, [8000, 9500], [6000, 7500]).select(*names)
     return _big(grid, "auto", "review", "auto_precision", "auto_recall", "review_capture")
 
 

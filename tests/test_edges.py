@@ -78,3 +78,39 @@ def test_files_of_many_splits_keep_their_offsets(spark, tmp_path):
         assert [(r.source_file, r.source_offset, r.error_code) for r in bad.collect()] == [("drift.tsv", 0, "unknown_schema_drift")]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_protected_prefixes_are_compared_in_the_same_form(spark):
+    """A full-width colon in a protected prefix protects texts with either colon, where NFKC is on."""
+    template = (Z.Template("note", "note: all of this is a notice", ("prefix", "line")),)
+    texts = ["Note：  all of this is a notice\nbody", "NOTE: all of this is a notice\nbody", "note all of this is a notice\nbody"]
+    for protected, kept in ((("Note：",), [0, 1]), (("note:",), [0, 1]), ((), [])):
+        got = Z.fuzzy_clean(records(spark, texts), Z.FuzzyConfig(template, protected=protected, auto=9000)).collect()
+        assert [int(r.record_id) for r in sorted(got, key=lambda r: r.source_offset) if r.clean_text != "body"] == kept
+        assert all("protected_context" in r.decisions[0].reason_codes for r in got if int(r.record_id) in kept)
+
+
+def test_matching_normalisation_of_the_configuration_is_read(spark):
+    base = {"thresholds": {"auto": 9500, "review": 6000}, "best_match_margin": 300, "minimum_evidence_floor": 7000, "auto_minimum_evidence": 2, "candidate_limits": {"min_length": 3, "max_length": 64, "min_length_ratio": 5000}, "protected_context_prefixes": [], "character_ngram": 3}
+    base |= {"algorithm_version": "a2", "rule_version": "r2", "score_weights": dict(T.WEIGHTS), "templates": [{"template_id": "t", "canonical_text": "ABC ： def", "allowed_positions": ["prefix"]}]}
+    def view(**rules):
+        config = Z.FuzzyConfig.from_dict(base | ({"matching_normalization": rules} if rules else {}))
+        assert (config.algorithm_version, config.rule_version) == ("a2", "r2")
+        return one(spark, config.view(F.col("a")), a="ABC ： def")
+
+    assert view() == "abc:def" and view(nfkc=False, ascii_lower=True, collapse_whitespace=True) == "abc ： def" and view(nfkc=True, ascii_lower=False, collapse_whitespace=False) == "ABC : def"
+
+
+def test_fuzzy_events_have_all_fields(spark):
+    rows = Z.fuzzy_events(records(spark, ["平台公告:内容仅供参考\n真实正文\n相关推荐", "平台公吿:内容仅供参考\n真实正文"]), FUZZY).orderBy("record_id", "seq").collect()
+    assert [(r.record_id, r.seq, r.reason_code, r.matched_span, r.removed_chars) for r in rows] == [("0", 0, "fuzzy_template_auto", "相关推荐", 5), ("0", 1, "fuzzy_template_auto", "平台公告:内容仅供参考", 12), ("0", 2, "fuzzy_template_skipped", "真实正文", 0), ("1", 0, "fuzzy_template_review", "平台公吿:内容仅供参考", 0), ("1", 1, "fuzzy_template_skipped", "真实正文", 0)]
+    assert rows[0].before_hash != rows[0].after_hash == rows[1].before_hash and rows[1].after_hash == rows[2].before_hash == rows[2].after_hash
+    assert sorted(rows[0].metrics.asDict()) == sorted([*T.SCORES, "combined", "auto_threshold", "best_match_margin", "evidence_count", "gates", "length_ratio", "margin", "position", "reason_codes", "review_threshold", "span_end", "span_start"])
+    assert (rows[0].match_method, rows[0].action, rows[0].rule_version, rows[0].metrics.span_end, rows[0].metrics.gates.regex) == ("fuzzy", "remove", "1.0.0", 21, True)
+
+
+def test_cases_of_one_id_are_told_apart_in_the_grid(spark):
+    """Two cases share their id; each has its own text and outcome."""
+    df = records(spark, ["平台公告:内容仅供参考\n真实正文", "别的\n真实正文"]).withColumn("expected", F.when(F.col("source_offset") == 0, "applied").otherwise("skipped")).withColumn("record_id", F.lit("same"))
+    r = Z.threshold_grid(df, FUZZY, [9500], [6000]).first()
+    assert (r.false_removals, r.applied_applied, r.skipped_skipped, r.auto_precision) == (0, 1, 1, 10000)

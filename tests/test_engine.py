@@ -111,8 +111,9 @@ def test_fuzzy(spark):
 
 def test_threshold_grid(spark):
     df = records(spark, ["平台公告:内容仅供参考\n真实正文", "平台公吿:内容仅供参考\n真实正文", "别的\n真实正文"])
-    expected = spark.createDataFrame([("0", "applied"), ("1", "review"), ("2", "skipped")], "record_id string, expected string")
-    grid = Z.threshold_grid(df, expected, FUZZY, [8000, 9500], [6000, 8000])
+    wanted = {"0": "applied", "1": "review", "2": "skipped"}
+    cases = df.withColumn("expected", F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv))[F.col("record_id")])
+    grid = Z.threshold_grid(cases, FUZZY, [8000, 9500], [6000, 8000])
     # the variant scores over 8000: auto 8000 would remove it; both pairs with 9500 catch it for review, and the higher wins
     assert {(r.auto, r.review): r.false_removals for r in grid.collect()} == {(8000, 6000): 1, (9500, 6000): 0, (9500, 8000): 0}
     assert Z.select_thresholds(grid) == (9500, 8000)
