@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .operators import cleaning, fuzzy, records, sampling
 from .plans import pipeline
-from .sources import jsonl, raw, sinks
+from .sources import artifacts, jsonl, raw, sinks
+
+
+def _fingerprint(d: object) -> str:
+    return "sha256:" + hashlib.sha256(raw.canonical(d).encode()).hexdigest()
 
 
 def _load(path: str) -> dict:
@@ -29,11 +33,9 @@ def _cases(spark: SparkSession, path: str):
 
 
 def _write(df, path: str, order: list[str]) -> None:
-    """Parquet, or canonical JSON Lines in files whose concatenation in name order is the artifact."""
+    """Parquet, or one file of canonical JSON Lines in the artifact's order."""
     if path.endswith(".jsonl"):
-        names = sorted(df.columns)
-        body = F.to_json(F.struct(*(F.try_parse_json(n).alias(n) if n == "metadata" else F.col(n) for n in names)), {"ignoreNullFields": "false"})
-        sinks.write_jsonl(df, body, path, order)
+        artifacts.write_artifact(df, records.record_json() if "metadata" in df.columns else pipeline.lines_of(df), order, path)
     else:
         sinks.write_parquet(df, path)
 
@@ -49,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("input")
         for o in options:
             c.add_argument(f"--{o}", required=True)
-        for o in ("fuzzy-config", "report", "events", "nfkc-input"):
+        for o in ("fuzzy-config", "parsing-config", "report", "events", "nfkc-input"):
             c.add_argument(f"--{o}")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("lexmill").getOrCreate()
@@ -61,7 +63,10 @@ def main(argv: list[str] | None = None) -> int:
             _write(good, f"{a.out}/parsed", ["source_file", "source_offset"])
             _write(bad, f"{a.out}/quarantine", ["source_file", "source_offset"])
         elif a.command == "pipeline":
-            pipeline.run(spark, a.input, sampling.SamplePlan.from_dict(_load(a.plan)), cleaning.CleaningConfig.from_dict(_load(a.config)), a.out, fuzzy.FuzzyConfig.from_dict(_load(a.fuzzy_config)) if a.fuzzy_config else None)
+            given = {k: _load(f) for k, f in (("parsing", a.parsing_config), ("cleaning", a.config), ("fuzzy", a.fuzzy_config)) if f}
+            if given.get("parsing", {}).get("parser_version", raw.PARSER_VERSION) != raw.PARSER_VERSION:
+                raise records.ProcessingError("invalid_parsing_config", str(given["parsing"].get("parser_version")))
+            pipeline.run(spark, a.input, sampling.SamplePlan.from_dict(_load(a.plan)), cleaning.CleaningConfig.from_dict(given["cleaning"]), a.out, fuzzy.FuzzyConfig.from_dict(given["fuzzy"]) if a.fuzzy_config else None, {k: _fingerprint(d) for k, d in given.items()})
         elif a.command == "validate":
             rows = _records(spark, a.input)
             wrong = None if a.input.endswith(".jsonl") else records.validate_records(rows).where("error_type is not null").first()
@@ -75,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
             rows, plan = _records(spark, a.input), sampling.SamplePlan.from_dict(_load(a.plan))
             chosen = sampling.sample(rows, plan)
             if a.out.endswith(".jsonl"):  # the artifact's order is the ranks'
-                sinks.write_jsonl(chosen, records.record_json(), a.out, ["rank_hex", "record_id"])
+                artifacts.write_artifact(chosen, records.record_json(), ["rank_hex", "record_id"], a.out)
             else:
                 sinks.write_parquet(chosen, a.out)
             if a.report:
@@ -84,15 +89,13 @@ def main(argv: list[str] | None = None) -> int:
             pipeline.clean_to_tables(spark, _records(spark, a.input), cleaning.CleaningConfig.from_dict(_load(a.config)), a.out)
         elif a.command == "fuzzy-clean":
             rows, config = _cases(spark, a.input).drop("expected", "split"), fuzzy.FuzzyConfig.from_dict(_load(a.config))
-            _write(fuzzy.fuzzy_clean(rows, config), a.out, ["source_file", "source_offset"])
-            if a.events:
-                _write(fuzzy.fuzzy_events(rows, config), a.events, ["record_id", "seq"])
+            pipeline.fuzzy_artifacts(spark, rows, config, a.out)
         else:
             d = _load(a.config)
             grid = [[fuzzy.basis_points(x) for x in d["sensitivity_grid"][k]] for k in ("auto_thresholds", "review_thresholds")]
             audited = _records(spark, a.nfkc_input) if a.nfkc_input else None
             report = fuzzy.evaluate_thresholds(_cases(spark, a.input), fuzzy.FuzzyConfig.from_dict(d), *grid, audited, d.get("nfkc_score_examples"))
-            sinks.write_json(spark, report | {"algorithm_version": d["algorithm_version"]}, a.out)
+            sinks.write_json(spark, report, a.out)
             print(json.dumps(report["selected_thresholds"]))
         return 0
     except records.ProcessingError as e:

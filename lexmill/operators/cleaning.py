@@ -142,13 +142,14 @@ def clean(records: DataFrame, config: CleaningConfig = CleaningConfig()) -> Data
     return df.withColumn("clean_text", F.col("_t")).withColumn("events", F.col("_events")).drop("_t", "_events")
 
 
-def cleaning_events(cleaned: DataFrame) -> DataFrame:
-    """One row per event, with its place in the record's chain."""
+def cleaning_events(cleaned: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per event, with its place in the record's chain; ``keep`` names columns of the record that stay."""
     # outer: else the optimiser puts a filter on the array below all rules, and so computes each rule again and again
-    return cleaned.select("record_id", F.posexplode_outer("events").alias("seq", "e")).where("seq is not null").select("record_id", "seq", "e.*").withColumn("stage", F.lit("deterministic_cleaning"))
+    rows = cleaned.select(*keep, "record_id", F.posexplode_outer("events").alias("seq", "e")).where("seq is not null").select(*keep, "record_id", "seq", "e.*")
+    return rows.withColumn("stage", F.lit("deterministic_cleaning")).withColumn("schema_version", F.lit("cleaning-event-v1"))
 
 
-def sampled_pairs(sampled: DataFrame, config: CleaningConfig) -> DataFrame:
-    """Before and after of sampled records. Cleaning is row-local, so the sample is cleaned itself: no join."""
+def sampled_pairs(sampled: DataFrame, config: CleaningConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Before and after of sampled records. Cleaning is row-local, so the sample is cleaned itself: no join. ``keep`` names columns that stay."""
     done = clean(sampled, config)
-    return done.select("record_id", F.col("raw_text").alias("before"), F.col("clean_text").alias("after"), (F.col("raw_text") != F.col("clean_text")).alias("changed"), T.changed_characters(F.col("raw_text"), F.col("clean_text")).alias("changed_characters"), F.transform("events", lambda e: e["rule_id"]).alias("rule_ids"))
+    return done.select(*keep, "record_id", F.col("raw_text").alias("before"), F.col("clean_text").alias("after"), (F.col("raw_text") != F.col("clean_text")).alias("changed"), T.changed_characters(F.col("raw_text"), F.col("clean_text")).alias("changed_characters"), F.transform("events", lambda e: e["rule_id"]).alias("rule_ids"))

@@ -232,9 +232,10 @@ def fuzzy_clean(records: DataFrame, config: FuzzyConfig) -> DataFrame:
     return _decided(records, config).withColumn("clean_text", F.coalesce(new, F.col("text"))).drop("text")
 
 
-def fuzzy_events(records: DataFrame, config: FuzzyConfig) -> DataFrame:
-    """One event per decision: applied ones right to left with the evolving hashes, then the others by start."""
-    found = _decided(records, config).where("decisions is not null").select("record_id", "text", "decisions")
+def fuzzy_events(records: DataFrame, config: FuzzyConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One event per decision: applied ones right to left with the evolving hashes, then the others by start. ``keep`` names columns of the record that stay."""
+    keep = (*keep, "record_id")
+    found = _decided(records, config).where("decisions is not null").select(*keep, "text", "decisions")
     applied = F.reverse(F.filter("decisions", lambda d: d["decision"] == "applied"))
     zero = F.struct(F.col("text").alias("t"), F.expr("cast(array() as array<struct<before_hash:string,after_hash:string,removed:int>>)").alias("h"))
 
@@ -243,10 +244,10 @@ def fuzzy_events(records: DataFrame, config: FuzzyConfig) -> DataFrame:
         return F.struct(new.alias("t"), F.concat(acc["h"], F.array(F.struct(T.sha256_text(acc["t"]).alias("before_hash"), T.sha256_text(new).alias("after_hash"), F.greatest(F.lit(0), F.length(acc["t"]) - F.length(new)).alias("removed")))).alias("h"))
 
     found = found.withColumn("applied", applied).withColumn("others", F.filter("decisions", lambda d: d["decision"] != "applied")).withColumn("run", F.aggregate(applied, zero, step))
-    found = found.select("record_id", "applied", "others", "run.h", T.sha256_text(F.col("run.t")).alias("last"))
+    found = found.select(*keep, "applied", "others", "run.h", T.sha256_text(F.col("run.t")).alias("last"))
     hashes = F.struct(F.col("last").alias("before_hash"), F.col("last").alias("after_hash"), F.lit(0).alias("removed"))
     events = F.concat(F.arrays_zip(F.col("applied").alias("d"), F.col("h")), F.transform("others", lambda d: F.struct(d.alias("d"), hashes.alias("h"))))
-    rows = found.select("record_id", F.posexplode_outer(events).alias("seq", "e")).where("seq is not null").select("record_id", "seq", "e.d", "e.h")
+    rows = found.select(*keep, F.posexplode_outer(events).alias("seq", "e")).where("seq is not null").select(*keep, "seq", "e.d", "e.h")
     reason = F.when(F.col("d.decision") == "applied", "fuzzy_template_auto").when(F.col("d.decision") == "review", "fuzzy_template_review").otherwise("fuzzy_template_skipped")
     measured = {
         **{k: F.col(f"d.{k}") for k in (*T.SCORES, "combined", "evidence_count", "gates", "length_ratio", "margin", "position", "reason_codes")},
@@ -257,15 +258,15 @@ def fuzzy_events(records: DataFrame, config: FuzzyConfig) -> DataFrame:
         "matched_span": F.col("d.region"), "removed_chars": F.col("h.removed"), "score": F.col("d.combined") / 10000, "before_hash": F.col("h.before_hash"), "after_hash": F.col("h.after_hash"), "metrics": F.struct(*(measured[k].alias(k) for k in sorted(measured))),
         "algorithm_version": F.lit(config.algorithm_version), "schema_version": F.lit("cleaning-event-v1"),
     }
-    return rows.select("record_id", "seq", *(c.alias(k) for k, c in fields.items()))
+    return rows.select(*keep, "seq", *(c.alias(k) for k, c in fields.items()))
 
 
-def decision_rows(records: DataFrame, config: FuzzyConfig) -> DataFrame:
-    """The resolved decisions, one a row, in the contract's fields; ``seq`` is their order within a record."""
-    found = resolved(decisions(records, config), [KEY, "record_id"]).select("record_id", F.posexplode_outer("decisions").alias("seq", "d")).where("seq is not null")
+def decision_rows(records: DataFrame, config: FuzzyConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The resolved decisions, one a row, in the contract's fields; ``seq`` is their order within a record, ``keep`` names columns of the record that stay."""
+    found = _decided(records, config).select(*keep, "record_id", F.posexplode_outer("decisions").alias("seq", "d")).where("seq is not null")
     components = F.struct(*(F.col(f"d.{k}").alias(k) for k in sorted((*T.SCORES, "combined"))))
     return found.select(
-        "record_id", "seq", F.col("d.combined").alias("combined_score"), components.alias("components"), "d.decision", "d.evidence_count", "d.gates", "d.length_ratio", "d.margin", F.col("d.region").alias("matched_span"), "d.position", "d.reason_codes",
+        *keep, "record_id", "seq", F.col("d.combined").alias("combined_score"), components.alias("components"), "d.decision", "d.evidence_count", "d.gates", "d.length_ratio", "d.margin", F.col("d.region").alias("matched_span"), "d.position", "d.reason_codes",
         F.col("d.end").alias("span_end"), F.col("d.start").alias("span_start"), "d.template_id",
     )
 

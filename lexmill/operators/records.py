@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.canonical import canonical_json, canonical_text
 from ..functions.text import is_blank
 
 RECORD_SCHEMA = (
@@ -145,16 +150,26 @@ def profile_totals(records: DataFrame) -> DataFrame:
 
 
 def record_json() -> Column:
-    """A record as canonical JSON: keys sorted, nulls kept, metadata as parsed."""
-    names = sorted(p.split()[0] for p in RECORD_SCHEMA.replace(", ", ",").split(","))
-    return F.to_json(F.struct(*(F.parse_json("metadata").alias(n) if n == "metadata" else F.col(n) for n in names)), {"ignoreNullFields": "false"})
+    """A record as canonical JSON: keys sorted at every depth, nulls kept, numbers of the metadata as Python writes them."""
+    own = StructType.fromDDL(RECORD_SCHEMA)
+    return canonical_json(F.struct(*(canonical_text(F.col(f)).alias(f) if f == "metadata" else F.col(f) for f in FIELDS)), own, ("metadata",))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sha = hashlib.sha256()
+    for batch in batches:
+        sha.update("".join(x + "\n" for x in batch.column("line").to_pylist()).encode())
+    yield pa.RecordBatch.from_arrays([pa.array(["sha256:" + sha.hexdigest()])], names=["fingerprint"])
 
 
 def fingerprint(df: DataFrame, json: Column, order: list[str]) -> DataFrame:
-    """SHA-256 over the ordered lines, each with its line end. For artifacts of up to some 100 MB: the lines meet in one task."""
-    lines = df.select(json.alias("line"), F.struct(*order).alias("k"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return lines.agg(F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("fingerprint"))
+    """SHA-256 over the ordered lines, each with its line end.
+
+    One task sorts (spilling to disk) and hashes line after line, in constant memory. Artifacts
+    too large for one executor's disk are written in ordered parts, which are hashed on the way.
+    """
+    lines = df.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(order)), json.alias("line"))
+    return lines.repartition(1).sortWithinPartitions(*(f"k{n}" for n in range(len(order)))).select("line").mapInArrow(_hashed, "fingerprint string")
 
 
 def tree_fingerprint(df: DataFrame, json: Column, key: str) -> DataFrame:

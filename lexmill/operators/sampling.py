@@ -14,8 +14,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import json_string
 from ..functions.text import hash_rank, is_blank, nfkc, strip
-from .records import ProcessingError, field_value, fingerprint, matches_filters, mergeable_fingerprint, record_json
+from .records import ProcessingError, field_value, fingerprint, matches_filters, record_json
 
 METHODS = ["simple_random", "proportional", "equal", "minimum_then_proportional"]
 
@@ -30,20 +31,20 @@ class SamplePlan:
     minimum_per_stratum: int = 0
     filters: dict[str, Any] = field(default_factory=dict)
     algorithm_version: str = "hash-rank-v1"
+    schema_version: str = "sample-plan-v1"
 
     @classmethod
     def from_dict(cls, d: dict) -> SamplePlan:
-        known = {f for f in cls.__dataclass_fields__} | {"schema_version"}
-        if not isinstance(d, dict) or set(d) - known or not {"plan_id", "target_size"} <= set(d):
+        if not isinstance(d, dict) or set(d) - set(cls.__dataclass_fields__) or not {"plan_id", "target_size"} <= set(d):
             raise ProcessingError("invalid_plan", "unknown or missing keys")
-        return cls(**{k: tuple(v) if k == "strata_keys" else v for k, v in d.items() if k != "schema_version"})
+        return cls(**{k: tuple(v) if k == "strata_keys" else v for k, v in d.items()})
 
     def __post_init__(self) -> None:
         numbers = (self.target_size, self.seed, self.minimum_per_stratum)
         if any(isinstance(x, bool) or not isinstance(x, int) for x in numbers) or not isinstance(self.plan_id, str) or not isinstance(self.filters, dict) or any(not isinstance(k, str) for k in self.strata_keys):
             raise ProcessingError("invalid_plan", "types")
         good = self.plan_id and self.target_size >= 1 and self.seed >= 0 and self.minimum_per_stratum >= 0
-        if not good or self.allocation_method not in METHODS or len(set(self.strata_keys)) != len(self.strata_keys):
+        if not good or self.schema_version != "sample-plan-v1" or self.allocation_method not in METHODS or len(set(self.strata_keys)) != len(self.strata_keys):
             raise ProcessingError("invalid_plan", self.plan_id)
 
 
@@ -123,7 +124,7 @@ def report_strata(records: DataFrame, plan: SamplePlan) -> DataFrame:
 def sample_report(records: DataFrame, plan: SamplePlan) -> dict:
     """The whole report of a sample: sizes, strata and the fingerprints of plan, population, chosen ids and output.
 
-    The population's fingerprint is free of order, for it may be of any size; the sample's are over its lines in order.
+    The fingerprints are over canonical lines: the population's in order of the ids (then of file and offset), the chosen ids' in their own order, the output's by rank.
     """
     chosen = sample(records, plan)
     filtered = records.where(matches_filters(plan.filters))
@@ -133,8 +134,8 @@ def sample_report(records: DataFrame, plan: SamplePlan) -> dict:
     rank = ["rank_hex", "record_id"]
     return {
         "algorithm_version": plan.algorithm_version, "allocation_method": plan.allocation_method, "filtered_population_size": n, "plan_fingerprint": plan_fingerprint(plan), "plan_id": plan.plan_id,
-        "population_fingerprint": mergeable_fingerprint(filtered, record_json()).first().asDict(), "population_size": records.count(), "schema_version": "sample-report-v1", "seed": plan.seed,
-        "selected_id_fingerprint": fingerprint(chosen.select("record_id"), F.to_json(F.array("record_id")), ["record_id"]).first()[0], "output_fingerprint": fingerprint(chosen, record_json(), rank).first()[0],
+        "population_fingerprint": fingerprint(filtered, record_json(), ["record_id", "source_file", "source_offset"]).first()[0], "population_size": records.count(), "schema_version": "sample-report-v1", "seed": plan.seed,
+        "selected_id_fingerprint": fingerprint(chosen.select("record_id"), json_string(F.col("record_id")), ["record_id"]).first()[0], "output_fingerprint": fingerprint(chosen, record_json(), rank).first()[0],
         "strata": strata, "strata_keys": list(plan.strata_keys), "target_size": plan.target_size,
     }
 

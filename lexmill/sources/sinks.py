@@ -1,4 +1,4 @@
-"""Artifact sinks: Parquet for size, canonical JSON Lines for exchange, sidecar manifests."""
+"""Parquet tables and small JSON documents."""
 
 from __future__ import annotations
 
@@ -6,19 +6,13 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_jsonl(df: DataFrame, json_column: Column, path: str, order: list[str]) -> None:
-    """Distributed: range-partitioned and sorted text files whose concatenation in name order is the artifact."""
-    lines = df.select(json_column.alias("value"), *order).repartitionByRange(*order).sortWithinPartitions(*order)
-    lines.select("value").write.mode("overwrite").text(path)
-
-
 def write_json(spark: SparkSession, value: Any, path: str) -> str:
     """One small canonical JSON document, through Hadoop's file systems; returns its hash."""
     body = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n"

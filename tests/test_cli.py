@@ -106,7 +106,7 @@ def test_all_commands(spark, tmp_path, capsys):
     cases, out = lines(tmp_path / "cases.jsonl", CASES), lambda n: str(tmp_path / "out" / n)
     for argv in (
         ["scan", str(tmp_path / "in"), "--out", out("files")], ["parse", str(tmp_path / "in"), "--out", out("parse")], ["validate", rows], ["profile", rows], ["sample", rows, "--plan", files["plan"], "--out", out("sample.jsonl"), "--report", out("report.json")],
-        ["clean", rows, "--config", files["clean"], "--out", out("clean")], ["fuzzy-clean", cases, "--config", files["fuzzy"], "--out", out("fuzzy.jsonl"), "--events", out("events.jsonl")],
+        ["clean", rows, "--config", files["clean"], "--out", out("clean")], ["fuzzy-clean", cases, "--config", files["fuzzy"], "--out", out("fuzzy")],
         ["evaluate-fuzzy", cases, "--config", files["fuzzy"], "--out", out("thresholds.json"), "--nfkc-input", rows], ["pipeline", str(tmp_path / "in"), "--plan", files["plan"], "--config", files["clean"], "--fuzzy-config", files["fuzzy"], "--out", out("run")],
     ):
         assert main(argv) == 0, argv
@@ -117,6 +117,25 @@ def test_all_commands(spark, tmp_path, capsys):
     held = {n: json.loads("".join(r.value for r in spark.read.text(out(n)).collect())) for n in ("report.json", "thresholds.json", "run/run-manifest.json", "run/sample-report.json")}
     assert held["report.json"]["strata"] == [{"key": "[]", "population": 6, "quota": 3, "selected": 3}] and held["thresholds.json"]["selected_thresholds"] == {"auto": 9500, "review": 8000}
     assert held["thresholds.json"]["nfkc_audit"]["score_examples"][0]["matching_view_ratio"] == 10000 and {"input_fingerprint", "parsing_config_fingerprint", "cleaning_config_fingerprint", "fuzzy_config_fingerprint", "plan_fingerprint"} <= set(held["run/run-manifest.json"])
-    fuzzy = {r.record_id: r.clean_text for r in spark.read.json(out("fuzzy.jsonl")).collect()}
+    fuzzy = {r.record_id: r.clean_text for r in spark.read.json(out("fuzzy/cleaned-records.jsonl")).collect()}
+    decided = [json.loads(x) for x in open(out("fuzzy/decisions.jsonl"), encoding="utf-8")]
+    queue = [json.loads(x) for x in open(out("fuzzy/review-queue.jsonl"), encoding="utf-8")]
+    report = json.load(open(out("fuzzy/decision-report.json"), encoding="utf-8"))
+    assert queue == [x for x in decided if x["decision"] == "review"] and report["counts"]["review"] == len(queue) == 2 and report["record_count"] == 6
+    assert len(open(out("fuzzy/cleaning-events.jsonl"), encoding="utf-8").readlines()) == len(decided)
     assert fuzzy["holdout-0"] == "真实正文" and fuzzy["holdout-1"].startswith("平台公吿")
     assert main(["validate", lines(tmp_path / "bad.jsonl", ["{"])]) == 1 and "[invalid_json] line 1" in capsys.readouterr().err
+
+
+def test_python_api(spark, tmp_path):
+    import lexmill
+
+    path = lines(tmp_path / "r.jsonl", [RECORD, RECORD | {"raw_text": " "}, RECORD | {"record_id": "r1", "event_date": "2026-01-01", "title": "t"}])
+    got = lexmill.profile_jsonl(path).to_dict()
+    assert got == {
+        "total_records": 3, "by_dataset_id": {"d": 3}, "by_record_type": {"article": 3}, "by_event_date": {"2026-01-01": 1, "<null>": 2}, "missing_title_count": 2, "missing_or_empty_body_count": 1, "unique_record_id_count": 2, "duplicate_record_id_count": 1,
+        "schema_versions": {"record-v1": 3},
+    }
+    assert lexmill.validate_jsonl(path).schema.simpleString() == lexmill.RecordV1.simpleString()
+    with pytest.raises(lexmill.ValidationError):
+        lexmill.validate_jsonl(lines(tmp_path / "b.jsonl", ["{"]))

@@ -152,7 +152,16 @@ def test_pipeline_and_cache(spark, tmp_path):
     (tmp_path / "in/a.jsonl").write_text("".join(json.dumps(good | {"record_id": f"r{i}"}) + "\n" for i in range(6)))
     args = (spark, str(tmp_path / "in"), S.SamplePlan("p", 3), CONFIG)
     first, second = (pipeline.run(*args, str(tmp_path / o), FUZZY) for o in ("o1", "o2"))
-    assert first == second and spark.read.parquet(str(tmp_path / "o1/fuzzy-cleaned")).where("clean_text = 'some text'").count() == 6
+    assert first == second and spark.read.json(str(tmp_path / "o1/fuzzy-cleaned-records.jsonl")).where("clean_text = 'some text'").count() == 6
+    import hashlib
+
+    assert len(first["outputs"]) == 13 and "risk-sample.jsonl" not in first["outputs"] and (tmp_path / "o1/risk-sample.jsonl").exists()
+    for name, sha in first["outputs"].items():  # each line, or the document, is canonical, and the manifest has the file's hash
+        body = (tmp_path / "o1" / name).read_bytes()
+        assert "sha256:" + hashlib.sha256(body).hexdigest() == sha, name
+        assert all(json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":")) == x for x in body.decode().split("\n")[:-1]), name
+    report = json.loads((tmp_path / "o1/fuzzy-decision-report.json").read_text())
+    assert report["record_count"] == 6 and report["thresholds"] == {"auto": 9500, "review": 6000} and report["decision_fingerprint"] == first["outputs"]["fuzzy-decisions.jsonl"]
     held = spark.read.parquet(str(tmp_path / "o1/parsed"))
     assert not pipeline.clean_to_tables(spark, held, CONFIG, str(tmp_path / "o1"))
     assert pipeline.clean_to_tables(spark, held, C.CleaningConfig(), str(tmp_path / "o1"))
