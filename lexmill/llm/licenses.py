@@ -49,6 +49,9 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-name-2": "The name of the copyright holder may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-name-3": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "dual-line": "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
     "gpl3-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -59,10 +62,10 @@ SENTENCES = {
 }
 #: Licence -> alternatives of ordered sentence identifiers: fixed values.
 RULES = {
-    "Apache-2.0": [["apache-line"], ["apache-line-2"], ["apache-head", "apache-copy", "apache-basis"], ["apache-head"]],
-    "MIT": [["mit-line"], ["mit-line-2"], ["mit-line-3"], ["mit-line-4"], ["mit-line-5"], ["mit-line-6"], ["mit-grant", "mit-notice", "mit-as-is"]],
+    "Apache-2.0": [["apache-line"], ["apache-line-2"], ["apache-head", "apache-copy", "apache-basis"], ["apache-head"], ["dual-line"]],
+    "MIT": [["mit-line"], ["mit-line-2"], ["mit-line-3"], ["mit-line-4"], ["mit-line-5"], ["mit-line-6"], ["dual-line"], ["mit-grant", "mit-notice", "mit-as-is"]],
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
-    "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]],
+    "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name-2"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name-3"]],
     "GPL-3.0": [["gpl3-line"], ["gpl-free", "gpl-hope"], ["gpl-free"]],
     "GPL-2.0": [["gpl2-line"], ["gpl2-terms", "version-2"]],
     "LGPL-2.1": [["lgpl21-terms", "version-21"]],
@@ -81,13 +84,21 @@ RULES = {
 #: A licence whose rule another one's goes on from, and that other one: the longer rule wins. Fixed values.
 LONGER = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Identifiers of machine-readable lines, each a sentence and a rule of its own: fixed values.
-SPDX = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+SPDX = [
+    "0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "OFL-1.1",
+    "PostgreSQL", "Unlicense", "WTFPL", "Zlib",
+]
 for _id in SPDX:
     for _end in ("", "-only", "-or-later") if "GPL" in _id else ("",):
         SENTENCES[f"spdx-{_id}{_end}".lower()] = f"SPDX-License-Identifier: {_id}{_end}"
         RULES.setdefault(_id, []).append([f"spdx-{_id}{_end}".lower()])
+#: Slots of sentences in normal form: whatever stands there counts as the words that the table has. Fixed values.
+SLOTS = {
+    r"^neither the name of [a-z0-9 ]{1,100}? nor the names of (?:its |the |any )?contributors may": "neither the name of the copyright holder nor the names of its contributors may",
+    r"^the name of [a-z0-9 ]{1,100}? may not be used to endorse": "the name of the copyright holder may not be used to endorse",
+}
 #: Each normalised known sentence holds one of these words: texts without any are not cut.
-ANCHORS = ("licens", "copyright", "reserved", "redistribut", "permission", "warrant", "free software", "unencumbered", "mpl", "anyone is free")
+ANCHORS = ("licens", "copyright", "reserved", "redistribut", "permission", "warrant", "free software", "unencumbered", "mpl", "anyone is free", "endorse")
 #: Where a sentence ends, but for line ends.
 ENDS = r"(?<=[.!?:;])(?<!(?i:license-identifier:))\s+"
 
@@ -115,8 +126,22 @@ def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def _filled(c: Column) -> Column:
+    """A normalised sentence with the table's words in its slots."""
+    for pattern, words in SLOTS.items():
+        c = F.when(c.rlike(pattern), F.regexp_replace(c, pattern, words)).otherwise(c)
+    return c
+
+
 def _sentences(text: Column, breaks: str) -> Column:
-    return F.transform(F.split(text, breaks), _normal)
+    """The normalised sentences; a machine-readable line gives one for each identifier of its expression."""
+    tag = r"(?is)^.*?SPDX-License-Identifier:\s*"
+
+    def expression(s: Column) -> Column:
+        terms = F.split(F.regexp_replace(F.regexp_replace(s, tag, ""), r"(?<=[0-9])\+", "-or-later"), r"\s+(?:OR|AND|WITH)\s+")
+        return F.transform(terms, lambda t: F.concat(F.lit("spdx license identifier "), _normal(t)))
+
+    return F.flatten(F.transform(F.split(text, breaks), lambda s: F.when(s.rlike(tag), expression(s)).otherwise(F.array(_filled(_normal(s))))))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -126,7 +151,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     the licences whose rules hold, sorted, by ``,``; n_sentences counts the identifiers.
     Sentences end at a line end, or at ``. ! ? : ;`` before white space; a licence text
     wrapped over lines is found by cutting at the latter alone. A known sentence with
-    such an end inside counts as its parts, ``NAME-1``, ``NAME-2``.
+    such an end inside counts as its parts, ``NAME-1``, ``NAME-2``. Holders' names are slots:
+    any words may stand there. Of SPDX expressions each known identifier counts, whatever
+    operators join them; ``+`` is read as ``-or-later``.
 
     Edge cases: null and empty texts have none. Repeated sentences count each time. Null
     and repeated doc_ids stay as they are. Where a text holds a rule and a longer one that

@@ -55,15 +55,20 @@ def _any(words: dict[str, list[str]]) -> str:
 
 
 _SECRET = r"(?=[PpSsTtAa])(?i:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private)[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: A secret goes on to white space or a quote (in quotes that close on its line: to the next one), whatever its length; short ones need a digit or sign. Fixed values.
+_OPEN, _LAST = r"[^\s\"'<>]", r"[^\s\"'<>.,;:!?)\]}]"
+_VALUE = rf"(?:(?<=[\"'])[^\"'\r\n]{{6,}}+(?=[\"'])|{_OPEN}{{7,}}{_LAST}|(?={_OPEN}{{0,6}}[0-9!@#$%^&*_=+/~\-]){_OPEN}{{5,6}}{_LAST})"
+#: A key's body goes on to its END line, with at most 64 hyphens (its headers have some); without such a line it starts with 32 signs of one, and goes on as far as it may be one. Fixed value.
+_BODY = r"(?:[^\-]*+(?:-(?!----)[^\-]*+){0,64}+(?=-----END)|\s*[A-Za-z0-9+/=]{32}[A-Za-z0-9+/=\s]*+)"
 #: Patterns by type, in the order in which they are tried: what stands before, the mention, what stands behind. Fixed values.
 PATTERNS = {
-    "pem": ("", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8000}", "(?=-----END)"),
+    "pem": ("", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_BODY}", ""),
     "email": (r"(?<![\p{L}\p{N}._%+\-])", r"[\p{L}\p{N}._%+\-]{1,256}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63})+", ""),
-    "secret": ("", rf"{_SECRET}[A-Za-z0-9_\-+/]{{8,128}}", ""),
+    "secret": ("", rf"{_SECRET}{_VALUE}", ""),
     "cloudkey": (f"(?<!{_APART})", "AKIA[0-9A-Z]{16}", f"(?!{_APART})"),
     "ip": (r"(?<![0-9.])", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"(?![0-9.]*[0-9])"),
     "ip6": (r"(?<![\p{L}\p{N}:.])", r"(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})", r"(?![\p{L}\p{N}:.]*[\p{L}\p{N}:])"),
-    "phone": ("", r"\+[0-9]{1,3}[ \-]?(?:\([0-9]{2,4}\)[ \-]?)?[0-9]{2,4}(?:[ \-][0-9]{2,4}){1,4}", "(?![0-9])"),
+    "phone": ("", r"(?:\+[0-9]{1,3}[ \-]?(?:\([0-9]{2,4}\)[ \-]?)?|\([0-9]{2,5}\)[ \-]?)[0-9]{2,4}(?:[ \-][0-9]{2,4}){1,4}", "(?![0-9])"),
     "iban": (f"(?<!{_APART})", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"(?!{_APART})"),
     "card": (r"(?<![0-9\-])", r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}", r"(?![0-9\-])"),
     "ssn": (r"(?<![0-9\-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9\-])"),
@@ -79,6 +84,7 @@ ATTEMPTS = 30
 def _kind(m: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, (_, p, _) in reversed(PATTERNS.items()):
+        p = {"pem": r"-----BEGIN [\s\S]*", "secret": rf"{_SECRET}[\s\S]*"}.get(name, p)  # their patterns look beyond their ends
         out = F.when(m.rlike(rf"\A(?:{p})\z"), name).otherwise(out)
     return out
 

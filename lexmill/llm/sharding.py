@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, numbered
 
 LIMIT_BYTES = 64 << 20  #: bytes of a shard's texts
 #: Bits that the directory looks deeper at once than full buckets would need.
@@ -28,8 +28,8 @@ def _prefix(bits) -> object:
     return F.expr(f"case when {bits} = 0 then 0L else shiftrightunsigned(hash, 64 - {bits}) end")
 
 
-def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``doc_id, n_bytes, shard, depth, page``, one row per input row.
+def shards(docs: DataFrame, limit: int = LIMIT_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``doc_id, n_bytes, shard, depth, page``, one row per input row; ``carry`` names further columns that stay.
 
     shard is the bucket's hash prefix in binary (empty: one bucket holds all), depth
     its length. The texts of a (shard, page) have at most ``limit`` bytes, except where
@@ -42,7 +42,7 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
-    rows = scratch.save(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("doc_id", "text").alias("hash")))
+    rows = scratch.save(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("doc_id", "text").alias("hash"), *carry))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = 0
     bits = min(62, max(1, math.ceil(math.log2(max(1, total / limit))) + SPARE_BITS))
@@ -75,13 +75,13 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         out = rows.withColumn("d", F.lit(0)).withColumn("over", F.lit(False))
     shard = F.expr("substr(lpad(bin(hash), 64, '0'), 1, d)")
     plain = out.where("not over").withColumn("page", F.lit(0))
-    paged = _paged(out.where("over"), limit, scratch)
-    out = scratch.save(plain.unionByName(paged).select("doc_id", "n_bytes", shard.alias("shard"), F.col("d").alias("depth"), "page"))
+    paged = _paged(out.where("over"), limit, scratch, carry)
+    out = scratch.save(plain.unionByName(paged).select("doc_id", "n_bytes", shard.alias("shard"), F.col("d").alias("depth"), "page", *carry))
     scratch.drop(*used)
     return out
 
 
-def _paged(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+def _paged(rows: DataFrame, limit: int, scratch: Scratch, carry: tuple[str, ...] = ()) -> DataFrame:
     """Equal rows of buckets that no bit splits, dealt to pages of at most ``limit`` bytes.
 
     The rows are numbered without meeting in one task: each partition counts its rows of
@@ -96,10 +96,23 @@ def _paged(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     fit = F.greatest(F.lit(1), F.floor(limit / F.greatest("n_bytes", F.lit(1))))
     dense = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ENTRIES else firsts, ["hash", "part"])
     own = F.row_number().over(Window.partitionBy("hash", "part").orderBy("n")) - 1
-    return dense.select("doc_id", "n_bytes", "hash", "d", "over", F.floor((F.col("before") + own) / fit).cast("int").alias("page"))
+    return dense.select("doc_id", "n_bytes", "hash", *carry, "d", "over", F.floor((F.col("before") + own) / fit).cast("int").alias("page"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """The documents as Parquet, one folder for each shard and page. doc_ids must be unique."""
-    rows = docs.join(assigned.select("doc_id", "shard", "page"), "doc_id")
-    rows.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+ROW = "lexmill row"  #: names a row while its shard is looked for
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
+    """All rows and columns of ``docs`` as Parquet in ``path``, one folder for each shard and page.
+
+    Rows meet their shard by their number, so null and repeated doc_ids are written as often
+    as they occur. Columns named ``shard`` or ``page`` in ``docs`` are refused, for the folders have these names.
+    """
+    if taken := {"shard", "page", ROW} & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(taken)}")
+    scratch = Scratch(docs.sparkSession, "shards-written")
+    rows = numbered(docs, scratch, ROW)
+    assigned = shards(rows, limit, (f"`{ROW}`",)).select(f"`{ROW}`", "shard", "page")
+    # names begin with a letter: the empty one, and those of digits alone, stay text when they are read back
+    rows.join(assigned, ROW).drop(ROW).withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    scratch.close()

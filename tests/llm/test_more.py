@@ -152,3 +152,44 @@ def test_quality_of_repeated_ids_long_texts_and_a_small_sample(spark, monkeypatc
     got = quality.quality_scores(docs(spark, texts, ids), labels).collect()
     assert len(got) == 303 and sum(r.predicted == (r.doc_id < 150) for r in got if r.doc_id < 300) >= 297
     assert 1 in [r.predicted for r in got if r.doc_id == 400] and len({r.score for r in got if r.doc_id == 400}) == 2 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_shards_are_written_row_by_row(spark, tmp_path):
+    """Null, repeated and clashing rows: what goes in comes out, as often, and each folder keeps to the limit."""
+    texts = ["same"] * 7 + [None, "", "x" * 900, *(f"text {k} " * (k % 9) for k in range(60))]
+    ids = [7, 7, 7, None, None, 8, 9, None, 1, 2, *range(100, 160)]
+    df = docs(spark, texts, ids)
+    sharding.write_shards(df, str(tmp_path / "out"), 300)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda d: Counter(tuple(r) for r in d.select("doc_id", "text", "component_id", "name", "key", "v").collect())
+    assert key(back) == key(df)
+    size = Counter()
+    for r in back.collect():
+        size[r.shard, r.page] += len((r.text or "").encode())
+    assert len(size) > 5 and all(n <= 300 or n == 900 for n in size.values())
+    df.write.parquet(str(tmp_path / "in"))
+    sharding.write_shards(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "again"))
+    again = spark.read.parquet(str(tmp_path / "again"))
+    assert key(again) == key(df) and {r.shard for r in again.collect()} == {"b"}
+    with pytest.raises(ValueError):
+        sharding.write_shards(df.withColumn("page", df.v), str(tmp_path / "no"))
+
+
+NAME = licenses.SENTENCES["bsd-name"]
+BSD = " ".join(licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"{BSD} {NAME.replace('the copyright holder', 'Acme & Sons, Inc.').replace('nor the names', 'nor the names')}", "BSD-3-Clause"), (f"{BSD} {NAME.replace('the copyright holder', 'the University of Somewhere')}", "BSD-3-Clause"),
+        (f"{BSD} The name of John Q Public may not be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"), (BSD, "BSD-2-Clause"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0,MIT"), ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "BSD-3-Clause,MIT"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0"),
+        ("SPDX-License-Identifier: MPL-1.1", "MPL-1.1"), ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("SPDX-License-Identifier: no-such-thing OR also-none", ""), ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"),
+        ("", ""), (None, ""),
+    ],
+)
+def test_slots_and_expressions(spark, text, want):
+    rows = [text, text, "Foo bar. " * 60_000 + (text or "")]
+    got = licenses.license_scan(docs(spark, rows, [None, 5, 5])).collect()
+    assert [r.licenses for r in got] == [want] * 3
