@@ -1,0 +1,79 @@
+"""Unicode NFKC inside the JVM, for texts in which no character meets another.
+
+The tables are derived from Python's ``unicodedata`` when the module is loaded, so both ways
+follow one Unicode version. A character is *joining* if its NFKC form holds a combining mark
+or anything that may be composed with what stands before it, or has several characters (but
+for a few common signs). A text without joining characters is normalised character by
+character, by ``translate``; only the others go to Python's normaliser.
+"""
+
+from __future__ import annotations
+
+import sys
+import unicodedata
+from functools import cache
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Common signs whose form has several characters, none of them a mark: fixed values.
+COMMON = "…ﬀﬁﬂ™½¼¾№℃"
+
+
+@cache
+def composing() -> frozenset[int]:
+    """Characters that may be composed with one before them: second ones of canonical pairs, vowels and final consonants of Hangul."""
+    seconds = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for k in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(k)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(int(parts[1], 16))
+    return frozenset(seconds)
+
+
+@cache
+def tables() -> tuple[tuple[int, ...], dict[int, str]]:
+    """(joining characters, other characters' forms where they differ)."""
+    joining, single = [], {}
+    for k in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= k <= 0xDFFF:
+            continue
+        form = unicodedata.normalize("NFKC", chr(k))
+        meets = any(unicodedata.combining(c) or ord(c) in composing() for c in form + unicodedata.normalize("NFKD", chr(k))[:1])
+        if meets or (len(form) != 1 and chr(k) not in COMMON):
+            joining.append(k)
+        elif form != chr(k) and chr(k) not in COMMON:
+            single[k] = form
+    return tuple(joining), single
+
+
+def char_class(points: tuple[int, ...]) -> str:
+    """A Java character class of code points, as ranges."""
+    out, start = [], None
+    for k, following in zip(points, (*points[1:], None)):
+        start = k if start is None else start
+        if following != k + 1:
+            out.append(rf"\x{{{start:x}}}" + (rf"-\x{{{k:x}}}" if k > start else ""))
+            start = None
+    return f"[{''.join(out)}]"
+
+
+@cache
+def _patterns() -> tuple[str, str, str, str]:
+    joining, single = tables()
+    return char_class(joining), char_class(tuple(sorted(single))), "".join(map(chr, single)), "".join(single.values())
+
+
+def joins(c: Column) -> Column:
+    """Whether a text holds joining characters."""
+    return c.rlike(_patterns()[0])
+
+
+def by_character(c: Column) -> Column:
+    """The NFKC form of a text without joining characters."""
+    _, some, plain, forms = _patterns()
+    signs = c
+    for x in COMMON:
+        signs = F.replace(signs, F.lit(x), F.lit(unicodedata.normalize("NFKC", x)))
+    signs = F.when(c.rlike(f"[{COMMON}]"), signs).otherwise(c)
+    return F.when(c.rlike(some), F.translate(signs, plain, forms)).otherwise(signs)

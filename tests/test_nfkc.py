@@ -1,0 +1,32 @@
+"""NFKC in the JVM against unicodedata: every code point, and random neighbours."""
+
+import random
+import sys
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from lexmill.functions import nfkc as N
+from lexmill.functions import text as T
+
+
+def test_every_code_point(spark):
+    """Those that join nothing are normalised without Python; the others are known to join."""
+    joining = set(N.tables()[0])
+    points = [k for k in range(1, sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF]
+    free = [k for k in points if k not in joining]
+    # several in a row, so that neighbours are tried as well
+    lines = ["".join(map(chr, free[k : k + 64])) for k in range(0, len(free), 64)]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", N.joins(F.col("t")).alias("j"), N.by_character(F.col("t")).alias("n")).collect()
+    assert not any(r.j for r in rows) and all(r.n == unicodedata.normalize("NFKC", r.t) for r in rows)
+    alone = spark.createDataFrame([(f"a{chr(k)}b",) for k in sorted(joining)], "t string").repartition(4)
+    assert alone.where(~N.joins(F.col("t"))).count() == 0
+    assert 1000 < len(joining) < 20_000
+
+
+def test_random_neighbours(spark):
+    r = random.Random(7)
+    pool = "aeiouAEKnÅéß가각각か゛がﾊﾟ①Ⅷ㎏ﬁ…™½ＡＢ｜　́̂̈̌̀ͅ־़ְকািༀཱིΩΩ؀ﷺ" + "".join(N.COMMON)
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(12))) for _ in range(4000)] + ["plain", "", "é" * 1000, "ＡＢ" * 500 + "́"]
+    got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").repartition(4).select("t", T.nfkc(F.col("t")).alias("n")).collect()
+    assert all(x.n == (None if x.t is None else unicodedata.normalize("NFKC", x.t)) for x in got) and len(got) == len(texts) + 1
