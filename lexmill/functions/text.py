@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; only NFKC of texts with composing characters needs Python (an Arrow UDF)."""
+"""Text functions as Column expressions; only Unicode NFKC needs Python (an Arrow UDF)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .nfkc import by_character, joins
-
 #: White space as Python's ``str.isspace`` has it, as a Java character class body.
 WS = r"\p{IsWhite_Space}\x1c-\x1f"
 #: Line ends of Python's ``str.splitlines``, as a Java character class body.
@@ -55,7 +53,7 @@ def remove_tags(c: Column) -> Column:
 
     joined = F.array_join(F.transform(pieces, piece), "")
     broken = F.regexp_replace(F.regexp_replace(joined, rf"(\A|\n){MARK}+", "$1"), rf"{MARK}+", "\n")
-    return F.replace(F.replace(broken, F.lit(OTHER + "0"), F.lit(MARK)), F.lit(OTHER + "1"), F.lit(OTHER))
+    return F.when(c.contains("<"), F.replace(F.replace(broken, F.lit(OTHER + "0"), F.lit(MARK)), F.lit(OTHER + "1"), F.lit(OTHER))).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:
@@ -90,8 +88,8 @@ _nfkc_once = _nfkc.asNondeterministic()
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC; only texts whose characters may meet are sent to Python's normaliser."""
-    return F.coalesce(_nfkc_once(F.when(joins(c), c)), by_character(c))
+    """Unicode NFKC; ASCII texts are not sent to Python's normaliser."""
+    return F.coalesce(_nfkc_once(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def normalize_whitespace(c: Column) -> Column:
