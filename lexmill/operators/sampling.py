@@ -1,7 +1,8 @@
 """Deterministic hash-ranked sampling with closed-form quotas.
 
-Strata and quotas stay in Spark; each stratum's rows are ranked by hash and cut at the
-quota. The strata table is broadcast by Spark itself where its size allows.
+Strata and quotas stay in Spark, and no step gathers the strata in one task; each
+stratum's rows are ranked by hash and cut at the quota. The strata table is broadcast
+by Spark itself where its size allows.
 """
 
 from __future__ import annotations
@@ -52,43 +53,106 @@ def stratum_key(keys: tuple[str, ...]) -> Column:
     return F.to_json(F.array(*(field_value(k) for k in keys))) if keys else F.lit("[]")
 
 
-def _proportional(strata: DataFrame, caps: str, target: Column, out: str) -> DataFrame:
-    """Largest remainder; ties by key; never above the capacity as target <= sum of capacities."""
-    one = Window.partitionBy(F.lit(1))
-    df = strata.withColumn("_sum", F.sum(caps).over(one)).withColumn("_t", target)
-    df = df.withColumn("_q", F.when(F.col("_sum") == 0, 0).otherwise(F.floor(F.col("_t") * F.col(caps) / F.col("_sum"))).cast("long"))
-    df = df.withColumn("_rem", F.col("_t") * F.col(caps) - F.col("_q") * F.col("_sum"))
-    df = df.withColumn("_left", F.col("_t") - F.sum("_q").over(one)).withColumn("_n", F.row_number().over(one.orderBy(F.desc("_rem"), "stratum")))
-    return df.withColumn(out, F.col("_q") + (F.col("_n") <= F.col("_left")).cast("long")).drop("_sum", "_t", "_q", "_rem", "_left", "_n")
+#: Counts of one step of the search for the water level: what reaches the driver at once.
+STEP = 1024
+#: Checkpoint folder of a session in one machine that names none.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/lexmill"
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` as written to the session's checkpoint folder, without its lineage."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ProcessingError("no_checkpoint_folder", "spark.checkpoint.dir is unset: set it to a folder that all executors share")
+        context.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
+    return df.checkpoint()
+
+
+def _leading(rows: DataFrame, k: int, order: list[tuple[str, bool]], among: Column) -> Column:
+    """Whether a row is one of the first ``k`` of those ``among``, by columns and whether they descend; no two rows tie in all.
+
+    The rows are dealt by ranges of the order. The ranges' counts tell which one holds the
+    k-th row; only that range is numbered, and its k-th row is what all are compared with.
+    """
+    if k <= 0:
+        return F.lit(False)
+    by = [F.desc(c) if down else F.asc(c) for c, down in order]
+    dealt = _held(rows.where(among).select(*(c for c, _ in order)).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    for part, n in sorted(dealt.groupBy("_part").count().collect()):  # a row a partition
+        if k <= n:
+            break
+        k -= n
+    else:
+        return among
+    last = dealt.where(F.col("_part") == part).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*by))).where(F.col("_n") == k).first()
+    inside = F.lit(True)
+    for c, down in reversed(order):
+        inside = (F.col(c) > last[c] if down else F.col(c) < last[c]) | ((F.col(c) == last[c]) & inside)
+    return among & inside
+
+
+def _proportional(strata: DataFrame, caps: str, target: int, out: str) -> DataFrame:
+    """Largest remainder; ties by key; never above the capacity as target <= sum of capacities. Products are decimals: they may pass 64 bits."""
+    total = strata.agg(F.sum(caps)).first()[0] or 0
+    if not total:
+        return strata.withColumn(out, F.lit(0).cast("long"))
+    wide = "decimal(19,0)"
+    df = strata.withColumn("_p", F.lit(target).cast(wide) * F.col(caps).cast(wide))
+    df = df.withColumn("_q", F.expr(f"_p div cast({total} as {wide})"))
+    df = df.withColumn("_rem", (F.col("_p") - F.col("_q").cast(wide) * F.lit(total).cast(wide)).cast("long"))
+    left = target - df.agg(F.sum("_q")).first()[0]
+    more = _leading(df, left, [("_rem", True), ("stratum", False)], F.lit(True))
+    return df.withColumn(out, F.col("_q") + more.cast("long")).drop("_p", "_q", "_rem")
+
+
+def _water_level(strata: DataFrame, target: int, total: int) -> tuple[int, int]:
+    """The largest level at which all capacities cut at it sum up to the target at most, and what is left of the target then.
+
+    Capacities are counted in up to STEP ranges, which give the sums at the ranges' ends
+    exactly; the range in which the target is passed is divided again.
+    """
+    count, high = strata.agg(F.count("*"), F.max("population")).first()
+    if target == total:
+        return high, 0
+    low, below, above = 0, 0, count  # below: sum of the capacities up to low; above: number of those beyond it
+    while high - low > 1:
+        width = -(-(high - low) // STEP)
+        cell = F.expr(f"(population - {low + 1}L) div {width}L")
+        cells = strata.where(F.col("population").between(low + 1, high)).groupBy(cell.alias("cell")).agg(F.sum("population").alias("held"), F.count("*").alias("n"))
+        counted = {r.cell: (r.held, r.n) for r in cells.collect()}
+        for j in range(STEP):
+            end = min(low + width, high)
+            held, n = counted.get(j, (0, 0))
+            if end == high or below + held + end * (above - n) > target:
+                break
+            low, below, above = end, below + held, above - n
+        high = end
+    return low, target - below - low * above
 
 
 def allocate(strata: DataFrame, plan: SamplePlan) -> DataFrame:
-    """``strata(stratum, population)`` -> with ``quota``. The table has one row a stratum."""
-    total = strata.agg(F.sum("population")).first()[0] or 0
+    """``strata(stratum, population)`` -> with ``quota``. The table has one row a stratum; it is written once, and no step gathers it in one task."""
     target = plan.target_size
+    strata = _held(strata.withColumn("population", F.col("population").cast("long")))
+    total = strata.agg(F.sum("population")).first()[0] or 0
     if target > total:
         raise ProcessingError("target_exceeds_population", f"{target} > {total}")
     if plan.allocation_method == "simple_random":
         return strata.withColumn("quota", F.lit(target).cast("long"))
     if plan.allocation_method == "proportional":
-        return _proportional(strata, "population", F.lit(target).cast("long"), "quota")
+        return _proportional(strata, "population", target, "quota")
     if plan.allocation_method == "equal":
-        one = Window.partitionBy(F.lit(1))
-        up = one.orderBy("population", "stratum")
-        below = F.coalesce(F.sum("population").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        count = F.count("*").over(one)
-        # the water level: the largest at which all capacities cut at it hold the target
-        df = strata.withColumn("_i", F.row_number().over(up)).withColumn("_below", below).withColumn("_count", count)
-        df = df.withColumn("_level", F.floor((target - F.col("_below")) / (F.col("_count") - F.col("_i") + 1)))
-        df = df.withColumn("_level", F.coalesce(F.min(F.when(F.col("_level") < F.col("population"), F.struct("_i", "_level"))).over(one)["_level"], F.max("population").over(one)))
-        df = df.withColumn("_q", F.least("population", "_level")).withColumn("_left", target - F.sum("_q").over(one))
-        df = df.withColumn("_more", F.row_number().over(one.orderBy(F.when(F.col("population") > F.col("_level"), 0).otherwise(1), "stratum")))
-        return df.withColumn("quota", (F.col("_q") + ((F.col("_more") <= F.col("_left")) & (F.col("population") > F.col("_level"))).cast("long")).cast("long")).select(*strata.columns, "quota")
-    first = strata.withColumn("_min", F.least("population", F.lit(plan.minimum_per_stratum)).cast("long"))
+        level, left = _water_level(strata, target, total)
+        more = _leading(strata, left, [("stratum", False)], F.col("population") > level)
+        return strata.withColumn("quota", F.least("population", F.lit(level).cast("long")) + more.cast("long"))
+    first = strata.withColumn("_min", F.least("population", F.lit(plan.minimum_per_stratum).cast("long")))
     needed = first.agg(F.sum("_min")).first()[0] or 0
     if needed > target:
         raise ProcessingError("infeasible_minimum", f"{needed} > {target}")
-    rest = _proportional(first.withColumn("_spare", F.col("population") - F.col("_min")), "_spare", F.lit(target - needed).cast("long"), "_more")
+    rest = _proportional(first.withColumn("_spare", F.col("population") - F.col("_min")), "_spare", target - needed, "_more")
     return rest.withColumn("quota", F.col("_min") + F.col("_more")).select(*strata.columns, "quota")
 
 
