@@ -3,7 +3,8 @@
 1. Document frequencies of the benchmark's words over all documents give their idf.
 2. The benchmark's items are cut into passages of PASSAGE words; a randomised SVD of
    their TF-IDF matrix (range finder with power rounds, each a distributed product
-   over the passages) gives a latent space of RANK dimensions for words.
+   over the passages, then the small factor) gives a latent space of RANK dimensions
+   for words, the leading singular directions.
 3. One pass over the documents: each window of two passages' length, moved by one
    passage, is folded into the latent space and compared with all passages by cosine,
    in blocks of matrix products. A window near a passage is a candidate, and so is one
@@ -270,6 +271,35 @@ def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
         yield ids, items
 
 
+def singular_space(table: DataFrame, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading singular values of the matrix A of ``table(words)``'s passages by ``known`` words, greatest first, and their right singular vectors.
+
+    A random basis is turned towards the range of A' by power steps; B = A Q is then
+    factored by its small Gram matrix B'B = Q'(A'A Q). At most RANK values come back,
+    fewer where A has no more.
+    """
+    spark = table.sparkSession
+
+    def product(x: np.ndarray) -> np.ndarray:
+        space = spark.sparkContext.broadcast((known, idf, x))
+        sums = table.mapInArrow(_product(space), "word long, row binary").repartition("word").sortWithinPartitions("word").mapInArrow(_added, "word long, row binary")
+        total = np.zeros(x.shape)
+        for word, row in sums.toLocalIterator():
+            total[word] = np.frombuffer(bytes(row))
+        space.destroy()
+        return total
+
+    rank = min(RANK + OVERSAMPLE, len(known))
+    basis = np.linalg.qr(np.random.default_rng(11).standard_normal((len(known), rank)))[0]
+    for _ in range(POWER + 1):
+        basis = np.linalg.qr(product(basis))[0]
+    gram = basis.T @ product(basis)
+    squares, turn = np.linalg.eigh((gram + gram.T) / 2)
+    leading = np.argsort(-squares)[:RANK]
+    leading = leading[squares[leading] > 1e-12 * squares.max(initial=0.0)]
+    return np.sqrt(squares[leading]), basis @ turn[:, leading]
+
+
 def _model(docs: DataFrame, ids: list, items: list[np.ndarray]):
     """The broadcast search model of one part of the benchmark."""
     spark = docs.sparkSession
@@ -289,18 +319,8 @@ def _model(docs: DataFrame, ids: list, items: list[np.ndarray]):
         stop[own[np.argsort(df[own], kind="stable")[: max(4, len(own) // 4)]]] = False
     idf = np.where(stop, 0.0, np.log((n + 1) / (df + 0.5)).clip(0.1))
 
-    rank = min(RANK + OVERSAMPLE, len(known))
-    x = np.linalg.qr(np.random.default_rng(11).standard_normal((len(known), rank)))[0]
     table = spark.createDataFrame([(w.tobytes(),) for w in items], "words binary").repartition(max(1, min(spark.sparkContext.defaultParallelism, len(items) // 100)))
-    for _ in range(POWER + 1):
-        space = spark.sparkContext.broadcast((known, idf, x))
-        sums = table.mapInArrow(_product(space), "word long, row binary").repartition("word").sortWithinPartitions("word").mapInArrow(_added, "word long, row binary")
-        total = np.zeros(x.shape)
-        for word, row in sums.toLocalIterator():
-            total[word] = np.frombuffer(bytes(row))
-        space.destroy()
-        x = np.linalg.qr(total)[0]
-    latent = x[:, :RANK]
+    latent = singular_space(table, known, idf)[1]
 
     queries, owner, mass = [], [], []
     for k, words in enumerate(items):
