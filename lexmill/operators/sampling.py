@@ -59,6 +59,16 @@ STEP = 1024
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lexmill"
 
 
+#: Bytes of strata keys up to which the quotas are sent to all rows; beyond them rows and quotas meet by a shuffle.
+BROADCAST_KEYS = 16 << 20
+
+
+def _small(quotas: DataFrame) -> DataFrame:
+    """``quotas``, marked for a broadcast where their measured size allows."""
+    keys = quotas.agg(F.sum(F.octet_length("stratum") + 64)).first()[0] or 0
+    return F.broadcast(quotas) if keys <= BROADCAST_KEYS else quotas
+
+
 def _held(df: DataFrame) -> DataFrame:
     """``df`` as written to the session's checkpoint folder, without its lineage."""
     spark = df.sparkSession
@@ -167,7 +177,7 @@ def sample(records: DataFrame, plan: SamplePlan) -> DataFrame:
         if rows.limit(plan.target_size).count() < plan.target_size:
             raise ProcessingError("target_exceeds_population", plan.plan_id)
         return rows.orderBy("rank_hex", "record_id").limit(plan.target_size)
-    quotas = allocate(strata_capacity(records, plan), plan)
+    quotas = _small(allocate(strata_capacity(records, plan), plan))
     order = Window.partitionBy("stratum").orderBy("rank_hex", "record_id")
     rows = rows.join(quotas, "stratum")
     # ranks are uniform: below this share of them a stratum has its quota but for a chance of about one in 10**9

@@ -68,3 +68,11 @@ def test_products_beyond_64_bits(spark):
     assert quotas(spark, caps, target, "equal") == {"a": half, "b": half, "c": 3}
     with pytest.raises(R.ProcessingError):
         S.allocate(spark.createDataFrame([], "stratum string, population long"), S.SamplePlan("p", 1, 0, ("dataset_id",), "equal"))
+
+
+def test_samples_are_equal_with_and_without_a_broadcast(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("cast(id as string) as record_id", "case when id % 3 > 0 then 'hot' else concat('d', id % 7) end as dataset_id", "'x' as raw_text")
+    plan = S.SamplePlan("p", 60, 5, ("dataset_id",), "equal")
+    got = [tuple(r) for r in S.sample(rows, plan).select("record_id", "stratum").collect()]
+    monkeypatch.setattr(S, "BROADCAST_KEYS", 0)
+    assert got == [tuple(r) for r in S.sample(rows, plan).select("record_id", "stratum").collect()] and len(got) == 60
