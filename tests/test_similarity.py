@@ -56,3 +56,8 @@ def test_nulls(spark):
 def test_ngrams_of_a_long_line(spark):
     began = time.time()
     assert one(spark, T.char_jaccard(F.repeat("a", 20_000), F.lit("0123456789")), a="".join(map(str, range(10)))) == 8000 and time.time() - began < 15
+
+
+def test_windows_of_a_long_line(spark):
+    began = time.time()
+    assert one(spark, T.partial_ratio(F.repeat("a", 30_000), F.lit("x9876543210" * 5)), a="".join(map(str, range(10)))) == 1455 and time.time() - began < 12
