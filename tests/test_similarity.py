@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import similarity as S
 from lexmill.functions import text as T
+from lexmill.operators import fuzzy as Z
+from lexmill.plans.registry import FUZZY
 from tests.test_engine import one
 
 
@@ -61,3 +63,24 @@ def test_ngrams_of_a_long_line(spark):
 def test_windows_of_a_long_line(spark):
     began = time.time()
     assert one(spark, T.partial_ratio(F.repeat("a", 30_000), F.lit("x9876543210" * 5)), a="".join(map(str, range(10)))) == 1455 and time.time() - began < 12
+
+
+def test_many_regions_against_templates(spark):
+    texts = spark.range(60_000).select(F.concat(F.lit("row "), "id", F.lit(" of "), F.sha2(F.col("id").cast("string"), 256)).substr(1, 64).alias("region"))
+    began = time.time()
+    assert sum(r["count"] for r in Z.best_templates(texts, FUZZY).groupBy("template_id").count().collect()) == 60_000 and time.time() - began < 20
+
+
+def test_best_templates_are_the_best_of_all_scores(spark, monkeypatch):
+    """Ties go to the smaller id, a single template's margin is its score, and small pieces change nothing."""
+    monkeypatch.setattr(Z, "HELD", 7)
+    same = Z.FuzzyConfig((Z.Template("z", "same text", ("line",)), Z.Template("b", "same text", ("prefix",)), Z.Template("c", "ＯＴＨＥＲ", ("line",))))
+    texts = spark.createDataFrame([(t,) for t in ("same text", "other", "some text", "x", "same test", "")], "region string")
+    rows = sorted(Z.scored(texts, same).collect(), key=lambda r: (r.region, -r.combined, r.template_id))
+    assert len(rows) == 18
+    for r in Z.best_templates(texts, same).collect():
+        first, second = [x for x in rows if x.region == r.region][:2]
+        assert (r.template_id, r.combined, r.margin, r.view, r.template_view, r.allowed) == (first.template_id, first.combined, first.combined - second.combined, first.view, first.template_view, first.allowed)
+        assert [r[k] for k in T.SCORES] == [first[k] for k in T.SCORES]
+    alone = Z.best_templates(texts, Z.FuzzyConfig(same.templates[:1])).where("region = 'same text'").first()
+    assert (alone.combined, alone.margin) == (10000, 10000)
