@@ -84,3 +84,16 @@ def test_best_templates_are_the_best_of_all_scores(spark, monkeypatch):
         assert [r[k] for k in T.SCORES] == [first[k] for k in T.SCORES]
     alone = Z.best_templates(texts, Z.FuzzyConfig(same.templates[:1])).where("region = 'same text'").first()
     assert (alone.combined, alone.margin) == (10000, 10000)
+
+
+def test_many_lines_are_cut_and_compared(spark):
+    """Offsets and values over many lines; the scores of whole lines go with their length."""
+    texts = spark.range(8).select(F.repeat(F.concat(F.lit(" ab c "), "id", F.lit(" \r\n\n")), 300_000).alias("text"))
+    began = time.time()
+    r = T.with_lines(texts, "text").select(F.size("lines").alias("n"), F.element_at("lines", -1).alias("x")).agg(F.sum("n").alias("n"), F.max("x.start").alias("start"), F.max("x.value").alias("value")).first()
+    assert (r.n, r.start, r.value) == (2_400_000, 11 * 299_999 + 1, "ab c 7") and time.time() - began < 20
+    line, many = F.concat(F.repeat(F.lit("ab cd efg "), 40), F.col("id")), spark.range(20_000)
+    began = time.time()
+    for score in (T.levenshtein, T.ratio, T.token_sort_ratio, T.token_set_ratio):
+        assert many.select(score(line, F.lit("the and attion to thanedble the, anea. eriner thanea.")).alias("v")).where("v is not null").count() == 20_000
+    assert time.time() - began < 20
