@@ -97,3 +97,9 @@ def test_many_lines_are_cut_and_compared(spark):
     for score in (T.levenshtein, T.ratio, T.token_sort_ratio, T.token_set_ratio):
         assert many.select(score(line, F.lit("the and attion to thanedble the, anea. eriner thanea.")).alias("v")).where("v is not null").count() == 20_000
     assert time.time() - began < 20
+
+
+def test_nfkc_goes_to_python_in_small_batches(spark):
+    """A hundred texts at once, not the ten thousand of an Arrow batch."""
+    plan = spark.createDataFrame([("ＡＢ",), ("ab",), (None,)], "a string").select(T.nfkc(F.col("a")).alias("v"))
+    assert [r.v for r in plan.collect()] == ["AB", "ab", None] and "BatchEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
