@@ -103,3 +103,58 @@ def test_nfkc_goes_to_python_in_small_batches(spark):
     """A hundred texts at once, not the ten thousand of an Arrow batch."""
     plan = spark.createDataFrame([("ＡＢ",), ("ab",), (None,)], "a string").select(T.nfkc(F.col("a")).alias("v"))
     assert [r.v for r in plan.collect()] == ["AB", "ab", None] and "BatchEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_scores_of_a_batch_are_those_of_its_pairs(monkeypatch, n):
+    """Views shorter and longer than templates, in small blocks and parts; no pattern but the template's is prepared."""
+    draw, size = random.Random(n), [0, 3, 30, 90]
+    text = lambda k: "".join(draw.choices(draw.choice(("ab é公😀", "the and sch der. ")), k=draw.randint(0, k)))
+    views, templates = [text(draw.choice(size)) for _ in range(80)], ["", "x", "the and sch", text(64), text(90)]
+    monkeypatch.setattr(S, "WIDE", 40)
+    monkeypatch.setattr(S, "BLOCK", 7)
+    monkeypatch.setattr(S, "VIEWS", 900)
+    for t, found in zip(templates, S.scores(views, templates, n)):
+        many, words, mine = [t] * len(views), list(map(S.tokens, views)), [S.tokens(t)] * len(views)
+        plain_ones = [S.ratios(views, many), S.partial_ratios(views, many), S.token_sort_ratios(words, mine), S.token_set_ratios(words, mine), S.jaccards((S.grams(v, n), S.grams(t, n)) for v in views)]
+        assert found.tolist() == [x.tolist() for x in plain_ones]
+    assert S.scores([], templates, n).shape == (5, 5, 0)
+    monkeypatch.setattr(S, "_masks", lambda patterns, *rest: pytest.fail("a pattern a view"))
+    S.scores(["der", "und er", "und der schnelle text"], ["the and sch"], n)
+
+
+def records(spark, texts, **more):
+    rows = [(str(i), "ds", "f", i, t, *(v[i] for v in more.values())) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, ", ".join(["record_id string, dataset_id string, source_file string, source_offset long, raw_text string", *(f"{k} string" for k in more)])).withColumn("clean_text", F.lit(None).cast("string"))
+
+
+NOISY = ["The and attion to thanedble the, anea. Eriner thanea.\nbody one", "The and atttion to thanedble the, anea. Eriner\nbody\nAll rights reserved.", "Nciht aulihc xq für sch erüver enau sch der.\nbody\n\n x", "", "one line", "All rights reserved.", "In short\nAll rights reserved.\nAll rights reserved. And more than sixty-four characters follow here, on and on."]
+
+
+def test_decisions_need_no_shuffle(spark):
+    """Regions are cut once and decided beside their text: no join, no grouping of regions."""
+    rows = records(spark, [*NOISY, None, NOISY[0]])
+    for made in (Z.decisions(rows, FUZZY), Z.resolved(rows, FUZZY), Z.fuzzy_clean(rows, FUZZY), Z.fuzzy_events(rows, FUZZY), Z.outcomes(rows, FUZZY)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
+    held = {r.record_id: r for r in Z.fuzzy_clean(rows, FUZZY).collect()}
+    assert len(held) == 9 and held["0"].clean_text == held["8"].clean_text == "body one" and held["0"].decisions == held["8"].decisions
+    assert held["4"].decisions is None and held["3"].decisions is None and held["7"].decisions is None and held["5"].decisions[0].gates.regex
+    every = [(r.record_id, r.start, r.decision) for r in Z.decisions(rows, FUZZY).collect()]
+    assert every and all((k, d.start, d.decision) in every for k, r in held.items() for d in r.decisions or [])
+
+
+def test_grid_is_the_outcomes_of_each_pair(spark):
+    cases = records(spark, NOISY, expected=["applied", "review", "review", "skipped", "skipped", "applied", "skipped"])
+    grid = Z.threshold_grid(cases, FUZZY, [8000, 9000, 9500], [1000, 6000, 8500])
+    assert grid.count() == 8
+    for r in grid.collect():
+        made = [(x.expected, x.actual) for x in Z.outcomes(cases, Z.with_thresholds(FUZZY, r.auto, r.review)).collect()]
+        assert all(r[f"{e}_{a}"] == made.count((e, a)) for e in Z.LABELS for a in Z.LABELS)
+
+
+def test_matching_views_in_python(spark):
+    texts = [" A\t\x1cB :  c | D　\x85", "ＡＢ： ＣＤ", "İÄ ß", " x y᠎z", "", ": |", "a​ b"]
+    for flags in ((True, True, True), (False, True, True), (True, False, False), (False, False, True)):
+        got = spark.createDataFrame([(t,) for t in texts], "a string").select("a", T.matching_view(F.col("a"), *flags).alias("v")).collect()
+        assert {r.a: r.v for r in got} == {t: T.matching_view_of(t, *flags) for t in texts}
