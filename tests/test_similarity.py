@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import similarity as S
 from lexmill.functions import text as T
 from lexmill.operators import fuzzy as Z
-from lexmill.plans.registry import FUZZY
+from lexmill.plans.registry import FUZZY, QUERIES
 from tests.test_engine import one
 
 
@@ -153,8 +153,22 @@ def test_grid_is_the_outcomes_of_each_pair(spark):
         assert all(r[f"{e}_{a}"] == made.count((e, a)) for e in Z.LABELS for a in Z.LABELS)
 
 
-def test_matching_views_in_python(spark):
-    texts = [" A\t\x1cB :  c | D　\x85", "ＡＢ： ＣＤ", "İÄ ß", " x y᠎z", "", ": |", "a​ b"]
-    for flags in ((True, True, True), (False, True, True), (True, False, False), (False, False, True)):
-        got = spark.createDataFrame([(t,) for t in texts], "a string").select("a", T.matching_view(F.col("a"), *flags).alias("v")).collect()
-        assert {r.a: r.v for r in got} == {t: T.matching_view_of(t, *flags) for t in texts}
+def test_matching_views_follow_the_former_expressions(spark):
+    texts = [" A\t\x1cB :  c | D　\x85", "ＡＢ： ＣＤ", "İÄ ß", " x\u2003y\u180ez", "", ": |", "a\u200b b", None] * 20
+    for normalise, lower, collapse in ((True, True, True), (False, True, True), (True, False, False), (False, False, True)):
+        v = T.nfkc(F.col("a")) if normalise else F.col("a")
+        v = F.translate(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if lower else v
+        v = F.regexp_replace(T.strip(F.regexp_replace(v, rf"[{T.WS}]+", " ")), r" *([:|]) *", "$1") if collapse else v
+        got = spark.createDataFrame([(t,) for t in texts], "a string").coalesce(1).select(v.alias("v"), T.matching_view(F.col("a"), normalise, lower, collapse).alias("w")).collect()
+        assert len(got) == 160 and all(r.v == r.w for r in got)
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    """Values of lines go to the shuffle, once, and lines to Python in matching form; equal lines come out once."""
+    texts = ["a b: c\nThe  end\na b: c", "The  end\n\n", "", None, "the end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("fuzzy_partial_ratio", "fuzzy_token_set", "fuzzy_token_sort", "fuzzy_levenshtein", "fuzzy_ratio"):
+        made = QUERIES[name](spark, str(tmp_path))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(line_sha") == plan.count("Exchange") == 1 and "regexp_replace" not in plan
+        assert made.count() == 3
